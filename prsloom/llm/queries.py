@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prsloom.llm import substring_dedup
+from prsloom.llm import packing, substring_dedup, tokens
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -20,3 +20,13 @@ def query(f):
 @query
 def op1_substring_dedup(spark, sf_dir):
     return substring_dedup.substring_dedup(documents(spark, sf_dir), with_text=False)
+
+
+@query
+def op3_token_file(spark, sf_dir):
+    return tokens.token_table(documents(spark, sf_dir))
+
+
+@query
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.best_fit_packing(documents(spark, sf_dir))
