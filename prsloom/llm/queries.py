@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prsloom.llm import packing, substring_dedup, tokens
+from prsloom.llm import decontaminate, packing, pii, substring_dedup, syncmers, tokens, url_rules
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -30,3 +30,24 @@ def op3_token_file(spark, sf_dir):
 @query
 def op7_best_fit_packing(spark, sf_dir):
     return packing.best_fit_packing(documents(spark, sf_dir))
+
+
+@query
+def op4_pii(spark, sf_dir):
+    return pii.report(documents(spark, sf_dir))
+
+
+@query
+def op5_decontaminate(spark, sf_dir):
+    found = decontaminate.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.drop("items", "hit_words")
+
+
+@query
+def op6_url_rules(spark, sf_dir):
+    return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query
+def op8_syncmers(spark, sf_dir):
+    return syncmers.fingerprints(documents(spark, sf_dir))
