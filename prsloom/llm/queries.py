@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prsloom.llm import decontaminate, packing, pii, substring_dedup, syncmers, tokens, url_rules
+from prsloom.llm import decontaminate, near_dedup, packing, pii, substring_dedup, syncmers, tokens, url_rules
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -51,3 +51,8 @@ def op6_url_rules(spark, sf_dir):
 @query
 def op8_syncmers(spark, sf_dir):
     return syncmers.fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op10_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(documents(spark, sf_dir), shingle=2)
