@@ -112,13 +112,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def run_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
-    """A mixed 64-bit hash of values[start:end] for each pair, by polynomial prefix sums."""
+def run_hasher(values: np.ndarray, base: int = _BASE):
+    """A function of (starts, ends): a mixed 64-bit hash of values[start:end] for each pair, by polynomial prefix sums."""
     n = len(values)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values * powers(n, base), dtype=np.uint64, out=sums[1:])
-    poly = (sums[ends] - sums[starts]) * powers(n + 1, pow(base, -1, 1 << 64))[starts]
-    return mix(poly + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    inverse = powers(n + 1, pow(base, -1, 1 << 64))
+
+    def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+    return hashes
+
+
+def run_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
+    return run_hasher(values, base)(starts, ends)
 
 
 def byte_table(lower: bool) -> np.ndarray:

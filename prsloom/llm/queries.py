@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from prsloom.llm import decontaminate, near_dedup, packing, pii, substring_dedup, syncmers, tokens, url_rules
+from prsloom.llm import decontaminate, hmm, language_id, near_dedup, packing, pii, substring_dedup, syncmers, tokens, url_rules
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -56,3 +56,13 @@ def op8_syncmers(spark, sf_dir):
 @query
 def op10_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(documents(spark, sf_dir), shingle=2)
+
+
+@query
+def op2_language_id(spark, sf_dir):
+    return language_id.identify(documents(spark, sf_dir))
+
+
+@query
+def op9_hmm_score(spark, sf_dir):
+    return hmm.score(documents(spark, sf_dir))
