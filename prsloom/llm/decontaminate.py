@@ -82,16 +82,16 @@ def judged(docs: DataFrame, benchmark: DataFrame, n: int = N, min_items: int = M
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, min_items: int = MIN_ITEMS, cut: bool = False) -> DataFrame:
-    """The documents without those that hold windows of min_items benchmark items or more; or, with cut,
-    all documents without the words that such windows cover (each with the separator after it)."""
-    found = judged(docs, benchmark, n, min_items)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, min_items: int = MIN_ITEMS, cut: bool = True) -> DataFrame:
+    """The documents without those that hold windows of min_items benchmark items or more; with cut, the others lose
+    the words that any window covers, each with the separator after it. Rows that share a doc_id are treated alike."""
+    found = judged(docs, benchmark, n, min_items).filter("n_hit > 0")
+    spans = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("contaminated").alias("_bad"), F.flatten(F.collect_list("hit_words")).alias("_hit"))
+    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left").filter("_bad is null or not _bad")
     if not cut:
-        bad = found.filter("contaminated and doc_id is not null").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
-    spans = found.filter("n_hit > 0 and doc_id is not null").groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hit_words"))).alias("_hit"))
-    text = F.expr(
-        rf"""concat(element_at(split(text, '{WORD}'), 1), array_join(transform(sequence(1, size(regexp_extract_all(text, '{WORD}', 0))),
-        i -> if(array_contains(_hit, i), '', concat(regexp_extract_all(text, '{WORD}', 0)[i - 1], split(text, '{WORD}')[i]))), ''))""".replace("\\", "\\\\")
-    )
-    return docs.join(spans, "doc_id", "left").withColumn("text", F.when(F.col("_hit").isNull(), F.col("text")).otherwise(text)).select(docs.columns)
+        return joined.select(docs.columns)
+    word, gap = (f"if(_hit is null, null, {f})" for f in (f"regexp_extract_all(text, '{WORD}', 0)", f"split(text, '{WORD}', -1)"))
+    parts = joined.withColumns({"_w": F.expr(word.replace("\\", "\\\\")), "_g": F.expr(gap.replace("\\", "\\\\"))})
+    kept = F.expr("concat(_g[0], array_join(transform(_w, (x, i) -> if(array_contains(_hit, i + 1), '', concat(x, _g[i + 1]))), ''))")
+    text = F.when(F.col("_hit").isNull(), F.col("text")).otherwise(kept)
+    return parts.withColumn("text", text).select(docs.columns)

@@ -176,7 +176,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray,
     return languages, weights.astype(np.float32), moves
 
 
-def _label(languages: list[str], shared, moves: np.ndarray):
+def _label(languages: list[str], shared, moves: np.ndarray, accept: float | None = None):
+    """Adds the answer to each row; with accept, gives the rows themselves whose score is at least that."""
     step = np.exp(moves)
     start = np.full(len(languages), 1 / max(1, len(languages)))
 
@@ -214,6 +215,9 @@ def _label(languages: list[str], shared, moves: np.ndarray):
                 top = share.argmax(1) if languages else np.zeros(n, np.int64)
                 value = np.where(told, share.max(1, initial=0) / np.where(total > 0, total, 1), 0.0)
                 names = [languages[t] if ok else UNKNOWN for t, ok in zip(top.tolist(), told.tolist(), strict=True)]
+                if accept is not None:
+                    yield from pa.Table.from_batches([piece]).filter(pa.array(told & (value >= accept))).to_batches()
+                    continue
                 columns = [c for c in piece.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in columns), pa.array(names, pa.string()), pa.array(np.clip(value, 0, 1)), pa.array(counts.astype(np.int64)), pa.array(switches.astype(np.int64))], [*columns, "lang_pred", "score", "n_words", "n_switches"])
 
@@ -226,3 +230,10 @@ def identify(docs: DataFrame, model: tuple | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS numbers a language
     return rows.mapInArrow(_label(languages, shared, moves), "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_switches long")
+
+
+def accepted(docs: DataFrame, least: float = 0.5, model: tuple | None = None) -> DataFrame:
+    """The documents, all columns, that have letters and of whose words the likeliest language has a share of least or more."""
+    languages, weights, moves = model or learn(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    return docs.mapInArrow(_label(languages, shared, moves, least), docs.schema)
