@@ -1,14 +1,14 @@
 """Document fingerprints of closed syncmers.
 
-Native: DataFrame functions only. A k-mer of K characters is an anchor if the least hash of its
-inner substrings of S characters stands at its first or last place. That depends on the k-mer
-alone, so an edit changes only the anchors that it touches and pieces of a text keep theirs at
-shifted positions. That is used here: the anchors of a text whose end is replaced are those of what
-stays, those of what comes in, and those of the few characters across the seam; no anchor of
-the long parts is computed again. A fingerprint is the SKETCH smallest distinct anchor hashes; the
-likeness of two is the share of the smallest hashes of both that both have (an estimate of
-the Jaccard likeness of the anchor sets, exact up to SKETCH anchors). A text shorter than K
-characters has itself as its only anchor; an empty text has none, and two empty ones are alike 1.
+Native: DataFrame functions only. A text is read as symbols: a symbol ends with white space, an `e`, or a character
+beyond Latin, and has 16 characters at most (about three on average). A k-mer of K symbols is an anchor if the least
+of its symbols' hashes stands at its first or last place. That depends on the k-mer alone, so an edit
+changes only the anchors that it touches and pieces of a text keep theirs at shifted positions. That is used
+here: the anchors of a text whose end is replaced are those of the symbols that stay, and those of the new end read from
+the last symbol's start; no anchor of what stays is computed again. A fingerprint is the SKETCH smallest
+distinct anchor hashes; the likeness of two is the share of the smallest hashes of both that both have
+(an estimate of the Jaccard likeness of the anchor sets, exact up to SKETCH anchors). A text of fewer than K symbols
+has itself as its only anchor; an empty text has none, and two empty ones are alike 1.
 
 Plan: texts are shuffled once, by id. The order of the ids is found on ids alone, by a range
 partitioning and a window in each range, never in one task; each text sends the quarter that
@@ -26,18 +26,21 @@ from pyspark.sql import functions as F
 
 from .common import NULL_ID, keyed, shuffle_width, written
 
-K = 9
-S = 5
+K = 4
 SKETCH = 64
+SYMBOL = r"'(?s)[^\\se\\u0250-\\uFFFF]{0,15}.'"
 
 
-def anchors(text: str) -> str:
-    """SQL for structs (at, hash) of the anchors of a text column, in order; at counts from 0."""
-    inner = K - S
-    between = ", ".join(f"h[i + {k}]" for k in range(1, inner))
-    hashes = f"transform(regexp_extract_all({text}, '(?s)(?=(.{{{S}}})).', 1), x -> xxhash64(x))"
-    return f"""transform(array({hashes}), h -> if(size(h) <= {inner}, if({text} = '', array(), array(struct(0 as at, xxhash64({text}) as hash))),
-        transform(filter(sequence(0, size(h) - {inner + 1}), i -> least(h[i], h[i + {inner}]) <= least({between})), i -> struct(i as at, xxhash64(h[i], h[i + {inner}]) as hash))))[0]"""
+def hashes(text: str) -> str:
+    """SQL for the hashes of the symbols of a text."""
+    return f"transform(regexp_extract_all({text}, {SYMBOL}, 0), x -> xxhash64(x))"
+
+
+def anchors(h: str) -> str:
+    """SQL for structs (at, hash) of the anchors of a column of symbol hashes; at counts from 0."""
+    ends, inner = f"least({h}[i], {h}[i + {K - 1}])", ", ".join(f"{h}[i + {k}]" for k in range(1, K - 1))
+    whole = ", ".join(f"{h}[i + {k}]" for k in range(K))
+    return f"if(size({h}) < {K}, array(), transform(filter(sequence(0, size({h}) - {K}), i -> {ends} <= least({inner})), i -> struct(i as at, xxhash64({whole}) as hash)))"
 
 
 def sketch(hashes: str) -> str:
@@ -76,14 +79,15 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     texts = rows.groupBy("key").agg(F.min(F.struct("n", "text")).alias("d")).select("key", "d.n", "d.text")
     placed = texts.join(chained(rows), "key")
     given = placed.select(F.col("before").alias("key"), F.expr("left(text, n_before div 4)").alias("head"))
-    given = given.select("key", "head", F.expr(sketch(f"transform({anchors('head')}, x -> x.hash)")).alias("head_sketch"))
-    edited = placed.join(given, "key").withColumn("kept", F.expr("left(text, n - n div 4)")).withColumn("a", F.expr(anchors("text")))
-    edited = edited.withColumn("seam", F.expr(f"concat(right(kept, {K - 1}), left(head, {K - 1}))")).withColumn("whole", F.expr("concat(kept, head)"))
-    seam = f"if(char_length(seam) < {K}, array(), transform({anchors('seam')}, x -> x.hash))"
-    kept = f"transform(filter(a, x -> x.at <= char_length(kept) - {K}), x -> x.hash)"
-    heads = f"if(char_length(head) < {K}, array(), head_sketch)"
-    new = f"if(char_length(whole) < {K}, transform({anchors('whole')}, x -> x.hash), concat(if(char_length(kept) < {K}, array(), {kept}), {seam}, {heads}))"
-    own = edited.select("key", "before", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("whole").cast("binary"), 256).alias("edited_sha256"), F.expr(sketch("transform(a, x -> x.hash)")).alias("f"), F.expr(sketch(new)).alias("e"))
+    edited = placed.join(given, "key").withColumn("kept", F.expr("left(text, n - n div 4)"))
+    edited = edited.withColumns({"h": F.expr(hashes("text")), "stay": F.expr(f"regexp_extract_all(kept, {SYMBOL}, 0)")})
+    # all symbols of what is kept are the text's own, but for the last, which goes on in what comes in
+    edited = edited.withColumns({"whole": F.expr("concat(kept, head)"), "m": F.expr("greatest(size(stay) - 1, 0)"), "end": F.expr("concat(if(size(stay) = 0, '', element_at(stay, -1)), head)")}).drop("stay", "kept", "head")
+    edited = edited.withColumns({"a": F.expr(anchors("h")), "new": F.expr(f"concat(slice(h, greatest(m - {K - 2}, 1), least(m, {K - 1})), {hashes('end')})")})
+    edited = edited.withColumns({"b": F.expr(anchors("new")), "few": F.expr(f"m + size(new) - least(m, {K - 1}) < {K}")})
+    own_anchors = f"if(size(h) < {K}, if(text = '', array(), array(xxhash64(text))), transform(a, x -> x.hash))"
+    new_anchors = f"if(few, if(whole = '', array(), array(xxhash64(whole))), concat(transform(filter(a, x -> x.at <= m - {K}), x -> x.hash), transform(b, x -> x.hash)))"
+    own = edited.select("key", "before", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("whole").cast("binary"), 256).alias("edited_sha256"), F.expr(sketch(own_anchors)).alias("f"), F.expr(sketch(new_anchors)).alias("e"))
     # each row goes to its own id, and its fingerprint to its predecessor's
     sent = own.select(F.explode(F.array(F.struct("key", F.struct("n_chars", "edited_sha256", "f", "e").alias("own"), F.lit(None).cast("array<bigint>").alias("next")), F.struct(F.col("before").alias("key"), F.lit(None).alias("own"), F.col("f").alias("next")))).alias("x")).select("x.*")
     out = sent.groupBy("key").agg(F.first("own", True).alias("o"), F.first("next", True).alias("next")).select("key", "o.*", "next")
