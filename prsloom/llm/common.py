@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Null ids stand as this key in joins and come first in id order.
 NULL_ID = -(1 << 63)
 #: Bytes of text that a kernel holds expanded at once (a longer text is taken alone).
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,7 +69,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.null_count:
-        col = col.fill_null("")
+        col = col.fill_null(b"" if pa.types.is_binary(col.type) else "")
     wide = pa.types.is_large_string(col.type)
     _, offsets, data = col.buffers()
     off = np.frombuffer(offsets, np.int64 if wide else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
@@ -79,7 +79,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES):
-    """Slices of a batch, each of at most limit bytes of text or of one row."""
+    """Slices of a batch, each of at most limit bytes of a text or binary column, or of one row."""
     n = batch.num_rows
     if n == 0:
         return

@@ -167,11 +167,16 @@ def _runs(batches):
 def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, weights and transitions from documents that are not held out."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 40)).alias("h"))
-    chosen = labelled.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("r") <= sample)
-    rows = sorted(map(tuple, chosen.select("lang", "text", "h").mapInArrow(_runs, "lang string, text string").collect()))
-    languages = sorted({x[0] for x in rows})
-    if not languages:
+    # the hash that each language's sample reaches up to is found without the texts; every task cuts its own rows first
+    ranked = labelled.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample)
+    last = {x.lang: x.h for x in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()}  # a row a language
+    if not last:
         return [], np.zeros((1 << BITS, 0)), np.zeros((0, 0))
+    chosen = F.lit(False)
+    for lang, h in sorted(last.items()):
+        chosen = chosen | ((F.col("lang") == lang) & (F.col("h") <= h))
+    rows = sorted(set(map(tuple, labelled.filter(chosen).select("lang", "text", "h").mapInArrow(_runs, "lang string, text string").collect())))
+    languages = sorted({x[0] for x in rows})
     weights, moves = train([x[1] for x in rows], np.array([languages.index(x[0]) for x in rows]), len(languages))
     return languages, weights.astype(np.float32), moves
 

@@ -6,7 +6,10 @@
 2. Documents are posted under each (coordinate, value). Two documents whose sets are alike enough
    share MATCHES coordinates or more but for a chance of about 1 in a million. Ordered from rare to
    common, their first SIGNATURE - MATCHES + 1 postings (the prefix) then meet: only these lists
-   are merged, and common lists are skipped unless a document has nothing rarer.
+   are merged, and common lists are skipped unless a document has nothing rarer. A set of up to SMALL
+   shingles is its own signature, every shingle a coordinate: the threshold is then exact and the prefix far shorter,
+   so that short documents do not meet over a line that they share. Sets a little larger are posted both ways, as they can
+   be alike to either.
 3. Each list proposes its smallest document against all others: as many pairs as postings, however
    long the list. Pairs with MATCHES or more are confirmed on the full sets and merged
    into components. Lists whose documents are all merged by now are skipped. Of the other lists,
@@ -38,9 +41,14 @@ PERCENT = 80
 SIGNATURE = 32
 #: Of 32 coordinates, two sets of likeness 0.8 share fewer than 14 once in about 600,000 times.
 MATCHES = 14
-#: Lists up to this length are paired by a join, longer ones by blocks.
-SHORT = 32
+#: Sets of up to so many shingles are posted under their shingles, larger ones under signature coordinates.
+SMALL = 64
+#: Bits of the map of a whole set: bounds what two sets can share from above, tightly up to about a thousand shingles.
+BITS = 8192
+#: Lists longer than this are cut into blocks of about as many documents.
 BLOCK = 1024
+#: Pairs that each document of an open list proposes in each round; None is all of them.
+ROUNDS = (2, None)
 
 
 def sets(data: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +70,7 @@ def sets(data: np.ndarray, off: np.ndarray, shingle: int) -> tuple[np.ndarray, n
     return hashes[new], np.searchsorted(rows[new], np.arange(len(off)))
 
 
-def _sign(shingle: int, coordinates: int):
+def _sign(shingle: int, coordinates: int, percent: int):
     rng = np.random.default_rng(11)
     factors = rng.integers(0, 1 << 63, coordinates, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     masks = rng.integers(0, 1 << 63, coordinates, dtype=np.uint64)
@@ -81,21 +89,39 @@ def _sign(shingle: int, coordinates: int):
                         signature[full, c] = np.minimum.reduceat(((hashes ^ masks[c]) * factors[c]) >> np.uint64(32), at)
                     sums[0, full] = np.add.reduceat(mix(hashes + np.uint64(1)), at)
                     sums[1, full] = np.bitwise_xor.reduceat(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
+                seen = np.zeros((piece.num_rows, BITS), bool)
+                seen[row_of(cut), (mix(hashes + np.uint64(2)) & np.uint64(BITS - 1)).astype(np.int64)] = True
+                own = [hashes[a:b].tobytes() if 100 * SMALL >= percent * (b - a) else None for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("key"), pa.array(size.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([x.tobytes() for x in signature], pa.binary())],
-                    ["key", "n", "h1", "h2", "signature"],
+                    [piece.column("key"), pa.array(size.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([x.tobytes() for x in signature], pa.binary()), pa.array([x.tobytes() for x in np.packbits(seen, axis=1)], pa.binary()), pa.array(own, pa.binary())],
+                    ["key", "n", "h1", "h2", "signature", "bits", "own"],
                 )
 
     return run
 
 
-def _post(batches):
-    for batch in batches:
-        values = np.array([np.frombuffer(x, np.uint32) for x in batch.column("signature").to_pylist()], np.int64)
-        if not len(values):
-            continue
-        posted = values + (np.arange(values.shape[1], dtype=np.int64) << 32)
-        yield pa.RecordBatch.from_arrays([pa.array(posted.reshape(-1)), pa.array(np.repeat(batch.column("rep").to_numpy(), values.shape[1]))], ["cv", "rep"])
+def _post(least: int, percent: int):
+    """(cv, rep, way, total, prefix): the postings of each document by coordinates (way 0) or by shingles (way 1)."""
+
+    def rows(cv, rep, way, total, prefix):
+        return pa.RecordBatch.from_arrays([pa.array(cv), pa.array(rep), pa.array(np.full(len(cv), way, np.int8)), pa.array(total.astype(np.int32)), pa.array(prefix.astype(np.int32))], ["cv", "rep", "way", "total", "prefix"])
+
+    def run(batches):
+        for batch in batches:
+            rep, n = batch.column("rep").to_numpy(), batch.column("n").to_numpy()
+            large = np.flatnonzero(n > SMALL)
+            if len(large):
+                values = np.array([np.frombuffer(x, np.uint32) for x in batch.column("signature").take(pa.array(large)).to_pylist()], np.int64)
+                many = values.shape[1]
+                cv = (values + (np.arange(many, dtype=np.int64) << 32)).reshape(-1)
+                yield rows(cv, np.repeat(rep[large], many), 0, np.full(len(cv), many), np.full(len(cv), many - least + 1))
+            small = np.flatnonzero(100 * SMALL >= percent * n)
+            if len(small):
+                cv = np.concatenate([np.frombuffer(x, np.int64) for x in batch.column("own").take(pa.array(small)).to_pylist()])
+                size = n[small]
+                yield rows(cv, np.repeat(rep[small], size), 1, np.repeat(size, size), np.repeat(size - (percent * size + 99) // 100 + 1, size))
+
+    return run
 
 
 def _matches(batches):
@@ -122,26 +148,58 @@ def _confirm(shingle: int, percent: int):
     return run
 
 
-def _across(least: int, percent: int):
-    """Pairs of a block that lie in different components and match often enough."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-        sides = [frame[frame["own"] == c] for c in (i, j)]
-        sig = [np.array([np.frombuffer(x, np.uint32) for x in s["signature"]]) for s in sides]
-        rep, comp, n = ([s[c].to_numpy() for s in sides] for c in ("rep", "comp", "n"))
+def _across(least: int, percent: int, best: int | None):
+    """From rows sorted by block: pairs that lie in different components and match often enough; with best, only so many
+    for each document, the most alike."""
+
+    def pairs(block: pd.DataFrame) -> np.ndarray:
+        # side 0 meets side 1; a block with itself is on both
+        side = block["own"].to_numpy() == block["i"].iloc[0]
+        both = block["i"].iloc[0] == block["j"].iloc[0]
+        sig = np.array([np.frombuffer(x, np.uint32) for x in block["signature"]])
+        bits = np.array([np.frombuffer(x, np.uint64) for x in block["bits"]])
+        rep, comp, n = (block[c].to_numpy() for c in ("rep", "comp", "n"))
+        lost = n - np.bitwise_count(bits).sum(1)  # shingles that share a bit with another of their set
+        left = np.arange(len(block)) if both else np.flatnonzero(side)
+        right = left if both else np.flatnonzero(~side)
         out = []
-        for k in range(len(rep[0])):
-            ok = (comp[1] != comp[0][k]) & (100 * np.minimum(n[1], n[0][k]) >= percent * np.maximum(n[1], n[0][k]))
-            if i == j:
-                ok &= rep[1] > rep[0][k]
-            at = np.flatnonzero(ok)
-            if len(at):
-                same = (sig[1][at] == sig[0][k]).sum(1)
-                at, same = at[same >= least], same[same >= least]
-                out.append(np.stack([np.minimum(rep[1][at], rep[0][k]), np.maximum(rep[1][at], rep[0][k]), same]))
-        found = np.concatenate(out, 1) if out else np.zeros((3, 0), np.int64)
-        return pd.DataFrame({"a": found[0].astype(np.int64), "b": found[1].astype(np.int64), "matches": found[2].astype(np.int32)})
+        for a in range(0, len(left), 64):
+            x = left[a : a + 64]
+            ok = (comp[x][:, None] != comp[right][None]) & (100 * np.minimum(n[x][:, None], n[right][None]) >= percent * np.maximum(n[x][:, None], n[right][None]))
+            if best is None and both:
+                ok &= rep[x][:, None] < rep[right][None]
+            r, c = np.nonzero(ok)
+            same = (sig[x[r]] == sig[right[c]]).sum(1)
+            keep = same >= least
+            r, c, same = r[keep], c[keep], same[keep]
+            # what two sets share leaves a bit in both maps but for those lost in either: a bound from above
+            u, v = x[r], right[c]
+            most = np.bitwise_count(bits[u] & bits[v]).sum(1) + np.minimum(lost[u], lost[v])
+            keep = 100 * most >= percent * (n[u] + n[v] - most)
+            r, c, same = r[keep], c[keep], same[keep]
+            if best is not None:
+                order = np.lexsort((rep[right[c]], -same, r))
+                r, c, same = r[order], c[order], same[order]
+                keep = np.arange(len(r)) - np.searchsorted(r, r) < best
+                r, c, same = r[keep], c[keep], same[keep]
+            out.append(np.stack([rep[x[r]], rep[right[c]], same]))
+        return np.concatenate(out, 1)
+
+    def told(found: list[np.ndarray]) -> pd.DataFrame:
+        x = np.concatenate(found, 1) if found else np.zeros((3, 0), np.int64)
+        x = np.unique(np.stack([np.minimum(x[0], x[1]), np.maximum(x[0], x[1]), x[2]]), axis=1)
+        return pd.DataFrame({"a": x[0], "b": x[1], "matches": x[2].astype(np.int32)})
+
+    def run(frames):
+        rest = None
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            new = frame[["way", "cv", "i", "j"]].ne(frame[["way", "cv", "i", "j"]].shift()).any(axis=1).to_numpy()
+            cut = np.flatnonzero(new)
+            rest = frame.iloc[cut[-1] :] if len(cut) else None  # the last block may go on in the next frame
+            yield told([pairs(frame.iloc[u:v]) for u, v in zip(cut[:-1], cut[1:], strict=True)])
+        if rest is not None and len(rest):
+            yield told([pairs(rest)])
 
     return run
 
@@ -163,63 +221,52 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, lists: DataFrame, shingle: int, percent: int, least: int) -> DataFrame:
-    """(node, comp) over classes; lists are (cv, rep) of their prefixes."""
-    texts = keyed(docs).select("key", "text")
-    sign = classes.select("rep", "n", "signature")
+    """(node, comp) over classes; lists are (way, cv, rep) of their prefixes."""
+    met = lists.select(F.col("rep").alias("key")).distinct()
+    texts = written(keyed(docs).select("key", "text").join(met, "key", "left_semi"), "met-texts")
+    sign = classes.select("rep", "n", "signature", "bits")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         left = pairs.select("a", "b").hint("shuffle_hash").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
         right = left.hint("shuffle_hash").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
         return written(right.select("a", "b", "ta", "tb").mapInArrow(_confirm(shingle, percent), "a long, b long"), name)
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        a = sign.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
-        b = sign.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
-        near = pairs.join(a, "a").join(b, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-        return near.select("a", "b", "sa", "sb").mapInArrow(_matches, "a long, b long, matches int").filter(F.col("matches") >= least)
-
-    heads = lists.groupBy("cv").agg(F.min("rep").alias("a"), F.count("*").alias("many")).filter("many > 1")
-    stars = lists.join(heads, "cv").filter("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    edges = confirmed(alike(stars), "links-1")
+    heads = lists.groupBy("way", "cv").agg(F.min("rep").alias("a"), F.count("*").alias("many")).filter("many > 1")
+    stars = lists.join(heads, ["way", "cv"]).filter("rep != a").select("a", F.col("rep").alias("b")).distinct()
+    a = sign.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
+    b = sign.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
+    near = stars.join(a, "a").join(b, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
+    alike = near.select("a", "b", "sa", "sb").mapInArrow(_matches, "a long, b long, matches int").filter(F.col("matches") >= least)
+    edges = confirmed(alike, "links-1")
     label = components(edges)
 
-    placed = lists.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    open_lists = placed.groupBy("cv").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).filter("lo != hi").select("cv", "many")
-    rest = written(placed.join(open_lists, "cv"), "open-lists")
-    x, y = (rest.filter(F.col("many") <= SHORT).select("cv", F.col("rep").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
-    short = alike(x.join(y, "cv").filter("a < b and ca != cb").select("a", "b").distinct())
-    own = F.pmod(F.xxhash64("rep"), F.ceil(F.col("many") / BLOCK)).cast("int")
-    long = rest.filter(F.col("many") > SHORT).join(sign, "rep").withColumn("own", own)
-    dealt = long.withColumn("other", F.explode(F.expr(f"sequence(0, cast(ceil(many / {BLOCK}) as int) - 1)")))
-    dealt = dealt.select("cv", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "signature")
-    blocks = dealt.groupBy("cv", "i", "j").applyInPandas(_across(least, percent), "a long, b long, matches int")
-    pending = written(short.union(blocks).distinct(), "pending")
-
-    for number in (2, 3):
+    for number, best in enumerate(ROUNDS, 2):
+        placed = lists.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        open_lists = placed.groupBy("way", "cv").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).filter("lo != hi").select("way", "cv", "many")
+        rest = placed.join(open_lists, ["way", "cv"]).join(sign, "rep")
+        # long lists are cut into blocks, and each pair of blocks is dealt out as one
+        blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+        dealt = rest.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.select("way", "cv", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "signature", "bits")
+        ordered = dealt.repartition("way", "cv", "i", "j").sortWithinPartitions("way", "cv", "i", "j")
+        pending = written(ordered.mapInPandas(_across(least, percent, best), "a long, b long, matches int").select("a", "b").distinct(), "pending")
         if pending.limit(1).count() == 0:
             break
-        ca, cb = (label.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
-        still = pending.join(ca, "a", "left").join(cb, "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).filter("ca != cb")
-        if number == 2:  # the most alike pair of each document and foreign component
-            best = lambda doc, comp: still.groupBy(doc, comp).agg(F.max(F.struct("matches", "a", "b")).alias("x")).select("x.a", "x.b")
-            still = best("a", "cb").union(best("b", "ca")).distinct()
-        more = confirmed(still, f"links-{number}")
-        edges = edges.union(more)
+        edges = edges.union(confirmed(pending, f"links-{number}"))
         label = components(edges)
     return label
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, coordinates: int = SIGNATURE, least: int = MATCHES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the document that stays for its group)."""
-    signed = written(keyed(docs).select("key", "text").mapInArrow(_sign(shingle, coordinates), "key long, n long, h1 long, h2 long, signature binary"), "signatures")
-    classes = written(signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("key", "signature")).alias("x")).select("h1", "h2", "n", F.col("x.key").alias("rep"), F.col("x.signature").alias("signature")), "classes")
-    posted = classes.select("rep", "signature").mapInArrow(_post, "cv long, rep long")
-    frequent = posted.groupBy("cv").agg(F.count("*").alias("df")).filter("df > 1")
+    signed = written(keyed(docs).select("key", "text").mapInArrow(_sign(shingle, coordinates, percent), "key long, n long, h1 long, h2 long, signature binary, bits binary, own binary"), "signatures")
+    classes = written(signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("key", "signature", "bits", "own")).alias("x")).select("h1", "h2", "n", F.col("x.key").alias("rep"), "x.signature", "x.bits", "x.own"), "classes")
+    posted = classes.select("rep", "n", "signature", "own").mapInArrow(_post(least, percent), "cv long, rep long, way byte, total int, prefix int")
+    frequent = posted.groupBy("way", "cv").agg(F.count("*").alias("df")).filter("df > 1")
     # postings of one document alone come first in its order and meet nothing: the rest of the prefix is what is left
-    shared = posted.join(frequent, "cv").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "cv"))).alias("x"))
-    prefix = coordinates - least + 1
-    room = F.lit(prefix) - (F.lit(coordinates) - F.size("x"))
-    lists = written(shared.filter(room > 0).select("rep", F.explode(F.slice("x", F.lit(1), room)).alias("p")).select("p.cv", "rep"), "prefixes")
+    shared = posted.join(frequent, ["way", "cv"]).groupBy("rep", "way", "total", "prefix").agg(F.array_sort(F.collect_list(F.struct("df", "cv"))).alias("x"))
+    room = F.col("prefix") - (F.col("total") - F.size("x"))
+    lists = written(shared.filter(room > 0).select("rep", "way", F.explode(F.slice("x", F.lit(1), room)).alias("p")).select("way", "p.cv", "rep"), "prefixes")
     label = links(docs, classes, lists, shingle, percent, least)
     grouped = signed.join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left").withColumn("rep", F.coalesce("rep", "key"))
     out = grouped.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))

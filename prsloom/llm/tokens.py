@@ -15,7 +15,6 @@ length and coded bytes; an empty table gives an empty file; extra columns are ig
 
 from __future__ import annotations
 
-import array
 import itertools
 import uuid
 import zlib
@@ -26,71 +25,97 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, gather_runs, keyed, pieces, shared_dir, shuffle_width, text_bytes, worker_cache, written
+from .common import NULL_ID, SPACES, gather_runs, keyed, pieces, shared_dir, shuffle_width, text_bytes, word_hashes, word_spans, worker_cache, written
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 #: Documents' ids in a block of the file, about.
 BLOCK_IDS = 1 << 20
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Distinct segments whose ids a worker remembers.
+REMEMBERED = 1_500_000
 
 
 class WordTokenizer:
-    """Ids of texts by the tokenizers library, asking it once for each distinct word.
+    """Ids of texts by the tokenizers library, asking it once for each distinct segment.
 
-    Only for vocabularies whose tokens never hold white space (a text's ids are then those of
-    its words, one after another). A word of Latin letters and ASCII punctuation is asked in two
-    parts, since the vocabulary splits there and ignores case.
+    Only for vocabularies whose tokens never hold white space, that ignore case and split where
+    letters meet punctuation: a text's ids are then those of its segments, one after another. A segment
+    is a run of Latin letters (ASCII or Latin-1, in lower case) or of ASCII punctuation within a word;
+    a word that holds anything else is one segment as it stands. Segments are found and
+    looked up by 64-bit hashes in NumPy.
     """
 
     def __init__(self, path: str, end_id: int):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts = regex.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
         self.end_id = end_id
+        self.kinds = np.full(256, 3, np.uint8)  # 0 white space, 1 letters, 2 punctuation, 3 other
+        self.kinds[list(SPACES)] = 0
+        for c in range(0x21, 0x7F):
+            x = chr(c)
+            self.kinds[c] = 1 if x.isalpha() else 3 if x.isdigit() or x in "'<" else 2
         self.clear()
 
     def clear(self) -> None:
-        self.index = {b"\n": 0}  # no word holds a line break: this one ends a text
-        self.offsets = array.array("q", [0, 1])
-        self.flat = array.array("I", [self.end_id])
-        self.known: dict[str, list[int]] = {"": []}
-
-    def learn(self, words: list[bytes]) -> None:
-        split = []
-        for word in words:
-            text = word.decode("utf-8", "replace")
-            found = self.parts(text)
-            split.append((found[1].lower(), found[2]) if found else (text,))
-        new = list({x for parts in split for x in parts if x not in self.known})
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
-            self.known.update(zip(some, (x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        for word, parts in zip(words, split, strict=True):
-            self.index[word] = len(self.offsets) - 1
-            for part in parts:
-                self.flat.extend(self.known[part])
-            self.offsets.append(len(self.flat))
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        self.hashes = np.zeros(0, np.uint64)  # sorted
+        self.place = np.zeros(0, np.int64)  # of each hash, its segment
+        self.offsets = np.array([0, 1])  # segment 0 is the end of a text
+        self.flat = np.array([self.end_id], np.uint32)
+
+    def segments(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes to look up, starts, ends, and n + 1 offsets of rows into segments."""
+        kind = self.kinds[data]
+        starts, ends, _ = word_spans(data, off)
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        low = data.copy()
+        low[(data >= 65) & (data <= 90)] += 32
+        if len(lead):
+            after = data[lead + 1]
+            fine = (after >= 0x80) & (after != 0x97) & (after != 0xB7)
+            kind[lead[fine]] = kind[lead[fine] + 1] = 1
+            upper = lead[fine & (after <= 0x9E)] + 1
+            low[upper] += 32
+        odd = np.r_[0, np.cumsum(kind == 3)]
+        weird = odd[ends] > odd[starts]
+        raw = gather_runs(starts[weird], ends[weird] - starts[weird])
+        low[raw] = data[raw]
+        cut = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+        word = np.searchsorted(starts, cut, "right") - 1
+        cut = cut[~weird[word] & (cut != starts[word])] if len(cut) else cut
+        begin = np.sort(np.concatenate([starts, cut]))
+        finish = ends[np.searchsorted(starts, begin, "right") - 1] if len(begin) else begin
+        finish = np.minimum(finish, np.r_[begin[1:], len(data)]) if len(begin) else finish
+        return low, begin, finish, np.searchsorted(begin, off)
+
+    def learn(self, hashes: np.ndarray, texts: list[bytes]) -> None:
+        found = []
+        for at in range(0, len(texts), 5000):
+            some = [x.decode("utf-8", "replace") for x in texts[at : at + 5000]]
+            found += [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+        lengths = np.array([len(x) for x in found], np.int64)
+        first = len(self.offsets) - 1
+        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum()))])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
+        at = np.searchsorted(self.hashes, hashes)  # the new ones come sorted
+        self.hashes, self.place = np.insert(self.hashes, at, hashes), np.insert(self.place, at, first + np.arange(len(found)))
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, the end id after each text, and the number of ids of each text."""
-        words = [[*x.split(), b"\n"] for x in texts]
-        flat = list(itertools.chain.from_iterable(words))
-        if new := set(flat).difference(self.index):
-            if len(self.index) + len(new) > REMEMBERED:
-                self.clear()
-                new = set(flat) - self.index.keys()
-            self.learn(list(new))
-        index = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        offsets = np.array(self.offsets)
-        lengths = offsets[index + 1] - offsets[index]
-        ids = np.array(self.flat, np.uint32)[gather_runs(offsets[index], lengths)]
-        ends = np.cumsum([len(x) for x in words])
+        low, begin, finish, row_off = self.segments(data, off)
+        hashes, first, back = np.unique(word_hashes(low, begin, finish), return_index=True, return_inverse=True)
+        if len(self.hashes) + len(hashes) > REMEMBERED + len(hashes) * (len(self.hashes) == 0):
+            self.clear()
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        new = self.hashes[at] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
+        if new.any():
+            raw = low.tobytes()
+            self.learn(hashes[new], [raw[a:b] for a, b in zip(begin[first[new]].tolist(), finish[first[new]].tolist(), strict=True)])
+        index = self.place[np.searchsorted(self.hashes, hashes)][back] if len(hashes) else np.zeros(0, np.int64)
+        index = np.insert(index, row_off[1:], 0)
+        lengths = self.offsets[index + 1] - self.offsets[index]
         total = np.r_[0, np.cumsum(lengths)]
-        return ids, np.diff(total[np.r_[0, ends]]) if len(ends) else np.zeros(0, np.int64)
+        return self.flat[gather_runs(self.offsets[index], lengths)], np.diff(total[row_off + np.arange(len(row_off))])
 
 
 def tokenizer(path: str | None, end_id: int) -> WordTokenizer:
@@ -109,9 +134,7 @@ def encoded(batches, path: str | None, end_id: int):
     own = tokenizer(path, end_id)
     for batch in batches:
         for piece in pieces(batch, limit=2 << 20):
-            data, off = text_bytes(piece.column("text"))
-            raw = data.tobytes()
-            yield piece, *own.encode([raw[a:b] for a, b in itertools.pairwise(off.tolist())])
+            yield piece, *own.encode(*text_bytes(piece.column("text")))
 
 
 # --- the coding ---------------------------------------------------------------------------------
@@ -180,8 +203,8 @@ def _ids(batch) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(batches):
     total = np.zeros(1, np.int64)
-    for batch in batches:
-        found = np.bincount(_ids(batch)[0])
+    for piece in (p for batch in batches for p in pieces(batch, "ids", 2 << 20)):
+        found = np.bincount(_ids(piece)[0])
         if len(found) > len(total):
             total = np.r_[total, np.zeros(len(found) - len(total), np.int64)]
         total[: len(found)] += found
@@ -191,7 +214,7 @@ def _count(batches):
 
 def _code(rank: np.ndarray):
     def run(batches):
-        for batch in batches:
+        for batch in (p for whole in batches for p in pieces(whole, "ids", 2 << 20)):
             ids, counts = _ids(batch)
             control, data, n_control, n_data = code(rank[ids], counts)
             a, b = np.r_[0, np.cumsum(n_control)].tolist(), np.r_[0, np.cumsum(n_data)].tolist()

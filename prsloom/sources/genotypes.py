@@ -36,6 +36,14 @@ class _Ranges(DataSourceReader):
         self.options = options
         self.wanted: set[int] | None = None
 
+    def _cut(self, numbers: list[int]) -> list[Range]:
+        step = int(self.options.get("step", STEP))
+        return [Range(tuple(numbers[a : a + step])) for a in range(0, len(numbers), step)] or [Range(())]
+
+
+class _Pushed:
+    """Takes filters on vidx. Spark refuses readers that could while spark.sql.python.filterPushdown.enabled is off."""
+
     def pushFilters(self, filters):
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute == ("vidx",):
@@ -48,10 +56,6 @@ class _Ranges(DataSourceReader):
     def _keep(self, numbers: set) -> None:
         self.wanted = numbers if self.wanted is None else self.wanted & numbers
 
-    def _cut(self, numbers: list[int]) -> list[Range]:
-        step = int(self.options.get("step", STEP))
-        return [Range(tuple(numbers[a : a + step])) for a in range(0, len(numbers), step)] or [Range(())]
-
 
 class BedReader(_Ranges):
     def __init__(self, options):
@@ -79,8 +83,12 @@ class BedReader(_Ranges):
                 yield v, [None if g < 0 else int(g) for g in calls]
 
 
+class PushedBedReader(_Pushed, BedReader):
+    pass
+
+
 class BedSource(DataSource):
-    """Options: path, samples, variants and step (variants a partition)."""
+    """Options: path, samples, variants, step (variants a partition) and pushdown (true where the session allows it)."""
 
     @classmethod
     def name(cls):
@@ -90,7 +98,7 @@ class BedSource(DataSource):
         return "vidx long, dosage array<tinyint>"
 
     def reader(self, schema):
-        return BedReader(self.options)
+        return (PushedBedReader if self.options.get("pushdown") == "true" else BedReader)(self.options)
 
 
 @dataclass
@@ -187,8 +195,12 @@ class BgenReader(_Ranges):
                 yield v, [None if np.isnan(g) else float(g) for g in dosage]
 
 
+class PushedBgenReader(_Pushed, BgenReader):
+    pass
+
+
 class BgenSource(DataSource):
-    """Options: path and step (variants a partition)."""
+    """Options: path, step (variants a partition) and pushdown (true where the session allows it)."""
 
     @classmethod
     def name(cls):
@@ -198,7 +210,7 @@ class BgenSource(DataSource):
         return "vidx long, dosage array<float>"
 
     def reader(self, schema):
-        return BgenReader(self.options)
+        return (PushedBgenReader if self.options.get("pushdown") == "true" else BgenReader)(self.options)
 
 
 @dataclass
@@ -210,6 +222,7 @@ class Genotypes:
 
 def load_genotypes(spark: SparkSession, path: str, sample_path: str | None = None) -> Genotypes:
     """A .bgen file, or the prefix of .bed, .bim and .fam files."""
+    pushdown = str(spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).lower()
     if path.endswith(".bgen"):
         spark.dataSource.register(BgenSource)
         index = bgen_index(path)
@@ -222,12 +235,12 @@ def load_genotypes(spark: SparkSession, path: str, sample_path: str | None = Non
                 raise ValueError(f"{sample_path} has another number of samples than {path}")
         else:
             names = spark.range(index.n_samples).select(F.col("id").alias("sidx"), F.concat(F.lit("sample_"), F.col("id")).alias("iid"))
-        return Genotypes(variants, names.select("sidx", F.col("iid").alias("fid"), "iid"), spark.read.format("bgen").option("path", path).load())
+        return Genotypes(variants, names.select("sidx", F.col("iid").alias("fid"), "iid"), spark.read.format("bgen").option("path", path).option("pushdown", pushdown).load())
     for end in (".bed", ".bim", ".fam"):
         path = path.removesuffix(end)
     spark.dataSource.register(BedSource)
     variants, samples = text.read_bim(spark, f"{path}.bim"), text.read_fam(spark, f"{path}.fam")
-    dosage = spark.read.format("bed").option("path", f"{path}.bed").option("samples", str(samples.count())).option("variants", str(variants.count())).load()
+    dosage = spark.read.format("bed").option("path", f"{path}.bed").option("pushdown", pushdown).option("samples", str(samples.count())).option("variants", str(variants.count())).load()
     return Genotypes(variants, samples, dosage)
 
 

@@ -9,7 +9,6 @@ from prsloom.sources.genotypes import load_genotypes, write_bgen, write_plink
 
 def stats(spark, tmp_path, content, name="s.txt", **kw):
     path = tmp_path / name
-    (gzip.open(path, "wt") if name.endswith("gz") else open(path, "w")).write(content) if False else None
     if name.endswith("gz"):
         with gzip.open(path, "wt") as f:
             f.write(content)
@@ -73,6 +72,17 @@ def test_bed_bits_and_errors(spark, tmp_path):
         load_genotypes(spark, str(tmp_path / "b")).dosage.collect()
 
 
+def test_filters_reach_the_ranges(spark, tmp_path):
+    g = cohort()
+    write_plink(str(tmp_path / "a"), g, [(1, f"rs{k}", 0, 100 * k, "A", "G") for k in range(7)], [(f"f{k}", f"i{k}", 1, -9) for k in range(13)])
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        rows = load_genotypes(spark, str(tmp_path / "a")).dosage.filter("vidx in (1, 4)").collect()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert sorted(r.vidx for r in rows) == [1, 4] and rows[0].dosage[0] == (None if g[0, rows[0].vidx] < 0 else g[0, rows[0].vidx])
+
+
 @pytest.mark.parametrize(("bits", "compress"), [(8, True), (8, False), (16, True), (11, True)])
 def test_bgen_round_trip(spark, tmp_path, bits, compress):
     g = cohort()
