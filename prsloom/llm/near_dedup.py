@@ -12,11 +12,16 @@
    be alike to either.
 3. Each list proposes its smallest document against all others: as many pairs as postings, however
    long the list. Pairs with MATCHES or more are confirmed on the full sets and merged
-   into components. Lists whose documents are all merged by now are skipped. Of the other lists,
-   pairs across components are counted on the signatures, long lists block by block, and those
+   into components. Every list is then split by the sizes of the sets: sizes fall into bands, each as
+   wide as two sets that are alike enough can differ, so a band only meets itself and the next one. Parts
+   whose documents are all merged by now are skipped. Of the other parts,
+   pairs across components are counted on the signatures, long parts block by block, and those
    at or over the threshold are confirmed: the most alike for each pair of document and component
    first, then those that still lie across components. So no link between components is lost, while a
    list of n copies costs about n, not n * n.
+4. Pairs are confirmed on texts. Only the texts of documents in pairs are shuffled: a bitmap of the pairs' ids, of
+   2**ID_BITS bits (8 MB) whatever the corpus, is broadcast to the scan. A bit that others share lets a text through in
+   vain, never holds one back.
 
 Components come from min-label propagation with pointer jumping over tables in the shared folder; nothing of
 it is collected.
@@ -28,6 +33,8 @@ that share a doc_id are one document; an empty table gives an empty result; extr
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -47,6 +54,8 @@ SMALL = 64
 BITS = 8192
 #: Lists longer than this are cut into blocks of about as many documents.
 BLOCK = 1024
+#: Bits of the map of the ids in pairs, as a power of two.
+ID_BITS = 26
 #: Pairs that each document of an open list proposes in each round; None is all of them.
 ROUNDS = (2, None)
 
@@ -101,10 +110,10 @@ def _sign(shingle: int, coordinates: int, percent: int):
 
 
 def _post(least: int, percent: int):
-    """(cv, rep, way, total, prefix): the postings of each document by coordinates (way 0) or by shingles (way 1)."""
+    """(cv, rep, way, total, prefix, n): the postings of each document by coordinates (way 0) or by shingles (way 1)."""
 
-    def rows(cv, rep, way, total, prefix):
-        return pa.RecordBatch.from_arrays([pa.array(cv), pa.array(rep), pa.array(np.full(len(cv), way, np.int8)), pa.array(total.astype(np.int32)), pa.array(prefix.astype(np.int32))], ["cv", "rep", "way", "total", "prefix"])
+    def rows(cv, rep, way, total, prefix, n):
+        return pa.RecordBatch.from_arrays([pa.array(cv), pa.array(rep), pa.array(np.full(len(cv), way, np.int8)), pa.array(total.astype(np.int32)), pa.array(prefix.astype(np.int32)), pa.array(n)], ["cv", "rep", "way", "total", "prefix", "n"])
 
     def run(batches):
         for batch in batches:
@@ -114,12 +123,12 @@ def _post(least: int, percent: int):
                 values = np.array([np.frombuffer(x, np.uint32) for x in batch.column("signature").take(pa.array(large)).to_pylist()], np.int64)
                 many = values.shape[1]
                 cv = (values + (np.arange(many, dtype=np.int64) << 32)).reshape(-1)
-                yield rows(cv, np.repeat(rep[large], many), 0, np.full(len(cv), many), np.full(len(cv), many - least + 1))
+                yield rows(cv, np.repeat(rep[large], many), 0, np.full(len(cv), many), np.full(len(cv), many - least + 1), np.repeat(n[large], many))
             small = np.flatnonzero(100 * SMALL >= percent * n)
             if len(small):
                 cv = np.concatenate([np.frombuffer(x, np.int64) for x in batch.column("own").take(pa.array(small)).to_pylist()])
                 size = n[small]
-                yield rows(cv, np.repeat(rep[small], size), 1, np.repeat(size, size), np.repeat(size - (percent * size + 99) // 100 + 1, size))
+                yield rows(cv, np.repeat(rep[small], size), 1, np.repeat(size, size), np.repeat(size - (percent * size + 99) // 100 + 1, size), np.repeat(size, size))
 
     return run
 
@@ -148,6 +157,10 @@ def _confirm(shingle: int, percent: int):
     return run
 
 
+#: What names a block of a list, or a pair of them.
+PART = ["way", "cv", "band", "i", "j"]
+
+
 def _across(least: int, percent: int, best: int | None):
     """From rows sorted by block: pairs that lie in different components and match often enough; with best, only so many
     for each document, the most alike."""
@@ -158,14 +171,14 @@ def _across(least: int, percent: int, best: int | None):
         both = block["i"].iloc[0] == block["j"].iloc[0]
         sig = np.array([np.frombuffer(x, np.uint32) for x in block["signature"]])
         bits = np.array([np.frombuffer(x, np.uint64) for x in block["bits"]])
-        rep, comp, n = (block[c].to_numpy() for c in ("rep", "comp", "n"))
+        rep, comp, n, low = (block[c].to_numpy() for c in ("rep", "comp", "n", "low"))
         lost = n - np.bitwise_count(bits).sum(1)  # shingles that share a bit with another of their set
         left = np.arange(len(block)) if both else np.flatnonzero(side)
         right = left if both else np.flatnonzero(~side)
         out = []
         for a in range(0, len(left), 64):
             x = left[a : a + 64]
-            ok = (comp[x][:, None] != comp[right][None]) & (100 * np.minimum(n[x][:, None], n[right][None]) >= percent * np.maximum(n[x][:, None], n[right][None]))
+            ok = (comp[x][:, None] != comp[right][None]) & ~(low[x][:, None] & low[right][None]) & (100 * np.minimum(n[x][:, None], n[right][None]) >= percent * np.maximum(n[x][:, None], n[right][None]))
             if best is None and both:
                 ok &= rep[x][:, None] < rep[right][None]
             r, c = np.nonzero(ok)
@@ -194,7 +207,7 @@ def _across(least: int, percent: int, best: int | None):
         rest = None
         for frame in frames:
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-            new = frame[["way", "cv", "i", "j"]].ne(frame[["way", "cv", "i", "j"]].shift()).any(axis=1).to_numpy()
+            new = frame[PART].ne(frame[PART].shift()).any(axis=1).to_numpy()
             cut = np.flatnonzero(new)
             rest = frame.iloc[cut[-1] :] if len(cut) else None  # the last block may go on in the next frame
             yield told([pairs(frame.iloc[u:v]) for u, v in zip(cut[:-1], cut[1:], strict=True)])
@@ -220,13 +233,23 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return label
 
 
+def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(key, text) of the documents in pairs (a, b), and of few others."""
+    placed = lambda rows, key: rows.withColumn("place", F.pmod(F.xxhash64(key), F.lit(1 << ID_BITS)) + 1)
+    ids = placed(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
+    maps = ids.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("map"))
+    # at most 2**ID_BITS / 32768 rows of 4 KB
+    rows = placed(keyed(docs).select("key", "text"), "key").withColumn("bucket", F.bitmap_bucket_number("place")).withColumn("bit", F.bitmap_bit_position("place").cast("int"))
+    there = F.expr("shiftright(cast(conv(hex(substring(map, bit div 8 + 1, 1)), 16, 10) as int), bit % 8) & 1 = 1")
+    return rows.join(F.broadcast(maps), "bucket").filter(there).select("key", "text")
+
+
 def links(docs: DataFrame, classes: DataFrame, lists: DataFrame, shingle: int, percent: int, least: int) -> DataFrame:
-    """(node, comp) over classes; lists are (way, cv, rep) of their prefixes."""
-    met = lists.select(F.col("rep").alias("key")).distinct()
-    texts = written(keyed(docs).select("key", "text").join(met, "key", "left_semi"), "met-texts")
+    """(node, comp) over classes; lists are (way, cv, rep, n) of their prefixes."""
     sign = classes.select("rep", "n", "signature", "bits")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        texts = written(texts_of(docs, pairs), f"{name}-texts")
         left = pairs.select("a", "b").hint("shuffle_hash").join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
         right = left.hint("shuffle_hash").join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
         return written(right.select("a", "b", "ta", "tb").mapInArrow(_confirm(shingle, percent), "a long, b long"), name)
@@ -237,18 +260,24 @@ def links(docs: DataFrame, classes: DataFrame, lists: DataFrame, shingle: int, p
     b = sign.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
     near = stars.join(a, "a").join(b, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     alike = near.select("a", "b", "sa", "sb").mapInArrow(_matches, "a long, b long, matches int").filter(F.col("matches") >= least)
-    edges = confirmed(alike, "links-1")
+    edges = confirmed(written(alike.select("a", "b"), "alike"), "links-1")
     label = components(edges)
+    # a little wider than the sizes of two sets that are alike enough, so that rounding parts none
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100.1 / percent)).cast("int")
+    banded = lists.select("way", "cv", "rep", band.alias("own_band"))
 
     for number, best in enumerate(ROUNDS, 2):
-        placed = lists.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        open_lists = placed.groupBy("way", "cv").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).filter("lo != hi").select("way", "cv", "many")
-        rest = placed.join(open_lists, ["way", "cv"]).join(sign, "rep")
-        # long lists are cut into blocks, and each pair of blocks is dealt out as one
+        placed = banded.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        # each band's part also holds the band below it
+        placed = placed.withColumn("low", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("band", F.col("own_band") + F.col("low").cast("int")).drop("own_band")
+        ends = [F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many"), F.bool_and("low").alias("below")]
+        open_lists = placed.groupBy("way", "cv", "band").agg(*ends).filter("lo != hi and not below").select("way", "cv", "band", "many")
+        rest = placed.join(open_lists, ["way", "cv", "band"]).join(sign, "rep")
+        # long parts are cut into blocks, and each pair of blocks is dealt out as one
         blocks = F.ceil(F.col("many") / BLOCK).cast("int")
         dealt = rest.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.select("way", "cv", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "signature", "bits")
-        ordered = dealt.repartition("way", "cv", "i", "j").sortWithinPartitions("way", "cv", "i", "j")
+        dealt = dealt.select("way", "cv", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "low", "rep", "comp", "n", "signature", "bits")
+        ordered = dealt.repartition(*PART).sortWithinPartitions(*PART)
         pending = written(ordered.mapInPandas(_across(least, percent, best), "a long, b long, matches int").select("a", "b").distinct(), "pending")
         if pending.limit(1).count() == 0:
             break
@@ -261,12 +290,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """doc_id, n_shingles, component_id and kept (the document that stays for its group)."""
     signed = written(keyed(docs).select("key", "text").mapInArrow(_sign(shingle, coordinates, percent), "key long, n long, h1 long, h2 long, signature binary, bits binary, own binary"), "signatures")
     classes = written(signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("key", "signature", "bits", "own")).alias("x")).select("h1", "h2", "n", F.col("x.key").alias("rep"), "x.signature", "x.bits", "x.own"), "classes")
-    posted = classes.select("rep", "n", "signature", "own").mapInArrow(_post(least, percent), "cv long, rep long, way byte, total int, prefix int")
+    posted = classes.select("rep", "n", "signature", "own").mapInArrow(_post(least, percent), "cv long, rep long, way byte, total int, prefix int, n long")
     frequent = posted.groupBy("way", "cv").agg(F.count("*").alias("df")).filter("df > 1")
     # postings of one document alone come first in its order and meet nothing: the rest of the prefix is what is left
-    shared = posted.join(frequent, ["way", "cv"]).groupBy("rep", "way", "total", "prefix").agg(F.array_sort(F.collect_list(F.struct("df", "cv"))).alias("x"))
+    shared = posted.join(frequent, ["way", "cv"]).groupBy("rep", "way", "total", "prefix", "n").agg(F.array_sort(F.collect_list(F.struct("df", "cv"))).alias("x"))
     room = F.col("prefix") - (F.col("total") - F.size("x"))
-    lists = written(shared.filter(room > 0).select("rep", "way", F.explode(F.slice("x", F.lit(1), room)).alias("p")).select("way", "p.cv", "rep"), "prefixes")
+    lists = written(shared.filter(room > 0).select("rep", "way", "n", F.explode(F.slice("x", F.lit(1), room)).alias("p")).select("way", "p.cv", "rep", "n"), "prefixes")
     label = links(docs, classes, lists, shingle, percent, least)
     grouped = signed.join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left").withColumn("rep", F.coalesce("rep", "key"))
     out = grouped.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
