@@ -45,9 +45,9 @@ from .common import NULL_ID, keyed, mix, pieces, row_of, run_hash, text_bytes, w
 
 SHINGLE = 5
 PERCENT = 80
-SIGNATURE = 32
-#: Of 32 coordinates, two sets of likeness 0.8 share fewer than 14 once in about 600,000 times.
-MATCHES = 14
+SIGNATURE = 64
+#: Of 64 coordinates, two sets of likeness 0.8 share fewer than 35 once in about 800,000 times.
+MATCHES = 35
 #: Sets of up to so many shingles are posted under their shingles, larger ones under signature coordinates.
 SMALL = 64
 #: Bits of the map of a whole set: bounds what two sets can share from above, tightly up to about a thousand shingles.
