@@ -189,7 +189,7 @@ def _label(languages: list[str], shared, moves: np.ndarray, accept: float | None
     def run(batches):
         weights = shared.value
         for batch in batches:
-            for piece in pieces(batch, limit=2 << 20):
+            for piece in pieces(batch, limit=1 << 20):
                 data, off = text_bytes(piece.column("text"))
                 low, starts, ends, back, word_off = distinct(data, off)
                 n = piece.num_rows
@@ -202,8 +202,8 @@ def _label(languages: list[str], shared, moves: np.ndarray, accept: float | None
                 if len(back) and languages:
                     score = np.zeros((len(starts), len(languages)))
                     hasher = byte_hasher(low)
-                    for a in range(0, len(starts), 50_000):
-                        score[a : a + 50_000] = emissions(weights, *features(low, hasher, starts[a : a + 50_000], ends[a : a + 50_000]))
+                    for a in range(0, len(starts), 20_000):
+                        score[a : a + 20_000] = emissions(weights, *features(low, hasher, starts[a : a + 20_000], ends[a : a + 20_000]))
                     score[~lettered(low, starts, ends)] = 0
                     x = np.exp(np.maximum(score - score.max(1, keepdims=True), -40))[back]
                     gamma = chains.posteriors(x, step, start, counts)[0]

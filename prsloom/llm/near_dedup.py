@@ -98,11 +98,15 @@ def _sign(shingle: int, coordinates: int, percent: int):
                         signature[full, c] = np.minimum.reduceat(((hashes ^ masks[c]) * factors[c]) >> np.uint64(32), at)
                     sums[0, full] = np.add.reduceat(mix(hashes + np.uint64(1)), at)
                     sums[1, full] = np.bitwise_xor.reduceat(mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
-                seen = np.zeros((piece.num_rows, BITS), bool)
-                seen[row_of(cut), (mix(hashes + np.uint64(2)) & np.uint64(BITS - 1)).astype(np.int64)] = True
+                bits = []
+                for a in range(0, piece.num_rows, 1024):
+                    b = min(a + 1024, piece.num_rows)
+                    seen = np.zeros((b - a, BITS), bool)
+                    seen[row_of(cut[a : b + 1]), (mix(hashes[cut[a] : cut[b]] + np.uint64(2)) & np.uint64(BITS - 1)).astype(np.int64)] = True
+                    bits += [x.tobytes() for x in np.packbits(seen, axis=1)]
                 own = [hashes[a:b].tobytes() if 100 * SMALL >= percent * (b - a) else None for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("key"), pa.array(size.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([x.tobytes() for x in signature], pa.binary()), pa.array([x.tobytes() for x in np.packbits(seen, axis=1)], pa.binary()), pa.array(own, pa.binary())],
+                    [piece.column("key"), pa.array(size.astype(np.int64)), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), pa.array([x.tobytes() for x in signature], pa.binary()), pa.array(bits, pa.binary()), pa.array(own, pa.binary())],
                     ["key", "n", "h1", "h2", "signature", "bits", "own"],
                 )
 
@@ -187,7 +191,8 @@ def _across(least: int, percent: int, best: int | None):
             r, c, same = r[keep], c[keep], same[keep]
             # what two sets share leaves a bit in both maps but for those lost in either: a bound from above
             u, v = x[r], right[c]
-            most = np.bitwise_count(bits[u] & bits[v]).sum(1) + np.minimum(lost[u], lost[v])
+            both_have = [np.bitwise_count(bits[u[k : k + 4096]] & bits[v[k : k + 4096]]).sum(1) for k in range(0, len(u), 4096)]
+            most = np.concatenate([np.zeros(0, np.int64), *both_have]) + np.minimum(lost[u], lost[v])
             keep = 100 * most >= percent * (n[u] + n[v] - most)
             r, c, same = r[keep], c[keep], same[keep]
             if best is not None:
