@@ -5,14 +5,16 @@ beyond Latin, and has 16 characters at most (about three on average). A k-mer of
 of its symbols' hashes stands at its first or last place. That depends on the k-mer alone, so an edit
 changes only the anchors that it touches and pieces of a text keep theirs at shifted positions. That is used
 here: the anchors of a text whose end is replaced are those of the symbols that stay, and those of the new end read from
-the last symbol's start; no anchor of what stays is computed again. A fingerprint is the SKETCH smallest
-distinct anchor hashes; the likeness of two is the share of the smallest hashes of both that both have
-(an estimate of the Jaccard likeness of the anchor sets, exact up to SKETCH anchors). A text of fewer than K symbols
-has itself as its only anchor; an empty text has none, and two empty ones are alike 1.
+the last symbol's start; no anchor of what stays is computed again. A fingerprint holds every anchor in order: base64 of
+9 bytes each, the hash and the distance in symbols from the anchor before (the first: from the start; at most K, as one of
+any K k-mers in a row is an anchor). The likeness of two is exact, over all their anchors: the first place of
+an anchor in one text meets its first place in the other, the second the second, and so on; the places that meet, by all
+places of both. A shift costs nothing, and no common shift is asked for. A text of fewer than K symbols has itself
+as its only anchor; an empty text has none, and two empty ones are alike 1.
 
-Plan: texts are shuffled once, by id. The order of the ids is found on ids alone, by a range
-partitioning and a window in each range, never in one task; each text sends the quarter that
-its predecessor takes, and later its fingerprint, to that predecessor.
+Plan: texts are shuffled twice, by id and to their predecessor's id, where both likenesses are found (the anchors of a
+text are longer than the text). The order of the ids is found on ids alone, by a range partitioning and a window in
+each range, never in one task.
 
 Input cases: a null text is empty; a null doc_id counts as the smallest id and is returned as null; of
 rows that share a doc_id the shortest text counts, then the first in order; a single document
@@ -27,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, keyed, shuffle_width, written
 
 K = 4
-SKETCH = 64
 SYMBOL = r"'(?s)[^\\se\\u0250-\\uFFFF]{0,15}.'"
 
 
@@ -43,31 +44,35 @@ def anchors(h: str) -> str:
     return f"if(size({h}) < {K}, array(), transform(filter(sequence(0, size({h}) - {K}), i -> {ends} <= least({inner})), i -> struct(i as at, xxhash64({whole}) as hash)))"
 
 
-def sketch(hashes: str) -> str:
-    return f"slice(sort_array(array_distinct({hashes})), 1, {SKETCH})"
+def meeting(a: str, b: str) -> str:
+    """SQL for how many places of two columns of anchor hashes meet. Time n log n."""
+    # sorted hashes, the lowest bit for the side; `cut` has the start of each run, and the end
+    sides = f"sort_array(concat(transform({a}, x -> x & -2L), transform({b}, x -> x | 1L)))"
+    cuts = "filter(sequence(0, size(s)), i -> i = 0 or i = size(s) or s[i] != s[i - 1])"
+    meet = "aggregate(sequence(1, size(y.cut) - 1), 0L, (n, j) -> n + if(j + 1 < size(y.cut) and y.s[y.cut[j - 1]] + 1 = y.s[y.cut[j]] and y.s[y.cut[j - 1]] & 1 = 0, least(y.cut[j] - y.cut[j - 1], y.cut[j + 1] - y.cut[j]), 0))"
+    return f"if(size({a}) = 0 or size({b}) = 0, 0L, transform(transform(array({sides}), s -> struct(s, {cuts} as cut)), y -> {meet})[0])"
 
 
-def alike(a: str, b: str) -> str:
-    both = f"slice(sort_array(array_union({a}, {b})), 1, {SKETCH})"
-    return f"if(size({a}) = 0 and size({b}) = 0, 1D, size(array_intersect(array_intersect({both}, {a}), {b})) / cast(size({both}) as double))"
+def likeness(a: str, b: str, n: str) -> str:
+    """SQL for n, the places that meet, by all places of both."""
+    return f"if(size({a}) = 0 and size({b}) = 0, 1D, {n} / cast(size({a}) + size({b}) - {n} as double))"
 
 
-def shown(hashes: str) -> Column:
-    return F.expr(f"array_join(transform({hashes}, x -> lpad(hex(x), 16, '0')), '')")
+def encoded(a: str) -> Column:
+    """All anchors (at, hash), in order."""
+    return F.expr(f"replace(base64(unhex(array_join(transform({a}, (x, i) -> concat(lpad(hex(x.hash), 16, '0'), lpad(hex(x.at - if(i = 0, 0, {a}[i - 1].at)), 2, '0'))), ''))), '\\r\\n', '')")
 
 
 def chained(docs: DataFrame) -> DataFrame:
-    """(key, before, n_before): each id's predecessor in ascending order and its length; the first one's is the last."""
+    """(key, before): each id's predecessor in ascending order; the first one's is the last."""
     spark = docs.sparkSession
-    sizes = docs.groupBy("key").agg(F.min("n").alias("n"))
-    ranged = written(sizes.repartitionByRange(shuffle_width(spark), "key").withColumn("part", F.spark_partition_id()), "order")
-    ends = ranged.groupBy("part").agg(F.max(F.struct("key", "n")).alias("last"))
+    ranged = written(docs.select("key").distinct().repartitionByRange(shuffle_width(spark), "key").withColumn("part", F.spark_partition_id()), "order")
+    ends = ranged.groupBy("part").agg(F.max("key").alias("last"))
     whole = Window.orderBy("part")  # a row for each range
     ends = ends.select("part", F.coalesce(F.lag("last").over(whole), F.last("last").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("earlier"))
     within = Window.partitionBy("part").orderBy("key")
-    rows = ranged.withColumn("before", F.lag(F.struct("key", "n")).over(within)).join(F.broadcast(ends), "part")
-    before = F.coalesce("before", "earlier")
-    return rows.select("key", before["key"].alias("before"), before["n"].alias("n_before"))
+    rows = ranged.withColumn("before", F.lag("key").over(within)).join(F.broadcast(ends), "part")
+    return rows.select("key", F.coalesce("before", "earlier").alias("before"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -78,25 +83,28 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = keyed(docs).select("key", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.char_length("text"))
     texts = rows.groupBy("key").agg(F.min(F.struct("n", "text")).alias("d")).select("key", "d.n", "d.text")
     placed = texts.join(chained(rows), "key")
-    given = placed.select(F.col("before").alias("key"), F.expr("left(text, n_before div 4)").alias("head"))
-    edited = placed.join(given, "key").withColumn("kept", F.expr("left(text, n - n div 4)"))
-    edited = edited.withColumns({"h": F.expr(hashes("text")), "stay": F.expr(f"regexp_extract_all(kept, {SYMBOL}, 0)")})
+    given = placed.select(F.col("before").alias("key"), F.col("text").alias("next"))
+    edited = placed.join(given, "key").withColumns({"kept": F.expr("left(text, n - n div 4)"), "head": F.expr("left(next, n div 4)")})
+    edited = edited.withColumns({"h": F.expr(hashes("text")), "g": F.expr(hashes("next")), "stay": F.expr(f"regexp_extract_all(kept, {SYMBOL}, 0)")})
     # all symbols of what is kept are the text's own, but for the last, which goes on in what comes in
     edited = edited.withColumns({"whole": F.expr("concat(kept, head)"), "m": F.expr("greatest(size(stay) - 1, 0)"), "end": F.expr("concat(if(size(stay) = 0, '', element_at(stay, -1)), head)")}).drop("stay", "kept", "head")
     edited = edited.withColumns({"a": F.expr(anchors("h")), "new": F.expr(f"concat(slice(h, greatest(m - {K - 2}, 1), least(m, {K - 1})), {hashes('end')})")})
     edited = edited.withColumns({"b": F.expr(anchors("new")), "few": F.expr(f"m + size(new) - least(m, {K - 1}) < {K}")})
-    own_anchors = f"if(size(h) < {K}, if(text = '', array(), array(xxhash64(text))), transform(a, x -> x.hash))"
-    new_anchors = f"if(few, if(whole = '', array(), array(xxhash64(whole))), concat(transform(filter(a, x -> x.at <= m - {K}), x -> x.hash), transform(b, x -> x.hash)))"
-    own = edited.select("key", "before", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("whole").cast("binary"), 256).alias("edited_sha256"), F.expr(sketch(own_anchors)).alias("f"), F.expr(sketch(new_anchors)).alias("e"))
-    # each row goes to its own id, and its fingerprint to its predecessor's
-    sent = own.select(F.explode(F.array(F.struct("key", F.struct("n_chars", "edited_sha256", "f", "e").alias("own"), F.lit(None).cast("array<bigint>").alias("next")), F.struct(F.col("before").alias("key"), F.lit(None).alias("own"), F.col("f").alias("next")))).alias("x")).select("x.*")
-    out = sent.groupBy("key").agg(F.first("own", True).alias("o"), F.first("next", True).alias("next")).select("key", "o.*", "next")
-    return out.select(
+    alone = lambda t: f"if({t} = '', array(), array(struct(0 as at, xxhash64({t}) as hash)))"
+    own, following = (f"if(size({h}) < {K}, {alone(t)}, {x})" for h, t, x in (("h", "text", "a"), ("g", "next", anchors("g"))))
+    moved = f"transform(b, x -> struct(x.at + m - least(m, {K - 1}) as at, x.hash as hash))"
+    edited = edited.withColumn("same", F.expr(f"if(few, 0, size(filter(a, x -> x.at <= m - {K})))"))
+    new = f"if(few, {alone('whole')}, concat(slice(a, 1, same), {moved}))"
+    found = edited.select("key", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("whole").cast("binary"), 256).alias("edited_sha256"), "same", F.expr(own).alias("f"), F.expr(new).alias("e"), F.expr(f"transform({following}, x -> x.hash)").alias("next"))
+    # the anchors that stay meet themselves, whatever comes after them
+    rest = [f"slice({x}.hash, same + 1, size({x}))" for x in "fe"]
+    found = found.withColumns({"ne": F.expr(f"same + {meeting(*rest)}"), "nn": F.expr(meeting("f.hash", "next"))})
+    return found.select(
         F.when(F.col("key") != NULL_ID, F.col("key")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
-        shown("f").alias("fingerprint"),
-        shown("e").alias("edited_fingerprint"),
-        F.expr(alike("f", "e")).alias("near_edited"),
-        F.expr(alike("f", "next")).alias("near_next"),
+        encoded("f").alias("fingerprint"),
+        encoded("e").alias("edited_fingerprint"),
+        F.expr(likeness("f", "e", "ne")).alias("near_edited"),
+        F.expr(likeness("f", "next", "nn")).alias("near_next"),
     )

@@ -1,5 +1,7 @@
 """Operators against brute force on small tables."""
 
+import base64
+import collections
 import hashlib
 import os
 import re
@@ -284,6 +286,35 @@ def test_syncmers(documents):
     assert np.mean([got[d].near_edited > got[d].near_next for d in long]) > 0.9
 
 
+def anchors_of(fingerprint):
+    """Places and hashes of a fingerprint."""
+    data, at, out = base64.b64decode(fingerprint, validate=True), 0, []
+    for k in range(0, len(data), 9):
+        at += data[k + 8]
+        out.append((at, data[k : k + 8]))
+    return out
+
+
+def test_syncmers_keep_all_anchors(documents):
+    """Long documents that share only a late passage, and one with repeated anchors: nothing is sampled."""
+    rng = np.random.default_rng(9)
+    made = lambda n: " ".join("".join(rng.choice(list("abcdfghiklmnoprstu"), 6)) for _ in range(n))
+    shared = made(20)
+    texts = [f"{made(1500)} {shared} {made(100)}", f"{made(900)} {shared}", "the same words again and " * 90, "the same words again and " * 30, "ab", ""]
+    got = {r.doc_id: r for r in syncmers.fingerprints(documents(texts)).collect()}
+    full = {d: anchors_of(r.fingerprint) for d, r in got.items()}
+    assert len(full[0]) > 600 and [len(full[d]) for d in (4, 5)] == [1, 0]
+    for d, r in got.items():
+        symbols = re.findall(r"(?s)[^\se\u0250-\uffff]{0,15}.", texts[d])
+        assert all(x < y <= x + syncmers.K for (x, _), (y, _) in zip(full[d], full[d][1:]))
+        assert not full[d] or full[d][-1][0] + syncmers.K <= max(len(symbols), syncmers.K)
+        for near, other in ((r.near_edited, anchors_of(r.edited_fingerprint)), (r.near_next, full[(d + 1) % len(texts)])):
+            a, b = (collections.Counter(h for _, h in x) for x in (full[d], other))
+            want = (a & b).total() / (a | b).total() if a or b else 1
+            assert near == pytest.approx(want)
+    assert 0 < got[0].near_next < 0.1
+
+
 def test_url_rules(spark):
     urls = ["https://a.net/x", "http://EXAMPLE.net/en/1?q=2", "https://shop.example.com/de/3.html", "https://x.org/fr/", "https://notnet/x", None, "no scheme", "ftp://b.org/other#x", "https://example.com/en/4", "https://x.org", "https://y.net?z"]
     urls += [f"https://bad-ads{k}.net/promo/{k}" for k in range(30)] + [f"https://s{k}.org/fr/doc/{k}" for k in range(30)] + ["https://q.info/promo/7", "https://q.info/doc/7"]
