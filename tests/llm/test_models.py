@@ -78,6 +78,15 @@ def test_hmm_base_and_gain(documents):
     assert sum(got[k].score for k in held) > sum(got[k].base_score for k in held)
 
 
+def test_hmm_does_not_depend_on_the_order_of_rows(documents, monkeypatch):
+    """The seed is drawn from all blocks: sources stored one after another count as much as mixed ones."""
+    monkeypatch.setattr(hmm, "SEED_WORDS", 400)
+    langs = list(SOUNDS)
+    rows = [(k, text(langs[k // 100], 30), "x") for k in range(300)]
+    one, two = ({r.doc_id: r.score for r in hmm.score(documents(x).coalesce(1), states=3).collect()} for x in (rows, rows[::-1]))
+    assert one == pytest.approx(two, rel=1e-6)
+
+
 def test_hmm_probabilities_sum_to_one():
     """Over one-word texts of every class, end included: sum of P(class sequence) is the chance of two tokens."""
     rng = np.random.default_rng(1)
