@@ -11,7 +11,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Null ids stand as this key in joins and come first in id order.
@@ -52,6 +52,11 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def digest() -> Column:
+    """Beside doc_id, what a row is known by: rows of equal id and text get equal decisions."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker."""
     return sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache")).__dict__.setdefault("found", {})

@@ -19,6 +19,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import digest
+
 N = 8
 MIN_ITEMS = 2
 #: Windows that may be broadcast (8 bytes a hash, some hundred with the words).
@@ -40,14 +42,15 @@ def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     return windows.groupBy("k", "gram").agg(F.collect_set("item").alias("items")).select("k", F.xxhash64("gram").alias("hash"), "gram", "items")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, max_set: int = MAX_SET) -> DataFrame:
-    """A row for each document: rid, doc_id, n_words, and the verified hits (at, k, items) gathered."""
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, max_set: int = MAX_SET, also: dict[str, Column] | None = None) -> DataFrame:
+    """A row for each document: rid, doc_id, n_words, columns of also, and the verified hits (at, k, items) gathered."""
+    also = also or {}
     spark = docs.sparkSession
     grams = benchmark_windows(benchmark, n)
     known = grams.select("k", "hash").limit(max_set + 1).collect()
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
+    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"), *(x.alias(c) for c, x in also.items()))
     if not known:
-        return base.select("rid", "doc_id", F.size("w").cast("long").alias("n_words"), F.expr("cast(array() as array<struct<at:int,k:int,items:array<string>>>)").alias("hits"))
+        return base.select("rid", "doc_id", *also, F.size("w").cast("long").alias("n_words"), F.expr("cast(array() as array<struct<at:int,k:int,items:array<string>>>)").alias("hits"))
     if len(known) <= max_set:
         by: dict[int, list[int]] = {}
         for k, h in known:
@@ -57,19 +60,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, max_set: int = MAX_S
     else:  # too many to broadcast: every window is looked up by a join
         lengths = [x.k for x in grams.select("k").distinct().collect()]  # at most n rows
         found = [f"transform(if(size(w) < {k}, array(), sequence(1, size(w) - {k - 1})), i -> struct(i as at, {k} as k))" for k in lengths]
-    rows = base.select("rid", "doc_id", F.size("w").alias("n_words"), "w", F.explode_outer(F.expr(f"concat({', '.join(found)})") if len(found) > 1 else F.expr(found[0])).alias("hit"))
-    rows = rows.select("rid", "doc_id", "n_words", "hit.at", "hit.k", F.expr("slice(w, hit.at, hit.k)").alias("gram")).withColumn("hash", F.xxhash64("gram"))
+    rows = base.select("rid", "doc_id", *also, F.size("w").alias("n_words"), "w", F.explode_outer(F.expr(f"concat({', '.join(found)})") if len(found) > 1 else F.expr(found[0])).alias("hit"))
+    rows = rows.select("rid", "doc_id", *also, "n_words", "hit.at", "hit.k", F.expr("slice(w, hit.at, hit.k)").alias("gram")).withColumn("hash", F.xxhash64("gram"))
     joined = rows.join(grams, ["k", "hash", "gram"], "left")
     verified = F.when(F.col("items").isNotNull(), F.struct(F.col("at").cast("int").alias("at"), F.col("k").cast("int").alias("k"), "items"))
-    return joined.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").cast("long").alias("n_words"), F.collect_list(verified).alias("hits"))
+    return joined.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in also), F.first("n_words").cast("long").alias("n_words"), F.collect_list(verified).alias("hits"))
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, n: int = N, min_items: int = MIN_ITEMS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, hit_words (1-based)."""
-    found = hits(docs, benchmark, n)
+def judged(docs: DataFrame, benchmark: DataFrame, n: int = N, min_items: int = MIN_ITEMS, also: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, hit_words (1-based), and columns of also."""
+    found = hits(docs, benchmark, n, also=also)
     covered = F.expr("array_sort(array_distinct(flatten(transform(hits, h -> sequence(h.at, h.at + h.k - 1)))))")
     items = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
-    out = found.select("doc_id", "n_words", covered.alias("hit_words"), items.alias("items"))
+    out = found.select("doc_id", *(also or {}), "n_words", covered.alias("hit_words"), items.alias("items"))
     return out.select(
         "doc_id",
         "n_words",
@@ -79,15 +82,17 @@ def judged(docs: DataFrame, benchmark: DataFrame, n: int = N, min_items: int = M
         (F.size("items") >= min_items).alias("contaminated"),
         "items",
         "hit_words",
+        *(also or {}),
     )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, min_items: int = MIN_ITEMS, cut: bool = True) -> DataFrame:
     """The documents without those that hold windows of min_items benchmark items or more; with cut, the others lose
-    the words that any window covers, each with the separator after it. Rows that share a doc_id are treated alike."""
-    found = judged(docs, benchmark, n, min_items).filter("n_hit > 0")
-    spans = found.groupBy(F.col("doc_id").alias("_id")).agg(F.max("contaminated").alias("_bad"), F.flatten(F.collect_list("hit_words")).alias("_hit"))
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")), "left").filter("_bad is null or not _bad")
+    the words that any window covers, each with the separator after it. Rows that share a doc_id, or have none, are treated each by its own text."""
+    found = judged(docs, benchmark, n, min_items, {"_digest": digest()}).filter("n_hit > 0")
+    spans = found.groupBy(F.col("doc_id").alias("_id"), "_digest").agg(F.max("contaminated").alias("_bad"), F.first("hit_words").alias("_hit"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
+    joined = docs.withColumn("_own", digest()).join(spans, same, "left").filter("_bad is null or not _bad")
     if not cut:
         return joined.select(docs.columns)
     word, gap = (f"if(_hit is null, null, {f})" for f in (f"regexp_extract_all(text, '{WORD}', 0)", f"split(text, '{WORD}', -1)"))

@@ -17,7 +17,7 @@ lengths of what lies between them and of the matches are window sums within the
 a text with very many matches costs no more than sorting them.
 
 Input cases: a null or empty text has no spans; a null doc_id is returned as it is; rows that share a
-doc_id are judged each on its own (redact() cuts the spans of each from all of them); an
+doc_id are judged each on its own, in redact() too; an
 empty table gives an empty result; extra columns are ignored, or kept by redact().
 """
 
@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import digest, written
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Java forms of the base patterns. Possessive loops match what the plain ones do, without recursion;
@@ -70,10 +70,10 @@ def small(part: Column) -> Column:
     return (F.length(bare) <= 3) & (F.lpad(bare, 3, "0") <= "255")
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """A row for each document and candidate: rid, doc_id, kind, start, end, match, before; kind is null in the
+def candidates(docs: DataFrame, also: dict[str, Column] | None = None) -> DataFrame:
+    """A row for each document and candidate: rid, doc_id, columns of also, kind, start, end, match, before; kind is null in the
     one row of a document without any."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(x.alias(c) for c, x in (also or {}).items()))
     wanted = "text rlike '[0-9=@]|(?i)[(\\\\[]at[)\\\\]]'"
     lists = []
     for k, kind in enumerate(KINDS):
@@ -83,7 +83,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     gaps = [f"if({NEEDS.get(kind, 'text rlike ' + q('[0-9]'))}, split(text, {q(PATTERNS[kind])}, -1), array())" for kind in KINDS]
     zipped = ", ".join(f"transform({a}, (x, i) -> struct(x.kind as kind, x.place as place, x.match as match, char_length(gap[{k}][i]) as gap, right(gap[{k}][i], 32) as before))" for k, a in enumerate(lists))
     found = rows.withColumn("gap", F.expr(f"if({wanted}, array({', '.join(gaps)}), null)"))
-    found = found.select("rid", "doc_id", F.explode_outer(F.expr(f"if({wanted}, concat({zipped}), null)")).alias("c")).select("rid", "doc_id", "c.*")
+    found = found.select("rid", "doc_id", *(also or {}), F.explode_outer(F.expr(f"if({wanted}, concat({zipped}), null)")).alias("c")).select("rid", "doc_id", *(also or {}), "c.*")
     up_to = Window.partitionBy("rid", "kind").orderBy("place")
     end = F.sum(F.col("gap") + F.char_length("match")).over(up_to)
     return found.withColumn("end", end.cast("int")).withColumn("start", (F.col("end") - F.char_length("match")).cast("int")).drop("gap", "place")
@@ -165,9 +165,9 @@ def fit(patterns: list[tuple[str, tuple[int, ...], int, int]], rounds: int = 50)
     return weights
 
 
-def classified(docs: DataFrame) -> DataFrame:
+def classified(docs: DataFrame, also: dict[str, Column] | None = None) -> DataFrame:
     """A row for each candidate of each document with base, score and found; one with a null kind where there is none."""
-    table = written(voted(candidates(docs)).select("rid", "doc_id", "kind", "start", "end", "base", *LABELERS, "long"), "spans")
+    table = written(voted(candidates(docs, also)).select("rid", "doc_id", *(also or {}), "kind", "start", "end", "base", *LABELERS, "long"), "spans")
     counted = table.filter("kind is not null").groupBy("kind", *LABELERS, "long").agg(F.count("*").alias("n")).collect()  # a few hundred rows at most
     weights = fit(sorted((x.kind, tuple(x[y] for y in LABELERS), x.long, x.n) for x in counted))
     score = F.lit(weights.get("bias", 0.0))
@@ -198,15 +198,16 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in angle brackets; overlapping spans become one."""
-    spans = classified(docs).filter("found").select(F.col("doc_id").alias("_id"), "start", "end", "kind").distinct()
-    before = Window.partitionBy("_id").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    spans = classified(docs, {"_digest": digest()}).filter("found").select(F.col("doc_id").alias("_id"), "_digest", "start", "end", "kind").distinct()
+    before = Window.partitionBy("_id", "_digest").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
     opens = spans.withColumn("opens", F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("int"))
-    groups = opens.withColumn("g", F.sum("opens").over(Window.partitionBy("_id").orderBy("start", F.desc("end"), "kind")))
-    merged = groups.groupBy("_id", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "kind")).alias("kind"))
-    listed = merged.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans"))
+    groups = opens.withColumn("g", F.sum("opens").over(Window.partitionBy("_id", "_digest").orderBy("start", F.desc("end"), "kind")))
+    merged = groups.groupBy("_id", "_digest", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "kind")).alias("kind"))
+    listed = merged.groupBy("_id", "_digest").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans"))
     cut = F.expr("""concat(
         array_join(transform(_spans, (s, i) -> concat(substring(text, if(i = 0, 0, _spans[i - 1].end) + 1, s.start - if(i = 0, 0, _spans[i - 1].end)), '<', upper(s.kind), '>')), ''),
         substring(text, element_at(_spans, -1).end + 1))""")
-    joined = docs.join(listed, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
+    joined = docs.withColumn("_own", digest()).join(listed, same, "left")
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)
     return joined.withColumn("text", text).select(docs.columns)

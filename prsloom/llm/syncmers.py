@@ -16,8 +16,9 @@ Plan: texts are shuffled twice, by id and to their predecessor's id, where both
 text are longer than the text). The order of the ids is found on ids alone, by a range partitioning and a window in
 each range, never in one task.
 
-Input cases: a null text is empty; a null doc_id counts as the smallest id and is returned as null; of
-rows that share a doc_id the shortest text counts, then the first in order; a single document
+Input cases: a null text is empty; a null doc_id counts as the smallest id and is returned as null;
+rows that share a doc_id follow each other by length, then by a hash of the text; copies of id and text are one document,
+returned once, or as often as they stand there if the id is null; a single document
 follows itself; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -64,15 +65,15 @@ def encoded(a: str) -> Column:
 
 
 def chained(docs: DataFrame) -> DataFrame:
-    """(key, before): each id's predecessor in ascending order; the first one's is the last."""
+    """(rid, before): each document's predecessor in ascending order; the first one's is the last."""
     spark = docs.sparkSession
-    ranged = written(docs.select("key").distinct().repartitionByRange(shuffle_width(spark), "key").withColumn("part", F.spark_partition_id()), "order")
-    ends = ranged.groupBy("part").agg(F.max("key").alias("last"))
+    ranged = written(docs.select("rid").distinct().repartitionByRange(shuffle_width(spark), "rid").withColumn("part", F.spark_partition_id()), "order")
+    ends = ranged.groupBy("part").agg(F.max("rid").alias("last"))
     whole = Window.orderBy("part")  # a row for each range
     ends = ends.select("part", F.coalesce(F.lag("last").over(whole), F.last("last").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("earlier"))
-    within = Window.partitionBy("part").orderBy("key")
-    rows = ranged.withColumn("before", F.lag("key").over(within)).join(F.broadcast(ends), "part")
-    return rows.select("key", F.coalesce("before", "earlier").alias("before"))
+    within = Window.partitionBy("part").orderBy("rid")
+    rows = ranged.withColumn("before", F.lag("rid").over(within)).join(F.broadcast(ends), "part")
+    return rows.select("rid", F.coalesce("before", "earlier").alias("before"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -81,10 +82,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has its last quarter replaced by as much of the next document's start.
     """
     rows = keyed(docs).select("key", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.char_length("text"))
-    texts = rows.groupBy("key").agg(F.min(F.struct("n", "text")).alias("d")).select("key", "d.n", "d.text")
-    placed = texts.join(chained(rows), "key")
-    given = placed.select(F.col("before").alias("key"), F.col("text").alias("next"))
-    edited = placed.join(given, "key").withColumns({"kept": F.expr("left(text, n - n div 4)"), "head": F.expr("left(next, n div 4)")})
+    rows = rows.select(F.struct("key", "n", F.xxhash64("text").alias("h")).alias("rid"), "n", "text")
+    texts = rows.groupBy("rid").agg(F.min("text").alias("text"), F.count("*").alias("copies")).select("rid", "rid.n", "text", "copies")
+    placed = texts.join(chained(rows), "rid")
+    given = placed.select(F.col("before").alias("rid"), F.col("text").alias("next"))
+    edited = placed.join(given, "rid").withColumns({"kept": F.expr("left(text, n - n div 4)"), "head": F.expr("left(next, n div 4)")})
     edited = edited.withColumns({"h": F.expr(hashes("text")), "g": F.expr(hashes("next")), "stay": F.expr(f"regexp_extract_all(kept, {SYMBOL}, 0)")})
     # all symbols of what is kept are the text's own, but for the last, which goes on in what comes in
     edited = edited.withColumns({"whole": F.expr("concat(kept, head)"), "m": F.expr("greatest(size(stay) - 1, 0)"), "end": F.expr("concat(if(size(stay) = 0, '', element_at(stay, -1)), head)")}).drop("stay", "kept", "head")
@@ -95,11 +97,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     moved = f"transform(b, x -> struct(x.at + m - least(m, {K - 1}) as at, x.hash as hash))"
     edited = edited.withColumn("same", F.expr(f"if(few, 0, size(filter(a, x -> x.at <= m - {K})))"))
     new = f"if(few, {alone('whole')}, concat(slice(a, 1, same), {moved}))"
-    found = edited.select("key", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("whole").cast("binary"), 256).alias("edited_sha256"), "same", F.expr(own).alias("f"), F.expr(new).alias("e"), F.expr(f"transform({following}, x -> x.hash)").alias("next"))
+    found = edited.select("rid.key", "copies", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("whole").cast("binary"), 256).alias("edited_sha256"), "same", F.expr(own).alias("f"), F.expr(new).alias("e"), F.expr(f"transform({following}, x -> x.hash)").alias("next"))
     # the anchors that stay meet themselves, whatever comes after them
     rest = [f"slice({x}.hash, same + 1, size({x}))" for x in "fe"]
     found = found.withColumns({"ne": F.expr(f"same + {meeting(*rest)}"), "nn": F.expr(meeting("f.hash", "next"))})
-    return found.select(
+    out = found.select(
+        F.expr(f"sequence(1L, if(key = {NULL_ID + 1}L - 1L, copies, 1L))").alias("copy"),
         F.when(F.col("key") != NULL_ID, F.col("key")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
@@ -108,3 +111,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.expr(likeness("f", "e", "ne")).alias("near_edited"),
         F.expr(likeness("f", "next", "nn")).alias("near_next"),
     )
+    return out.withColumn("copy", F.explode("copy")).drop("copy")

@@ -315,6 +315,17 @@ def test_syncmers_keep_all_anchors(documents):
     assert 0 < got[0].near_next < 0.1
 
 
+def test_rows_without_an_id_are_judged_by_their_own_text(spark, documents):
+    bench = spark.createDataFrame([(1, "one two three"), (2, "four five six")], "item_id long, text string")
+    texts = ["one two three four five six", "one two three and more", "clean words that must stay", "mail jo@site.org now and then", "clean words that must stay"]
+    for key in (None, 7):
+        docs = documents([(key, t) for t in texts])
+        assert sorted(r.text for r in decontaminate.decontaminate(docs, bench, 3).collect()) == sorted(["and more", *texts[2:]])
+        assert sorted(r.text for r in pii.redact(docs).collect()) == sorted([*texts[:3], "mail <EMAIL> now and then", texts[4]])
+    found = syncmers.fingerprints(documents([(None, t) for t in texts])).collect()
+    assert sorted(r.n_chars for r in found) == sorted(map(len, texts))
+
+
 def test_url_rules(spark):
     urls = ["https://a.net/x", "http://EXAMPLE.net/en/1?q=2", "https://shop.example.com/de/3.html", "https://x.org/fr/", "https://notnet/x", None, "no scheme", "ftp://b.org/other#x", "https://example.com/en/4", "https://x.org", "https://y.net?z"]
     urls += [f"https://bad-ads{k}.net/promo/{k}" for k in range(30)] + [f"https://s{k}.org/fr/doc/{k}" for k in range(30)] + ["https://q.info/promo/7", "https://q.info/doc/7"]
