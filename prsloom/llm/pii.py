@@ -74,7 +74,7 @@ def candidates(docs: DataFrame, also: dict[str, Column] | None = None) -> DataFr
     """A row for each document and candidate: rid, doc_id, columns of also, kind, start, end, match, before; kind is null in the
     one row of a document without any."""
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *(x.alias(c) for c, x in (also or {}).items()))
-    wanted = "text rlike '[0-9=@]|(?i)[(\\\\[]at[)\\\\]]'"
+    wanted = " or ".join(sorted({NEEDS.get(kind, "text rlike '[0-9]'") for kind in KINDS}))
     lists = []
     for k, kind in enumerate(KINDS):
         need = NEEDS.get(kind, "text rlike '[0-9]'")

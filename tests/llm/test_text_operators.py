@@ -268,6 +268,13 @@ def test_pii_labels_and_redaction(documents):
     assert weights["regex=1"] > weights["regex=0"]
 
 
+def test_pii_finds_a_secret_of_letters_after_a_colon(documents):
+    texts = ["password: correcthorsebattery", "no secret: here", "password: correcthorsebattery 1"] * 5
+    got = {r.doc_id: r for r in pii.report(documents(texts)).collect()}
+    assert got[0].spans == got[2].spans == "secret:0:29" and "secret" not in got[1].spans
+    assert {r.doc_id: r.text for r in pii.redact(documents(texts)).collect()}[0] == "<SECRET>"
+
+
 def test_syncmers(documents):
     texts = [t or "" for t in mixture(7)] + ["", "", "ab", "日本語のテキスト" * 20, "e" * 400]
     got = {r.doc_id: r for r in syncmers.fingerprints(documents(texts)).collect()}
