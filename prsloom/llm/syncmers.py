@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, keyed, shuffle_width, written
 
 K = 4
+#: What a document is known by: id, length and a hash of the text.
+ROW = ["key", "n", "mark"]
 SYMBOL = r"'(?s)[^\\se\\u0250-\\uFFFF]{0,15}.'"
 
 
@@ -65,15 +67,15 @@ def encoded(a: str) -> Column:
 
 
 def chained(docs: DataFrame) -> DataFrame:
-    """(rid, before): each document's predecessor in ascending order; the first one's is the last."""
+    """(key, n, mark, copies, before): each document's predecessor in ascending order; the first one's is the last."""
     spark = docs.sparkSession
-    ranged = written(docs.select("rid").distinct().repartitionByRange(shuffle_width(spark), "rid").withColumn("part", F.spark_partition_id()), "order")
-    ends = ranged.groupBy("part").agg(F.max("rid").alias("last"))
+    ranged = written(docs.groupBy(*ROW).agg(F.count("*").alias("copies")).repartitionByRange(shuffle_width(spark), *ROW).withColumn("part", F.spark_partition_id()), "order")
+    ends = ranged.groupBy("part").agg(F.max(F.struct(*ROW)).alias("last"))
     whole = Window.orderBy("part")  # a row for each range
     ends = ends.select("part", F.coalesce(F.lag("last").over(whole), F.last("last").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("earlier"))
-    within = Window.partitionBy("part").orderBy("rid")
-    rows = ranged.withColumn("before", F.lag("rid").over(within)).join(F.broadcast(ends), "part")
-    return rows.select("rid", F.coalesce("before", "earlier").alias("before"))
+    within = Window.partitionBy("part").orderBy(*ROW)
+    rows = ranged.withColumn("before", F.lag(F.struct(*ROW)).over(within)).join(F.broadcast(ends), "part")
+    return rows.select(*ROW, "copies", F.coalesce("before", "earlier").alias("before"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -82,11 +84,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has its last quarter replaced by as much of the next document's start.
     """
     rows = keyed(docs).select("key", F.coalesce("text", F.lit("")).alias("text")).withColumn("n", F.char_length("text"))
-    rows = rows.select(F.struct("key", "n", F.xxhash64("text").alias("h")).alias("rid"), "n", "text")
-    texts = rows.groupBy("rid").agg(F.min("text").alias("text"), F.count("*").alias("copies")).select("rid", "rid.n", "text", "copies")
-    placed = texts.join(chained(rows), "rid")
-    given = placed.select(F.col("before").alias("rid"), F.col("text").alias("next"))
-    edited = placed.join(given, "rid").withColumns({"kept": F.expr("left(text, n - n div 4)"), "head": F.expr("left(next, n div 4)")})
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    texts = rows.groupBy(*ROW).agg(F.min("text").alias("text"))
+    placed = texts.join(chained(rows), ROW)
+    given = placed.select("before.*", F.col("text").alias("next"))
+    edited = placed.join(given, ROW).withColumns({"kept": F.expr("left(text, n - n div 4)"), "head": F.expr("left(next, n div 4)")})
     edited = edited.withColumns({"h": F.expr(hashes("text")), "g": F.expr(hashes("next")), "stay": F.expr(f"regexp_extract_all(kept, {SYMBOL}, 0)")})
     # all symbols of what is kept are the text's own, but for the last, which goes on in what comes in
     edited = edited.withColumns({"whole": F.expr("concat(kept, head)"), "m": F.expr("greatest(size(stay) - 1, 0)"), "end": F.expr("concat(if(size(stay) = 0, '', element_at(stay, -1)), head)")}).drop("stay", "kept", "head")
@@ -97,7 +99,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     moved = f"transform(b, x -> struct(x.at + m - least(m, {K - 1}) as at, x.hash as hash))"
     edited = edited.withColumn("same", F.expr(f"if(few, 0, size(filter(a, x -> x.at <= m - {K})))"))
     new = f"if(few, {alone('whole')}, concat(slice(a, 1, same), {moved}))"
-    found = edited.select("rid.key", "copies", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("whole").cast("binary"), 256).alias("edited_sha256"), "same", F.expr(own).alias("f"), F.expr(new).alias("e"), F.expr(f"transform({following}, x -> x.hash)").alias("next"))
+    found = edited.select("key", "copies", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("whole").cast("binary"), 256).alias("edited_sha256"), "same", F.expr(own).alias("f"), F.expr(new).alias("e"), F.expr(f"transform({following}, x -> x.hash)").alias("next"))
     # the anchors that stay meet themselves, whatever comes after them
     rest = [f"slice({x}.hash, same + 1, size({x}))" for x in "fe"]
     found = found.withColumns({"ne": F.expr(f"same + {meeting(*rest)}"), "nn": F.expr(meeting("f.hash", "next"))})
