@@ -20,30 +20,13 @@ class Dense:
     def dot(self, beta):
         return self.matrix.astype(np.float64) @ beta
 
+    def times(self, rows):
+        """Each row times the correlations."""
+        return rows @ self.matrix.astype(rows.dtype)
+
     def full(self):
         return self.matrix.astype(np.float64)
 
-    def track(self, beta):
-        return _DenseTrack(self, beta)
-
-
-class _DenseTrack:
-    def __init__(self, block, beta):
-        self.block = block
-        self.reset(beta)
-
-    def reset(self, beta):
-        self.product = self.block.dot(beta)
-
-    def at(self, j):
-        return self.product[j]
-
-    def add(self, j, delta):
-        self.product += self.block.matrix[j] * np.float64(delta)
-
-    def quadratic(self, beta):
-        return float(beta @ self.product)
-
 
 class Sparse:
     """Rows of (indices, values), the diagonal included."""
@@ -58,21 +41,15 @@ class Sparse:
     def dot(self, beta):
         return np.bincount(self.rows(), self.data.astype(np.float64) * beta[self.indices], self.size)
 
+    def times(self, rows):
+        return np.array([self.dot(x) for x in rows], rows.dtype).reshape(rows.shape)
+
     def full(self):
         out = np.zeros((self.size, self.size))
         out[self.rows(), self.indices] = self.data
         np.fill_diagonal(out, 1.0)
         return out
 
-    def track(self, beta):
-        return _SparseTrack(self, beta)
-
-
-class _SparseTrack(_DenseTrack):
-    def add(self, j, delta):
-        a, b = self.block.indptr[j], self.block.indptr[j + 1]
-        self.product[self.block.indices[a:b]] += self.block.data[a:b] * np.float64(delta)
-
 
 class LowRank:
     """R is U times its transpose with a unit diagonal; a sweep keeps U' beta instead of R beta."""
@@ -85,32 +62,193 @@ class LowRank:
         u = self.u.astype(np.float64)
         return u @ (u.T @ beta)
 
+    def times(self, rows):
+        u = self.u.astype(rows.dtype)
+        return (rows @ u) @ u.T
+
     def full(self):
         u = self.u.astype(np.float64)
         out = u @ u.T
         np.fill_diagonal(out, 1.0)
         return out
 
-    def track(self, beta):
-        return _LowRankTrack(self, beta)
 
+# --- stacks: blocks that a sweep goes through side by side -----------------------------------------
+#
+# Given the shared parameters blocks are independent, so step j of a sweep updates the j-th variant of every block in one
+# vector operation. A stack holds blocks of one kind, the largest first; those that reach step j are its first `reach[j]`.
+
+
+class _DenseStack:
+    def __init__(self, blocks):
+        size = blocks[0].size
+        self.matrix = np.zeros((len(blocks), size, size), np.float32)
+        for x, block in zip(self.matrix, blocks, strict=True):
+            x[: block.size, : block.size] = block.matrix
+        self.product = np.zeros((len(blocks), size))
+
+    def reset(self, beta):
+        for k, x in enumerate(self.matrix):
+            self.product[k] = x.astype(np.float64) @ beta[:, k]
+
+    def at(self, j, many):
+        return self.product[:many, j]
+
+    def window(self, a, b, some):
+        return self.product[some, a:b].T
+
+    def add(self, j, some, delta):
+        if len(some) == len(self.matrix) and np.ndim(j) == 0:
+            self.product += self.matrix[:, j] * delta[:, None]
+        else:
+            self.product[some] += self.matrix[some, j] * delta[:, None]
+
+    def quadratic(self, beta):
+        return np.einsum("kb,bk->b", beta, self.product)
+
+    def cross(self, beta, other):
+        """Other effects, beta, whose own product is other, times R times these."""
+        return self.quadratic(beta)
+
+
+class _SparseStack:
+    def __init__(self, blocks):
+        self.sizes = np.array([x.size for x in blocks])
+        self.start = np.cumsum(self.sizes) - self.sizes
+        lengths = np.concatenate([np.diff(x.indptr) for x in blocks])
+        self.indptr = np.r_[0, np.cumsum(lengths)]
+        self.indices = np.concatenate([x.indices + a for x, a in zip(blocks, self.start, strict=True)])
+        self.data = np.concatenate([x.data for x in blocks])
+        self.row = np.repeat(np.arange(len(lengths)), lengths)
+        self.inside = np.arange(self.sizes[0])[:, None] < self.sizes[None, :]
+        self.place = (self.start[None, :] + np.arange(self.sizes[0])[:, None])[self.inside]
+        self.product = np.zeros(len(lengths))
+
+    def reset(self, beta):
+        flat = np.zeros(len(self.product))
+        flat[self.place] = beta[self.inside]
+        self.product = np.bincount(self.row, self.data.astype(np.float64) * flat[self.indices], len(flat))
+
+    def at(self, j, many):
+        return self.product[self.start[:many] + j]
+
+    def window(self, a, b, some):
+        # places past a block's end count for nothing
+        return self.product[np.minimum(self.start[some][None, :] + np.arange(a, b)[:, None], len(self.product) - 1)]
+
+    def add(self, j, some, delta):
+        row = self.start[some] + j
+        low, many = self.indptr[row], self.indptr[row + 1] - self.indptr[row]
+        at = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        self.product[self.indices[at]] += self.data[at] * np.repeat(delta, many)  # blocks share no place
+
+    def quadratic(self, beta):
+        out = np.zeros(beta.shape)
+        out[self.inside] = self.product[self.place]
+        return (out * beta).sum(0)
+
+    def cross(self, beta, other):
+        return self.quadratic(beta)
 
-class _LowRankTrack:
-    def __init__(self, block, beta):
-        self.block = block
-        self.reset(beta)
+
+class _LowRankStack:
+    def __init__(self, blocks):
+        self.u = np.zeros((len(blocks), blocks[0].size, max(x.u.shape[1] for x in blocks)), np.float32)
+        for x, block in zip(self.u, blocks, strict=True):
+            x[: block.size, : block.u.shape[1]] = block.u
+        self.score = np.zeros((len(blocks), self.u.shape[2]))
 
     def reset(self, beta):
-        self.score = self.block.u.T.astype(np.float64) @ beta
+        for k, x in enumerate(self.u):
+            self.score[k] = x.T.astype(np.float64) @ beta[:, k]
+
+    def at(self, j, many):
+        return np.einsum("br,br->b", self.u[:many, j].astype(np.float64), self.score[:many])
 
-    def at(self, j):
-        return float(self.block.u[j].astype(np.float64) @ self.score)
+    def window(self, a, b, some):
+        return np.matmul(self.u[some, a:b].astype(np.float64), self.score[some][:, :, None])[:, :, 0].T
 
-    def add(self, j, delta):
-        self.score += self.block.u[j] * np.float64(delta)
+    def add(self, j, some, delta):
+        self.score[some] += self.u[some, j] * delta[:, None]
 
     def quadratic(self, beta):
-        return float(self.score @ self.score)
+        return (self.score * self.score).sum(1)
+
+    def cross(self, beta, other):
+        return (self.score * other.score).sum(1)
+
+
+class Stack:
+    """Some of the blocks of a sampler, with their places among its variants.
+
+    Arrays by variant have a row for each step and a column for each block, zero past a block's end.
+    """
+
+    def __init__(self, blocks, starts, members):
+        order = sorted(members, key=lambda k: -blocks[k].size)
+        own = [blocks[k] for k in order]
+        self.members, self.sizes = np.array(order), np.array([x.size for x in own])
+        self.kind, self.blocks = {Dense: _DenseStack, Sparse: _SparseStack, LowRank: _LowRankStack}[type(own[0])], own
+        self.steps = int(self.sizes[0])
+        self.reach = (self.sizes[None, :] > np.arange(self.steps)[:, None]).sum(1)
+        self.inside = np.arange(self.steps)[:, None] < self.sizes[None, :]
+        self.place = np.array([starts[k] for k in order])[None, :] + np.arange(self.steps)[:, None]
+
+    def new(self):
+        """A product with the correlations that follows changes of one set of effects."""
+        return self.kind(self.blocks)
+
+    def spread(self, flat):
+        out = np.zeros(self.inside.shape)
+        out[self.inside] = flat[self.place[self.inside]]
+        return out
+
+    def gather(self, values, flat):
+        flat[self.place[self.inside]] = values[self.inside]
+
+
+#: Blocks of less than this share of a stack's largest go to another one.
+LEAST_SIZE = 0.5
+
+
+def lockstep(stack: Stack, width: int, evaluate, apply) -> int:
+    """One sweep over the blocks of a stack, `width` steps at a time; the number of changes.
+
+    evaluate(a, b, some, past) tells for steps a to b of some blocks which of them would change an effect, the earlier ones
+    left as they are. Up to a block's first change that is what one step after another gives. apply(steps, some)
+    makes these changes, and what comes after them is evaluated again. A block's changes are few where the
+    model is sparse, so that most windows take a few vector operations.
+    """
+    changes = 0
+    for a in range(0, stack.steps, width):
+        b = min(a + width, stack.steps)
+        some, past = np.arange(stack.reach[a]), None
+        while len(some):
+            changed = evaluate(a, b, some if len(some) < len(stack.sizes) else slice(None), past)
+            has = np.flatnonzero(changed.any(0))
+            some, at = some[has], changed[:, has].argmax(0)
+            if len(some):
+                changes += len(some)
+                apply(a + at, some)
+                left = at + 1 < b - a
+                some, past = some[left], at[left] + 1
+    return changes
+
+
+def stacked(blocks) -> list[Stack]:
+    """Stacks over blocks that tile the variants in their order."""
+    starts = np.cumsum([0, *(x.size for x in blocks)])
+    out = []
+    for kind in (Dense, Sparse, LowRank):
+        some: list[int] = []
+        for k in sorted((k for k, x in enumerate(blocks) if isinstance(x, kind) and x.size), key=lambda k: -blocks[k].size):
+            if some and blocks[k].size < LEAST_SIZE * blocks[some[0]].size:
+                out.append(Stack(blocks, starts, some))
+                some = []
+            some.append(k)
+        if some:
+            out.append(Stack(blocks, starts, some))
+    return out
 
 
 def sparsify(matrix, threshold: float = 1e-3, max_dist: int | None = None, shrink: float = 1.0) -> Sparse:
@@ -209,7 +347,7 @@ def dentist(r, z, cutoff: float, ridge: float = 0.01, passes: int = 20, min_bloc
 
 
 def optimal_cuts(r, max_size: int, min_size: int = 1, window: int | None = None):
-    """Block sizes that leave the least squared correlation across cuts, by dynamic programming."""
+    """Block sizes that leave the least squared correlation, of pairs up to `window` apart, across cuts."""
     m = len(r)
     sq = np.asarray(r, np.float64) ** 2
     window = window or max_size
@@ -218,6 +356,12 @@ def optimal_cuts(r, max_size: int, min_size: int = 1, window: int | None = None)
         far = min(m, i + window + 1)
         tail = np.cumsum(sq[i, i + 1 : far][::-1])[::-1]  # what a cut after i, i + 1, ... severs
         cost[i + 1 : i + 1 + len(tail)] += tail
+    return best_cuts(cost, max_size, min_size)
+
+
+def best_cuts(cost, max_size: int, min_size: int = 1):
+    """Block sizes of the least total cost, by dynamic programming; cost[c]: of a cut before variant c."""
+    m = len(cost) - 1
     best, source = np.full(m + 1, np.inf), np.zeros(m + 1, int)
     best[0] = 0.0
     for e in range(min_size, m + 1):
@@ -229,7 +373,7 @@ def optimal_cuts(r, max_size: int, min_size: int = 1, window: int | None = None)
         raise ValueError("no split has blocks of these sizes")
     sizes, at = [], m
     while at:
-        sizes.append(at - source[at])
+        sizes.append(int(at - source[at]))
         at = source[at]
     return sizes[::-1]
 
@@ -246,111 +390,217 @@ class Chain:
     samples: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
 
 
-def _logistic(x: float) -> float:
-    if x >= 0:
-        e = math.exp(-min(x, 700.0))
-        return e / (1 + e)
-    return 1 / (1 + math.exp(max(x, -700.0)))
-
-
-def sweep(track, b, n, beta, means, pips, u, g, c1, lpo, sparse: bool, jump: bool) -> int:
-    """One pass of point-normal updates; c1 (slab variance) and lpo (log odds of null) by variant. Returns the causal count."""
-    causal = 0
-    nc1 = n * c1
-    pv = c1 / (nc1 + 1.0)
-    sd, half, gain = np.sqrt(pv), 0.5 * np.log1p(nc1), n * pv
-    base = lpo + half
-    for j in range(len(b)):
-        old = beta[j]
-        mean = gain[j] * (b[j] - track.at(j) + old)
-        inside = _logistic(base[j] - 0.5 * mean * mean / pv[j])
-        means[j], pips[j] = inside * mean, inside
-        new = mean + g[j] * sd[j] if u[j] < inside and not (sparse and inside < 0.5) else 0.0
-        if not jump and new * old < 0:
-            new = 0.0
-        if new != 0.0:
-            causal += 1
-        if new != old:
-            track.add(j, new - old)
-            beta[j] = new
-    return causal
-
-
-def sample(blocks, beta_hat, n, h2, p, *, burn_in, num_iter, rng, learn_h2=True, learn_p=True, h2_bounds=(1e-4, 1.0), sparse=False, jump=True, prior=None, slab=None, start=None, tol=0.0, check_every=50, sample_every=0) -> Chain:
-    """Point-normal Gibbs over blocks that tile the variants; h2 and p are pooled over all blocks after each sweep.
-
-    prior: relative inclusion probabilities; slab: relative slab variances. The draws of a sweep are taken
-    for all variants at once: uniforms, then normals, then the new p.
+def alone(values: np.ndarray, how: str = "sum") -> np.ndarray:
+    """What a sampler that holds all blocks pools with: nothing."""
+    return values
+
+
+def _exact(x):
+    """Rounded so that sums do not depend on their order: up to 4096 in steps of 2**-40."""
+    return np.rint(np.asarray(x) * 2.0**40) / 2.0**40
+
+
+class Draws:
+    """Uniforms and normals of a sweep for all variants, from one stream or from one of each block.
+
+    With a stream for each block the draws do not depend on which blocks lie together.
+    """
+
+    def __init__(self, blocks, rng=None, rngs=None):
+        self.m, self.rng, self.rngs = sum(x.size for x in blocks), rng, rngs
+        self.sizes = [x.size for x in blocks]
+
+    def __call__(self, normals: int = 1):
+        if self.rngs is None:
+            return self.rng.random(self.m), self.rng.standard_normal((normals, self.m) if normals > 1 else self.m)
+        both = [(r.random(k), r.standard_normal((normals, k) if normals > 1 else k)) for r, k in zip(self.rngs, self.sizes, strict=True)]
+        if not both:
+            return np.zeros(0), np.zeros((normals, 0) if normals > 1 else 0)
+        return tuple(np.concatenate(x, axis=-1) for x in zip(*both, strict=True))
+
+    def uniform(self):
+        if self.rngs is None:
+            return self.rng.random(self.m)
+        return np.concatenate([np.zeros(0), *(r.random(k) for r, k in zip(self.rngs, self.sizes, strict=True))])
+
+
+class _State:
+    """A stack with the statistics and the running values of a sampler's variants."""
+
+    def __init__(self, stack: Stack, b, n, start=None):
+        self.stack, self.product = stack, stack.new()
+        self.b, self.n = stack.spread(b), stack.spread(n)
+        self.beta = np.zeros(self.b.shape) if start is None else stack.spread(start)
+        self.means, self.pips = np.zeros(self.b.shape), np.zeros(self.b.shape)
+        self.width = 32
+
+    def sweep(self, u, g, c1, lpo, sparse: bool, jump: bool):
+        """One pass of point-normal updates; c1 (slab variance) and lpo (log odds of null) by variant. Causal variants and
+        b' R b of each block."""
+        beta, product, hat, means, pips = self.beta, self.product, self.b, self.means, self.pips
+        nc1 = self.n * c1
+        pv = c1 / (nc1 + 1.0)
+        base, gain, fall, step = lpo + 0.5 * np.log1p(nc1), self.n * pv, 0.5 / np.where(pv > 0, pv, 1.0), g * np.sqrt(pv)
+        new = np.zeros(beta.shape)
+        # u < inside, without the logistic
+        odds = np.log1p(-u) - np.log(np.maximum(u, 1e-300))
+        if sparse:
+            odds = np.minimum(odds, 0.0)
+
+        def evaluate(a, b, some, past):
+            old = beta[a:b, some]
+            mean = gain[a:b, some] * (hat[a:b, some] - product.window(a, b, some) + old)
+            null = base[a:b, some] - mean * mean * fall[a:b, some]
+            value = np.where(null < odds[a:b, some], mean + step[a:b, some], 0.0)
+            if not jump:
+                value[value * old < 0] = 0.0
+            changed = value != old
+            if past is None:
+                new[a:b, some], means[a:b, some], pips[a:b, some] = value, mean, null
+            else:
+                later = np.arange(b - a)[:, None] >= past[None, :]
+                changed &= later
+                for kept, now in ((new, value), (means, mean), (pips, null)):
+                    kept[a:b, some] = np.where(later, now, kept[a:b, some])
+            return changed
+
+        def apply(j, some):
+            delta = new[j, some] - beta[j, some]
+            product.add(j, some, delta)
+            beta[j, some] = new[j, some]
+
+        changes = lockstep(self.stack, self.width, evaluate, apply)
+        self.width = int(np.clip(0.7 * self.stack.sizes.sum() / max(changes, 1), 1, 64))
+        np.clip(pips, -700.0, 700.0, out=pips)
+        np.divide(1.0, 1.0 + np.exp(pips), out=pips)
+        means *= pips
+        return np.count_nonzero(beta, axis=0), product.quadratic(beta)
+
+
+def sample(blocks, beta_hat, n, h2, p, *, burn_in, num_iter, rng=None, rngs=None, pool=alone, m=None, shared=True, learn_h2=True, learn_p=True, h2_bounds=(1e-4, 1.0), sparse=False, jump=True, prior=None, slab=None, start=None, tol=0.0, check_every=50, sample_every=0) -> Chain:
+    """Point-normal Gibbs over blocks that tile the variants.
+
+    h2 and p are pooled over all blocks after each sweep, also over those that other tasks hold, where pool adds vectors
+    up over the tasks and m counts all variants. With shared off every block has h2 and p of its own (h2 is then each
+    block's). prior: relative inclusion probabilities; slab: relative slab variances. The draws of a sweep are taken for
+    all variants at once: uniforms, then normals, then the new p. rng draws for all, or rngs for each block; then rng, the
+    same in all tasks, draws p.
     """
     b = np.asarray(beta_hat, np.float64)
-    m = len(b)
-    n = np.broadcast_to(np.asarray(n, np.float64), (m,)).copy()
-    at, spans = 0, []
-    for block in blocks:
-        spans.append(slice(at, at + block.size))
-        at += block.size
-    if at != m:
-        raise ValueError(f"blocks hold {at} variants, effects {m}")
-    beta = np.zeros(m) if start is None else np.array(start, np.float64)
-    tracks = [block.track(beta[s]) for block, s in zip(blocks, spans, strict=True)]
-    slab = np.ones(m) if slab is None else np.asarray(slab, np.float64)
-    total, means, pips, pip, last = np.zeros(m), np.zeros(m), np.zeros(m), np.zeros(m), np.zeros(m)
+    own = len(b)
+    m = own if m is None else m
+    n = np.broadcast_to(np.asarray(n, np.float64), (own,))
+    if sum(x.size for x in blocks) != own:
+        raise ValueError(f"blocks hold {sum(x.size for x in blocks)} variants, effects {own}")
+    prior = None if prior is None else np.broadcast_to(np.asarray(prior, np.float64), (own,))
+    if prior is not None and not np.all(prior >= 0):
+        raise ValueError("relative inclusion probabilities must not be negative")
+    slab = None if slab is None else np.broadcast_to(np.asarray(slab, np.float64), (own,))
+    if slab is not None and not np.all(slab > 0):
+        raise ValueError("relative slab variances must be positive")
+    draws = Draws(blocks, rng, rngs)
+    states = [_State(x, b, n, start) for x in stacked(blocks)]
+    relative = [(x.stack.spread(np.ones(own) if slab is None else slab), None if prior is None else x.stack.spread(prior)) for x in states]
+    zero = lambda: [np.zeros(x.b.shape) for x in states]
+    total, pip, last = zero(), zero(), zero()
+    if not shared:  # h2 and p by block
+        h2s_own = [np.full(len(x.stack.sizes), float(h2)) for x in states]
+        ps_own = [np.full(len(x.stack.sizes), float(p)) for x in states]
     h2s, ps, kept = [], [], []
+
+    def flat(parts):
+        out = np.zeros(own)
+        for x, values in zip(states, parts, strict=True):
+            x.stack.gather(values, out)
+        return out
+
     for it in range(burn_in + num_iter):
-        c1 = h2 / (m * p) * slab
-        inclusion = np.full(m, p) if prior is None else np.clip(p * np.asarray(prior), 1e-9, 1 - 1e-9)
-        lpo = np.log1p(-inclusion) - np.log(inclusion)
-        u, g = rng.random(m), rng.standard_normal(m)
+        u, g = draws()
         causal, variance = 0, 0.0
-        for track, s in zip(tracks, spans, strict=True):
+        for k, (state, (scale, chance)) in enumerate(zip(states, relative, strict=True)):
+            stack = state.stack
             if it % 100 == 0:
-                track.reset(beta[s])
-            causal += sweep(track, b[s], n[s], beta[s], means[s], pips[s], u[s], g[s], c1[s], lpo[s], sparse, jump)
-            variance += track.quadratic(beta[s])
-        if learn_p:
-            p = float(rng.beta(1.0 + causal, 1.0 + m - causal))
-        if learn_h2:
-            h2 = min(max(variance, h2_bounds[0]), h2_bounds[1])
+                state.product.reset(state.beta)
+            now_h2, now_p, size = (h2, p, m) if shared else (h2s_own[k], ps_own[k], stack.sizes)
+            inclusion = np.broadcast_to(np.asarray(now_p, np.float64), (len(stack.sizes),)) if chance is None else np.clip(now_p * chance, 1e-9, 1 - 1e-9)
+            counts, quadratic = state.sweep(stack.spread(u), stack.spread(g), np.broadcast_to(now_h2 / (size * now_p), (len(stack.sizes),)) * scale, np.broadcast_to(np.log1p(-inclusion) - np.log(inclusion), state.b.shape), sparse, jump)
+            if shared:
+                causal, variance = causal + int(counts.sum()), variance + float(_exact(quadratic).sum())
+                continue
+            if learn_h2:
+                h2s_own[k] = np.clip(quadratic, *h2_bounds)
+            if learn_p:
+                ps_own[k] = np.array([(rngs[x] if rngs is not None else rng).beta(1.0 + c, 1.0 + s - c) for x, c, s in zip(stack.members, counts, stack.sizes, strict=True)])
+        if shared:
+            causal, variance = pool(np.array([causal, variance]))
+            if learn_p:
+                p = float(rng.beta(1.0 + causal, 1.0 + m - causal))
+            if learn_h2:
+                h2 = min(max(float(variance), h2_bounds[0]), h2_bounds[1])
         if it >= burn_in:
-            total += beta if sparse else means
-            pip += pips
-            h2s.append(h2), ps.append(p)
+            for k, x in enumerate(states):
+                total[k] += x.beta if sparse else x.means
+                pip[k] += x.pips
+            if shared:
+                h2s.append(h2), ps.append(p)
+            else:
+                order = np.concatenate([x.stack.members for x in states]) if states else np.zeros(0, int)
+                back = np.argsort(order)
+                h2s.append(np.concatenate(h2s_own)[back] if states else np.zeros(0)), ps.append(np.concatenate(ps_own)[back] if states else np.zeros(0))
             count = len(h2s)
             if sample_every and (it - burn_in) % sample_every == 0:
-                kept.append(beta.astype(np.float32))
+                kept.append(flat([x.beta for x in states]).astype(np.float32))
             if tol > 0 and count % check_every == 0:
-                now = total / count
-                moved = float(((now - last) ** 2).sum())
+                now = [x / count for x in total]
+                moved, size = pool(np.array([sum(float(((a - z) ** 2).sum()) for a, z in zip(now, last, strict=True)), sum(float((a * a).sum()) for a in now)]))
                 last = now
-                if count > check_every and moved <= tol * tol * float((now * now).sum()):
+                if count > check_every and moved <= tol * tol * size:
                     break
     count = max(1, len(h2s))
-    return Chain(total / count, np.array(h2s), np.array(ps), pip / count, np.array(kept, np.float32).reshape(len(kept), m))
+    return Chain(flat(total) / count, np.array(h2s), np.array(ps), flat(pip) / count, np.array(kept, np.float32).reshape(len(kept), own))
+
+
+def shrunk_off_diagonal(block, share: float):
+    if share == 1.0:
+        return block
+    if not isinstance(block, Dense):
+        raise ValueError("shrink_corr needs dense correlations")
+    r = block.full() * share
+    np.fill_diagonal(r, 1.0)
+    return Dense(r)
 
 
-def grid(block, beta_hat, n, h2, p, *, burn_in=100, num_iter=400, sparse=False, seed=None, shrink_corr=1.0, jump=True, prior=None, slab=None, warm=False, tol=0.0):
+def grid(block, beta_hat, n, h2, p, *, seed=None, **options):
     """Fixed h2 and p on one block."""
-    start = infinitesimal(block, beta_hat, n, h2) if warm else None
-    if shrink_corr != 1.0:
-        if not isinstance(block, Dense):
-            raise ValueError("shrink_corr needs dense correlations")
-        r = block.full() * shrink_corr
-        np.fill_diagonal(r, 1.0)
-        block = Dense(r)
-    return sample([block], beta_hat, n, h2, p, burn_in=burn_in, num_iter=num_iter, rng=np.random.RandomState(seed), learn_h2=False, learn_p=False, sparse=sparse, jump=jump, prior=prior, slab=slab, start=start, tol=tol).beta
+    return grids([block], beta_hat, n, [h2], p, seeds=[seed], **options)
 
 
-def infer(chains: list[Chain], blocks, qc_frac=0.95, qc_quantile=0.95) -> dict:
+def grids(blocks, beta_hat, n, h2, p, *, seeds, burn_in=100, num_iter=400, sparse=False, shrink_corr=1.0, jump=True, prior=None, slab=None, warm=False, tol=0.0):
+    """Fixed h2 (one for each block) and p on blocks side by side, a stream of random numbers for each."""
+    edges = np.cumsum([0, *(x.size for x in blocks)])
+    if tol > 0 and len(blocks) > 1:  # every block stops by itself
+        part = lambda x, a, b: None if x is None else np.broadcast_to(np.asarray(x, np.float64), (edges[-1],))[a:b]
+        return np.concatenate([grids([x], part(beta_hat, a, b), part(n, a, b), [h], p, seeds=[s], burn_in=burn_in, num_iter=num_iter, sparse=sparse, shrink_corr=shrink_corr, jump=jump, prior=part(prior, a, b), slab=part(slab, a, b), warm=warm, tol=tol) for x, h, s, a, b in zip(blocks, h2, seeds, edges, edges[1:], strict=False)])
+    sizes = np.diff(edges)
+    each = np.broadcast_to(np.asarray(n, np.float64), (edges[-1],))
+    start = np.concatenate([infinitesimal(x, np.asarray(beta_hat)[a:b], each[a:b], h) for x, h, a, b in zip(blocks, h2, edges, edges[1:], strict=False)]) if warm else None
+    blocks = [shrunk_off_diagonal(x, shrink_corr) for x in blocks]
+    # shares of h2 by block, as relative slab variances
+    share = np.repeat(np.asarray(h2, np.float64) / sizes, sizes)
+    top = float(share.max(initial=0)) or 1.0
+    slab = share / top if slab is None else np.asarray(slab, np.float64) * share / top
+    return sample(blocks, beta_hat, n, top * edges[-1], p, burn_in=burn_in, num_iter=num_iter, rngs=[np.random.RandomState(s) for s in seeds], learn_h2=False, learn_p=False, sparse=sparse, jump=jump, prior=prior, slab=slab, start=start, tol=tol).beta
+
+
+def infer(chains: list[Chain], blocks, qc_frac=0.95, qc_quantile=0.95, pool=alone) -> dict:
     """Pooled medians and 95 % intervals over chains that moved, and the predictive r2 across pairs of chains."""
+    edges = np.cumsum([0, *(x.size for x in blocks)])
 
     def apply(rows):
-        out, at = [], 0
-        for block in blocks:
-            out.append(rows[:, at : at + block.size] @ block.full().astype(rows.dtype))
-            at += block.size
-        return np.concatenate(out, 1)
+        return np.concatenate([rows[:, :0], *(x.times(rows[:, a:b]) for x, a, b in zip(blocks, edges, edges[1:], strict=False))], 1)
 
-    spread = np.ptp(apply(np.array([c.beta for c in chains])), axis=1)
+    moved = apply(np.array([c.beta for c in chains]))
+    spread = pool(moved.max(1, initial=-np.inf), "max") + pool(-moved.min(1, initial=np.inf), "max")
     keep = np.arange(len(chains))
     if spread.max(initial=0) > 0:
         good = np.flatnonzero(spread > qc_frac * np.quantile(spread, qc_quantile))
@@ -358,9 +608,10 @@ def infer(chains: list[Chain], blocks, qc_frac=0.95, qc_quantile=0.95) -> dict:
     h2, p = (np.concatenate([getattr(chains[c], x) for c in keep]) for x in ("h2", "p"))
     r2 = []
     for a, i in enumerate(keep):
-        if len(chains[i].samples):
+        others = [j for j in keep[a + 1 :] if len(chains[j].samples)]
+        if len(chains[i].samples) and others:
             product = apply(chains[i].samples)
-            r2 += [(chains[j].samples @ product.T).ravel() for j in keep[a + 1 :] if len(chains[j].samples)]
+            r2.append(pool(np.concatenate([(chains[j].samples @ product.T).ravel() for j in others])))
     r2 = np.concatenate(r2) if r2 else np.array([np.nan])
     told = {}
     for name, x in (("h2", h2), ("p", p), ("r2", r2)):
@@ -380,178 +631,253 @@ def p_starts(n_chains: int, low=1e-4, high=0.2):
 
 
 def lasso_path(block, beta_hat, s: float, lambdas, max_iter=100, tol=1e-4):
-    """Coordinate descent down the penalties, warm from one to the next: (beta, b'r, b'Rb) of each.
-    Correlations off the diagonal are shrunk by 1 - s."""
-    r = block.full() * (1 - s)
-    np.fill_diagonal(r, 1.0)
+    return lasso_paths([block], beta_hat, s, lambdas, max_iter, tol)[0]
+
+
+def lasso_paths(blocks, beta_hat, s: float, lambdas, max_iter=100, tol=1e-4):
+    """Coordinate descent down the penalties, warm from one to the next: for each block (beta, b'r, b'Rb) of each penalty.
+    Correlations off the diagonal are shrunk by 1 - s; each block stops by itself."""
     b = np.asarray(beta_hat, np.float64)
-    beta, product = np.zeros(len(b)), np.zeros(len(b))
-    out = []
+    edges = np.cumsum([0, *(x.size for x in blocks)])
+    states = [_State(x, b, np.ones(len(b))) for x in stacked(blocks)]
+    out = [[] for _ in blocks]
     for lam in lambdas:
-        for _ in range(max_iter):
-            most = 0.0
-            for j in range(len(b)):
-                raw = b[j] - product[j] + beta[j]
-                new = math.copysign(max(abs(raw) - lam, 0.0), raw)
-                delta = new - beta[j]
-                if delta != 0.0:
-                    product += r[j] * delta
-                    beta[j] = new
-                    most = max(most, abs(delta))
-            if most < tol:
-                break
-        out.append((beta.copy(), float(beta @ b), float(beta @ block.dot(beta))))
+        for x in states:
+            open_ = np.ones(len(x.stack.sizes), bool)
+            for _ in range(max_iter):
+                most = np.zeros(len(open_))
+                for j, many in enumerate(x.stack.reach):
+                    old = x.beta[j, :many]
+                    raw = x.b[j, :many] - (1 - s) * (x.product.at(j, many) - old)
+                    delta = np.where(open_[:many], np.sign(raw) * np.maximum(np.abs(raw) - lam, 0.0) - old, 0.0)
+                    some = np.flatnonzero(delta)
+                    if len(some):
+                        x.product.add(j, some, delta[some])
+                        x.beta[j, some] += delta[some]
+                        np.maximum(most[:many], np.abs(delta), out=most[:many])
+                open_ &= most >= tol
+                if not open_.any():
+                    break
+            fit, size = (x.beta * x.b).sum(0), x.product.quadratic(x.beta)
+            for k, block in enumerate(x.stack.members):
+                out[block].append((x.beta[: x.stack.sizes[k], k].copy(), float(fit[k]), float(size[k])))
+    for k in np.flatnonzero(np.diff(edges) == 0):
+        out[k] = [(np.zeros(0), 0.0, 0.0)] * len(lambdas)
     return out
 
 
-def inverse_gaussian(mean, shape, rng):
-    """Draws by the transformation of a squared normal with one uniform to choose the root."""
-    y = rng.standard_normal(np.shape(mean)) ** 2
+def inverse_gaussian_of(mean, shape, y, u):
+    """Draws by the transformation of a squared normal y, with a uniform u to choose the root."""
     x = mean + mean * mean * y / (2 * shape) - mean / (2 * shape) * np.sqrt(4 * mean * shape * y + (mean * y) ** 2)
-    return np.where(rng.random(np.shape(mean)) <= mean / (mean + x), x, mean * mean / np.maximum(x, 1e-300))
+    return np.where(u <= mean / (mean + x), x, mean * mean / np.maximum(x, 1e-300))
 
 
-def laplace(block, beta_hat, n, h2=0.1, *, burn_in=100, num_iter=400, seed=None, sample_lambda=False, lam=None):
-    """Laplace prior as a scale mixture of normals; the estimate averages conditional means."""
+def laplace(block, beta_hat, n, h2=0.1, *, seed=None, **options):
+    """Laplace prior on one block."""
+    return laplaces([block], beta_hat, n, [h2], seeds=[seed], **options)
+
+
+def laplaces(blocks, beta_hat, n, h2, *, seeds, burn_in=100, num_iter=400, sample_lambda=False, lam=None):
+    """Laplace prior as a scale mixture of normals on blocks side by side, each with its h2; the estimate averages
+    conditional means."""
     b = np.asarray(beta_hat, np.float64)
-    k = len(b)
-    n = np.broadcast_to(np.asarray(n, np.float64), (k,))
-    rng = np.random.default_rng(seed)
-    lam = math.sqrt(2 * k / h2) if lam is None else lam
-    beta, tau, total = np.zeros(k), np.full(k, h2 / k), np.zeros(k)
-    track = block.track(beta)
-    means = np.zeros(k)
-    for it in range(burn_in + num_iter):
-        if it % 100 == 0:
-            track.reset(beta)
-        g = rng.standard_normal(k)
-        var = 1 / (n + 1 / tau)
-        sd = np.sqrt(var)
-        for j in range(k):
-            mean = var[j] * n[j] * (b[j] - track.at(j) + beta[j])
-            means[j] = mean
-            new = mean + g[j] * sd[j]
-            track.add(j, new - beta[j])
-            beta[j] = new
-        tau = 1 / np.maximum(inverse_gaussian(lam / np.maximum(np.abs(beta), 1e-12), lam * lam, rng), 1e-12)
-        tau = np.clip(tau, 1e-14, 1e6)
-        if sample_lambda:
-            lam = math.sqrt(2 * k / max(tau.sum(), 1e-12))
-        if it >= burn_in:
-            total += means
-    return total / max(1, num_iter)
+    n = np.broadcast_to(np.asarray(n, np.float64), b.shape)
+    rngs = [np.random.default_rng(x) for x in seeds]
+    out = np.zeros(len(b))
+    for stack in stacked(blocks):
+        x = _State(stack, b, n)
+        size = stack.sizes
+        share = np.asarray(h2, np.float64)[stack.members]
+        rate = np.sqrt(2 * size / share) if lam is None else np.full(len(size), float(lam))
+        tau = np.where(stack.inside, (share / size)[None, :], 0.0)
+        total = np.zeros(x.b.shape)
+        own = [rngs[k] for k in stack.members]
+
+        def drawn(kind, own=own, size=size, shape=x.b.shape):
+            values = np.zeros(shape)
+            for k, (r, many) in enumerate(zip(own, size, strict=True)):
+                values[:many, k] = getattr(r, kind)(many)
+            return values
+
+        for it in range(burn_in + num_iter):
+            if it % 100 == 0:
+                x.product.reset(x.beta)
+            g = drawn("standard_normal")
+            var = np.where(stack.inside, 1 / (x.n + 1 / np.where(tau > 0, tau, 1.0)), 0.0)
+            sd, gain = np.sqrt(var), var * x.n
+            for j, many in enumerate(stack.reach):
+                old = x.beta[j, :many]
+                mean = gain[j, :many] * (x.b[j, :many] - x.product.at(j, many) + old)
+                x.means[j, :many] = mean
+                new = mean + g[j, :many] * sd[j, :many]
+                x.product.add(j, np.arange(many), new - old)
+                x.beta[j, :many] = new
+            mean = rate / np.maximum(np.abs(x.beta), 1e-12)
+            tau = 1 / np.maximum(inverse_gaussian_of(mean, rate * rate, drawn("standard_normal") ** 2, drawn("random")), 1e-12)
+            tau = np.where(stack.inside, np.clip(tau, 1e-14, 1e6), 0.0)
+            if sample_lambda:
+                rate = np.sqrt(2 * size / np.maximum(tau.sum(0), 1e-12))
+            if it >= burn_in:
+                total += x.means
+        stack.gather(total / max(1, num_iter), out)
+    return out
 
 
-def annotated(blocks, beta_hat, n, a, *, learn="eb", learn_variance=False, h2=0.1, p=0.1, burn_in=200, num_iter=200, theta_every=1, ridge=5.0, h2_bounds=(1e-4, 1.0), seed=None) -> dict:
+def annotated(blocks, beta_hat, n, a, *, learn="eb", learn_variance=False, h2=0.1, p=0.1, burn_in=200, num_iter=200, theta_every=1, ridge=5.0, h2_bounds=(1e-4, 1.0), seed=None, rngs=None, pool=alone) -> dict:
     """Inclusion (and slab variance) by annotations: p_j = logistic(a_j . theta), theta by ridge Newton steps or by
-    Albert-Chib draws."""
+    Albert-Chib draws.
+
+    All that crosses blocks is sums over variants, of as many numbers as annotations squared; pool adds them up over
+    the tasks. rngs: a stream for each block.
+    """
     b = np.asarray(beta_hat, np.float64)
     m = len(b)
-    n = np.broadcast_to(np.asarray(n, np.float64), (m,)).copy()
+    n = np.broadcast_to(np.asarray(n, np.float64), (m,))
     a = np.asarray(a, np.float64).reshape(m, -1)
-    if not (a.shape[1] and np.all(a[:, 0] == 1)):
+    # a first annotation that is one everywhere is the intercept
+    if not (a.shape[1] and pool(np.array([np.count_nonzero(a[:, 0] != 1)], float))[0] == 0):
         a = np.column_stack([np.ones(m), a])
     rng = np.random.default_rng(seed)
-    theta, phi = np.zeros(a.shape[1]), np.zeros(a.shape[1])
+    draws = Draws(blocks, rng, rngs)
+    width = a.shape[1]
+    theta, phi = np.zeros(width), np.zeros(width)
     theta[0] = math.log(p / (1 - p)) if learn == "eb" else normal_quantile(p)
-    penalty = np.full(a.shape[1], ridge)
+    penalty = np.full(width, ridge)
     penalty[0] = 1e-6
-    beta, total, means, pips = np.zeros(m), np.zeros(m), np.zeros(m), np.zeros(m)
-    edges = np.cumsum([0, *(x.size for x in blocks)])
-    tracks = [x.track(beta[i:j]) for x, i, j in zip(blocks, edges, edges[1:], strict=False)]
-    pip_pool, second, rounds, h2s = np.zeros(m), np.zeros(m), 0, []
+    states = [_State(x, b, n) for x in stacked(blocks)]
+    total, pip_pool, second, rounds, h2s = np.zeros(m), np.zeros(m), np.zeros(m), 0, []
+    square = pool(a.T @ a) if learn != "eb" else None
+
+    def flat(name):
+        out = np.zeros(m)
+        for x in states:
+            x.stack.gather(getattr(x, name), out)
+        return out
+
     for it in range(burn_in + num_iter):
         raw = a @ theta
         inside = np.clip(1 / (1 + np.exp(-raw)) if learn == "eb" else normal_cdf(raw), 1e-5, 0.99)
         rel = np.exp(np.clip(a @ phi, -10, 10)) if learn_variance else np.ones(m)
-        slab = h2 * rel / max(float((inside * rel).sum()), 1e-12)
+        slab = h2 * rel / max(float(pool(np.array([(inside * rel).sum()]))[0]), 1e-12)
         lpo = np.log1p(-inside) - np.log(inside)
-        u, g = rng.random(m), rng.standard_normal(m)
+        u, g = draws()
         variance = 0.0
-        for track, i, j in zip(tracks, edges, edges[1:], strict=False):
+        for x in states:
             if it % 100 == 0:
-                track.reset(beta[i:j])
-            sweep(track, b[i:j], n[i:j], beta[i:j], means[i:j], pips[i:j], u[i:j], g[i:j], slab[i:j], lpo[i:j], False, True)
-            variance += track.quadratic(beta[i:j])
-        h2 = min(max(variance, h2_bounds[0]), h2_bounds[1])
-        pip_pool, second, rounds = pip_pool + pips, second + beta * beta, rounds + 1
+                x.product.reset(x.beta)
+            spread = x.stack.spread
+            variance += float(_exact(x.sweep(spread(u), spread(g), spread(slab), spread(lpo), False, True)[1]).sum())
+        h2 = min(max(float(pool(np.array([variance]))[0]), h2_bounds[0]), h2_bounds[1])
+        beta = flat("beta")
+        pip_pool, second, rounds = pip_pool + flat("pips"), second + beta * beta, rounds + 1
         if it >= burn_in:
-            total += means
+            total += flat("means")
             h2s.append(h2)
         if rounds == theta_every:
             pip = np.clip(pip_pool / rounds, 1e-6, 1 - 1e-6)
             if learn == "eb":
                 for _ in range(2):
                     q = np.clip(1 / (1 + np.exp(-(a @ theta))), 1e-6, 1 - 1e-6)
-                    w = q * (1 - q)
-                    theta = theta + np.linalg.solve((a * w[:, None]).T @ a + np.diag(penalty), a.T @ (pip - q) - penalty * theta)
+                    sums = pool(np.concatenate([((a * (q * (1 - q))[:, None]).T @ a).ravel(), a.T @ (pip - q)]))
+                    theta = theta + np.linalg.solve(sums[: width * width].reshape(width, width) + np.diag(penalty), sums[width * width :] - penalty * theta)
             else:
-                z = truncated_normal(a @ theta, rng.random(m) < pip, rng)
-                cov = np.linalg.inv(a.T @ a + np.diag(penalty))
-                theta = cov @ (a.T @ z) + np.linalg.cholesky(cov) @ rng.standard_normal(len(theta))
+                z = truncated_normal(a @ theta, draws.uniform() < pip, draws.uniform())
+                cov = np.linalg.inv(square + np.diag(penalty))
+                theta = cov @ pool(a.T @ z) + np.linalg.cholesky(cov) @ rng.standard_normal(width)
             if learn_variance:
                 size = np.log(np.maximum(second / np.maximum(pip_pool, 1e-6), 1e-12))
-                phi = np.linalg.solve((a * pip[:, None]).T @ a + np.diag(penalty), (a * pip[:, None]).T @ (size - np.average(size, weights=pip)))
+                weight, middle = pool(np.array([pip.sum(), (pip * size).sum()]))
+                sums = pool(np.concatenate([((a * pip[:, None]).T @ a).ravel(), (a * pip[:, None]).T @ (size - middle / weight)]))
+                phi = np.linalg.solve(sums[: width * width].reshape(width, width) + np.diag(penalty), sums[width * width :])
                 phi[0] = 0.0
             pip_pool, second, rounds = np.zeros(m), np.zeros(m), 0
     return {"beta": total / max(1, num_iter), "h2": float(np.mean(h2s)) if h2s else h2, "theta": theta, "phi": phi}
 
 
-def bivariate(blocks, b1, b2, n1, n2, *, h2=0.1, p=0.1, rg=0.0, cross=0.0, burn_in=200, num_iter=200, h2_bounds=(1e-4, 1.0), cap=None, seed=None) -> dict:
-    """Two traits: each variant is null, in the first, the second, or both, with probabilities from a Dirichlet."""
+def _two_traits(res, noise, s, cov, pi):
+    """For residuals of two traits: the weights of the four states, their conditional means and their variances
+    (v00, v01, v11), by the closed form of a 2 x 2 inverse."""
+    logs, means, variances = [], [], []
+    for k, (s00, s11, s01) in enumerate(((0.0, 0.0, 0.0), (s[0], 0.0, 0.0), (0.0, s[1], 0.0), (s[0], s[1], cov))):
+        a, d, o = noise[0] + s00, noise[1] + s11, noise[2] + s01
+        det = a * d - o * o
+        x, y = (d * res[0] - o * res[1]) / det, (a * res[1] - o * res[0]) / det
+        logs.append(math.log(max(pi[k], 1e-12)) - 0.5 * np.log(det) - 0.5 * (res[0] * x + res[1] * y))
+        means.append((s00 * x + s01 * y, s01 * x + s11 * y))
+        # S - S V^-1 S
+        i00, i01, i11 = d / det, -o / det, a / det
+        variances.append((s00 - (s00 * s00 * i00 + 2 * s00 * s01 * i01 + s01 * s01 * i11), s01 - (s00 * s01 * i00 + (s00 * s11 + s01 * s01) * i01 + s01 * s11 * i11), s11 - (s01 * s01 * i00 + 2 * s01 * s11 * i01 + s11 * s11 * i11)))
+    w = np.exp(np.array(logs) - np.max(logs, axis=0))
+    return w / w.sum(0), means, variances
+
+
+def bivariate(blocks, b1, b2, n1, n2, *, h2=0.1, p=0.1, rg=0.0, cross=0.0, burn_in=200, num_iter=200, h2_bounds=(1e-4, 1.0), cap=None, seed=None, rngs=None, pool=alone, m=None) -> dict:
+    """Two traits: each variant is null, in the first, the second, or both, with probabilities from a Dirichlet.
+
+    pool adds counts, squares and products up over the tasks, m counts the variants of all; rngs: a stream for each block.
+    """
     b = np.stack([np.asarray(b1, np.float64), np.asarray(b2, np.float64)])
-    m = b.shape[1]
-    n = np.stack([np.broadcast_to(np.asarray(x, np.float64), (m,)) for x in (n1, n2)])
+    own = b.shape[1]
+    m = own if m is None else m
+    n = np.stack([np.broadcast_to(np.asarray(x, np.float64), (own,)) for x in (n1, n2)])
     rng = np.random.default_rng(seed)
+    draws = Draws(blocks, rng, rngs)
     cap = cap or (h2_bounds[1], h2_bounds[1])
     pi = np.array([1 - p, p / 3, p / 3, p / 3])
     s = np.array([h2 / (m * p), h2 / (m * p)])
     cov = rg * math.sqrt(s[0] * s[1])
-    beta, total = np.zeros((2, m)), np.zeros((2, m))
-    edges = np.cumsum([0, *(x.size for x in blocks)])
-    tracks = [[x.track(beta[t, i:j]) for t in (0, 1)] for x, i, j in zip(blocks, edges, edges[1:], strict=False)]
+    pairs = [tuple(_State(x, b[t], n[t]) for t in (0, 1)) for x in stacked(blocks)]
+    noises = [(1 / np.where(x.n > 0, x.n, 1), 1 / np.where(y.n > 0, y.n, 1), cross / np.sqrt(np.where(x.n > 0, x.n, 1) * np.where(y.n > 0, y.n, 1))) for x, y in pairs]
+    totals = [[np.zeros(x.b.shape) for x in pair] for pair in pairs]
     path = []
     for it in range(burn_in + num_iter):
-        u, g = rng.random(m), rng.standard_normal((2, m))
-        counts, squares, products = np.zeros(4), np.zeros(2), 0.0
-        noise_c = cross / np.sqrt(n[0] * n[1])
-        for pair, i0, i1 in zip(tracks, edges, edges[1:], strict=False):
+        u, g = draws(2)
+        sums = np.zeros(10)  # counts of the states, squares, products, b'Rb of each trait and across
+        for pair, noise, total in zip(pairs, noises, totals, strict=True):
+            stack = pair[0].stack
             if it % 100 == 0:
+                for x in pair:
+                    x.product.reset(x.beta)
+            uu, gg = stack.spread(u), [stack.spread(g[t]) for t in (0, 1)]
+            new, mean, chosen = np.zeros((2, *uu.shape)), np.zeros((2, *uu.shape)), np.zeros(uu.shape, np.int8)
+
+            def evaluate(a, b, some, past, pair=pair, noise=noise, uu=uu, gg=gg, new=new, mean=mean, chosen=chosen):
+                old = [x.beta[a:b, some] for x in pair]
+                res = [x.b[a:b, some] - x.product.window(a, b, some) + o for x, o in zip(pair, old, strict=True)]
+                w, means, variances = _two_traits(res, [x[a:b, some] for x in noise], s, cov, pi)
+                k = np.minimum(3, (np.cumsum(w, axis=0) < uu[a:b, some]).sum(0))
+                v00, v01, v11 = (np.maximum(x, 0.0) if t != 1 else x for t, x in enumerate(variances[3]))
+                a00 = np.sqrt(v00)
+                a10 = np.divide(v01, a00, out=np.zeros(a00.shape), where=a00 > 0)
+                g0, g1 = gg[0][a:b, some], gg[1][a:b, some]
+                first = np.where(k == 3, means[3][0] + a00 * g0, np.where(k == 1, means[1][0] + np.sqrt(np.maximum(variances[1][0], 0.0)) * g0, 0.0))
+                second = np.where(k == 3, means[3][1] + a10 * g0 + np.sqrt(np.maximum(v11 - a10 * a10, 0.0)) * g1, np.where(k == 2, means[2][1] + np.sqrt(np.maximum(variances[2][2], 0.0)) * g1, 0.0))
+                found = [(chosen, k), (new[0], first), (new[1], second), *((mean[t], sum(w[x] * means[x][t] for x in (1, 2, 3))) for t in (0, 1))]
+                changed = (first != old[0]) | (second != old[1])
+                later = None if past is None else np.arange(b - a)[:, None] >= past[None, :]
+                for kept, now in found:
+                    kept[a:b, some] = now if past is None else np.where(later, now, kept[a:b, some])
+                return changed if past is None else changed & later
+
+            def apply(j, some, pair=pair, new=new):
+                for t, x in enumerate(pair):
+                    x.product.add(j, some, new[t][j, some] - x.beta[j, some])
+                    x.beta[j, some] = new[t][j, some]
+
+            changes = lockstep(stack, pair[0].width, evaluate, apply)
+            pair[0].width = int(np.clip(0.7 * stack.sizes.sum() / max(changes, 1), 1, 64))
+            chosen[~stack.inside] = -1
+            counts = np.stack([(chosen == k).sum(0) for k in range(4)])
+            squares = np.stack([(pair[0].beta ** 2).sum(0), (pair[1].beta ** 2).sum(0), (pair[0].beta * pair[1].beta).sum(0)])
+            if it >= burn_in:
                 for t in (0, 1):
-                    pair[t].reset(beta[t, i0:i1])
-            for j in range(i0, i1):
-                res = np.array([b[t, j] - pair[t].at(j - i0) + beta[t, j] for t in (0, 1)])
-                noise = np.array([[1 / n[0, j], noise_c[j]], [noise_c[j], 1 / n[1, j]]])
-                options, logs = [], []
-                for k, slab in enumerate((np.zeros((2, 2)), np.diag([s[0], 0.0]), np.diag([0.0, s[1]]), np.array([[s[0], cov], [cov, s[1]]]))):
-                    v = noise + slab
-                    inv = np.linalg.inv(v)
-                    logs.append(math.log(max(pi[k], 1e-12)) - 0.5 * math.log(np.linalg.det(v)) - 0.5 * float(res @ inv @ res))
-                    gain = slab @ inv
-                    options.append((gain @ res, slab - gain @ slab))
-                w = np.exp(np.array(logs) - max(logs))
-                w /= w.sum()
-                k = int(min(3, np.searchsorted(np.cumsum(w), u[j])))
-                mean, var = options[k]
-                new = np.zeros(2)
-                if k == 3:
-                    a00 = math.sqrt(max(var[0, 0], 0.0))
-                    a10 = var[0, 1] / a00 if a00 else 0.0
-                    new = mean + np.array([a00 * g[0, j], a10 * g[0, j] + math.sqrt(max(var[1, 1] - a10 * a10, 0.0)) * g[1, j]])
-                elif k:
-                    new[k - 1] = mean[k - 1] + math.sqrt(max(var[k - 1, k - 1], 0.0)) * g[k - 1, j]
-                counts[k] += 1
-                if it >= burn_in:
-                    total[:, j] += sum(w[x] * options[x][0] for x in (1, 2, 3))
-                for t in (0, 1):
-                    if new[t] != beta[t, j]:
-                        pair[t].add(j - i0, new[t] - beta[t, j])
-                        beta[t, j] = new[t]
-                squares += new * new
-                products += new[0] * new[1]
+                    total[t] += mean[t]
+            x, y = pair
+            quadratic = [x.product.quadratic(x.beta), y.product.quadratic(y.beta), y.product.cross(x.beta, x.product)]
+            sums += np.concatenate([counts.sum(1), _exact(squares).sum(1), _exact(quadratic).sum(1)])
+        sums = pool(sums)
+        counts, squares, products, quad, both = sums[:4], sums[4:6], sums[6], sums[7:9], sums[9]
         pi = rng.dirichlet(1 + counts)
-        quad = [sum(pair[t].quadratic(beta[t, i:j]) for pair, i, j in zip(tracks, edges, edges[1:], strict=False)) for t in (0, 1)]
-        both = sum(float(beta[0, i:j] @ x.dot(beta[1, i:j])) for x, i, j in zip(blocks, edges, edges[1:], strict=False))
         active = np.maximum([counts[1] + counts[3], counts[2] + counts[3]], 1)
         # damped moves of the slab, within what each trait's heritability allows
         s = np.clip(0.8 * s + 0.2 * squares / active, 1e-12, [cap[t] / max(active[t], 1) for t in (0, 1)])
@@ -561,16 +887,28 @@ def bivariate(blocks, b1, b2, n1, n2, *, h2=0.1, p=0.1, rg=0.0, cross=0.0, burn_
             h = [min(max(x, h2_bounds[0]), h2_bounds[1]) for x in quad]
             path.append((h[0], h[1], both / math.sqrt(max(quad[0] * quad[1], 1e-12)), both))
     told = np.median(np.array(path), axis=0) if path else np.zeros(4)
-    return {"beta1": total[0] / max(1, num_iter), "beta2": total[1] / max(1, num_iter), "h2_1": told[0], "h2_2": told[1], "rg": float(np.clip(told[2], -1, 1)), "cov": told[3], "pi": pi}
+    out = np.zeros((2, own))
+    for pair, total in zip(pairs, totals, strict=True):
+        for t in (0, 1):
+            pair[t].stack.gather(total[t] / max(1, num_iter), out[t])
+    return {"beta1": out[0], "beta2": out[1], "h2_1": told[0], "h2_2": told[1], "rg": float(np.clip(told[2], -1, 1)), "cov": told[3], "pi": pi}
 
 
 # --- fine-mapping ---------------------------------------------------------------------------------
 
 
-def posterior_inclusion(block, beta_hat, n, *, h2=0.1, p=1e-3, burn_in=200, num_iter=500, n_chains=4, sample_every=5, learn_p=False, learn_h2=True, jump=False, seed=1) -> dict:
-    chains = [sample([block], beta_hat, n, h2, p, burn_in=burn_in, num_iter=num_iter, rng=np.random.RandomState(seed + c), learn_h2=learn_h2, learn_p=learn_p, jump=jump, sample_every=sample_every) for c in range(n_chains)]
-    draws = np.concatenate([c.samples for c in chains])
-    return {"pip": np.clip(np.mean([c.pip for c in chains], axis=0), 0, 1), "mean": np.mean([c.beta for c in chains], axis=0), "sd": draws.std(0) if len(draws) else np.zeros(block.size), "h2": float(np.mean([np.median(c.h2) for c in chains])), "p": float(np.mean([np.median(c.p) for c in chains]))}
+def posterior_inclusion(block, beta_hat, n, **options) -> dict:
+    return posterior_inclusions([block], beta_hat, n, **options)[0]
+
+
+def posterior_inclusions(blocks, beta_hat, n, *, h2=0.1, p=1e-3, burn_in=200, num_iter=500, n_chains=4, sample_every=5, learn_p=False, learn_h2=True, jump=False, seed=1) -> list[dict]:
+    """Of each block, with h2 (and p) of its own: pip, mean, sd, h2 and p over several chains."""
+    chains = [sample(blocks, beta_hat, n, h2, p, burn_in=burn_in, num_iter=num_iter, rngs=[np.random.RandomState(seed + c) for _ in blocks], shared=False, learn_h2=learn_h2, learn_p=learn_p, jump=jump, sample_every=sample_every) for c in range(n_chains)]
+    pip, mean = np.clip(np.mean([c.pip for c in chains], axis=0), 0, 1), np.mean([c.beta for c in chains], axis=0)
+    sd = np.concatenate([c.samples for c in chains]).std(0) if len(chains[0].samples) else np.zeros(len(pip))
+    edges = np.cumsum([0, *(x.size for x in blocks)])
+    middle = lambda name, k: float(np.mean([np.median(getattr(c, name)[:, k]) for c in chains]))
+    return [{"pip": pip[a:b], "mean": mean[a:b], "sd": sd[a:b], "h2": middle("h2", k), "p": middle("p", k)} for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
 
 
 def credible_sets(pip, r, coverage=0.95, min_r=0.5, max_signals=10, tie_r=0.95) -> list[dict]:
@@ -614,12 +952,11 @@ def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
-def truncated_normal(mean, positive, rng):
-    """Draws of N(mean, 1) above 0 where positive, below 0 elsewhere, by inverting the distribution function."""
+def truncated_normal(mean, positive, u):
+    """Draws of N(mean, 1) above 0 where positive, below 0 elsewhere, by inverting the distribution function at uniforms."""
     from statistics import NormalDist
 
     inv = NormalDist().inv_cdf
     low = normal_cdf(-np.asarray(mean))
-    u = rng.random(len(low))
     q = np.where(positive, low + u * (1 - low), u * low)
     return mean + np.array([inv(min(max(x, 1e-12), 1 - 1e-12)) for x in q])

@@ -70,13 +70,26 @@ def diagnose(ss: DataFrame, variants: DataFrame) -> DataFrame:
     return ids.crossJoin(both).select("n_id_overlap", "n_pos_overlap", "n_moved", (F.col("n_moved") * 2 > F.col("n_id_overlap")).alias("build_mismatch"))
 
 
+def explained(told: dict) -> str:
+    """What the counts of diagnose() point to."""
+    if told["build_mismatch"]:
+        return "shared ids stand at other positions: another genome build?"
+    if not told["n_id_overlap"] and not told["n_pos_overlap"]:
+        return "neither ids nor positions are shared: other variants, or another build"
+    return "variants are shared, but alleles do not fit: check the allele columns and the strand"
+
+
 def on_panel(target: DataFrame, panel: DataFrame) -> DataFrame:
-    """An external panel's variants by id, with whether its dosages must be recoded to the target's first allele."""
-    p = panel.select(F.col("id").alias("_id"), F.col("vidx").alias("panel_vidx"), F.upper("a1").alias("_a1"), F.upper("a2").alias("_a2"))
+    """An external panel's variants by id (of repeated ids the first), with whether its dosages must be recoded to the
+    target's first allele; alleles of the other strand count as the same."""
+    p = panel.filter("id is not null and id not in ('', '.')").groupBy(F.col("id").alias("_id")).agg(F.min(F.struct(F.col("vidx").alias("v"), F.upper("a1").alias("a1"), F.upper("a2").alias("a2"))).alias("_p"))
     rows = target.join(p, F.col("id") == F.col("_id"))
-    same = (F.upper("a1") == F.col("_a1")) & (F.upper("a2") == F.col("_a2"))
-    other = (F.upper("a1") == F.col("_a2")) & (F.upper("a2") == F.col("_a1"))
-    return rows.filter(same | other).select("vidx", "panel_vidx", other.alias("recode"))
+    a1, a2, b1, b2 = F.upper("a1"), F.upper("a2"), F.col("_p.a1"), F.col("_p.a2")
+    same, other = (a1 == b1) & (a2 == b2), (a1 == b2) & (a2 == b1)
+    c1, c2 = complement(b1), complement(b2)
+    strand, strand_other = (a1 == c1) & (a2 == c2), (a1 == c2) & (a2 == c1)
+    recode = F.when(same, False).when(other, True).when(strand, False).when(strand_other, True)
+    return rows.withColumn("recode", recode).filter("recode is not null").select("vidx", F.col("_p.v").alias("panel_vidx"), "recode")
 
 
 def with_annotations(variants: DataFrame, annotations: DataFrame, names: list[str]) -> DataFrame:
@@ -90,4 +103,6 @@ def wanted(variants: DataFrame, ss: DataFrame) -> DataFrame:
     """Variants that the statistics name; all of them if they name none."""
     ids = ss.filter("id is not null and id not in ('', '.')").select("id").distinct()
     found = variants.join(ids, "id", "left_semi")
-    return found if found.limit(1).count() else variants
+    # rows without an id are met by place, so every variant may be wanted
+    placed = ss.filter("id is null or id in ('', '.')").limit(1).count()
+    return found if not placed and found.limit(1).count() else variants

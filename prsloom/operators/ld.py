@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prsloom.functions import kernels
+from prsloom.functions.columns import complement
 
 BLOCK = "block_id long, start long, k int, kind string, indptr binary, indices binary, data binary"
 
@@ -22,15 +23,20 @@ def block_bounds(variants: DataFrame, block_size: int = 500) -> DataFrame:
     vidx is gapless, so a run starts where the variant before has another chromosome: an equi-join on vidx + 1. Runs, as
     many as chromosome changes, are then numbered in one small window and met by chromosome and range.
     """
+    rows = _runs(variants)
+    place = F.col("vidx") - F.col("first")
+    block = F.col("first") + F.floor(place / block_size) * block_size  # a block is known by its first variant
+    return rows.select("vidx", block.alias("block_id"), (place % block_size).alias("place"))
+
+
+def _runs(variants: DataFrame) -> DataFrame:
+    """(vidx, first): the first variant of each variant's run of one chromosome."""
     v = variants.select("vidx", "chrom")
     before = v.select((F.col("vidx") + 1).alias("vidx"), F.col("chrom").alias("_c"))
     starts = v.join(before, "vidx", "left").filter("_c is null or _c != chrom").select(F.col("vidx").alias("first"), F.col("chrom").alias("_chrom"))
-    order = Window.orderBy("first")
-    runs = starts.withColumn("until", F.lead("first").over(order)).withColumn("_run", F.row_number().over(order))
+    runs = starts.withColumn("until", F.lead("first").over(Window.orderBy("first")))
     rows = v.join(runs, (F.col("chrom") == F.col("_chrom")) & (F.col("vidx") >= F.col("first")) & (F.col("until").isNull() | (F.col("vidx") < F.col("until"))))
-    place = F.col("vidx") - F.col("first")
-    block = F.col("first") + F.floor(place / block_size) * block_size  # a block is known by its first variant
-    return rows.select("vidx", block.alias("block_id"), (place % block_size).alias("place"))
+    return rows.select("vidx", "first")
 
 
 def _encode(block_id: int, start: int, block) -> dict:
@@ -52,16 +58,21 @@ def decode(row):
     return kernels.Dense(data.reshape(row.k, row.k))
 
 
+def _standardized(frame: pd.DataFrame) -> np.ndarray:
+    """Dosages of a group's variants in order: mean 0, sd 1 over all samples, 0 where missing or without variation."""
+    g = np.array([np.asarray(x, np.float64) for x in frame["dosage"]])
+    missing = np.isnan(g)
+    n = np.maximum((~missing).sum(1, keepdims=True), 1)
+    mean = np.where(missing, 0, g).sum(1, keepdims=True) / n
+    z = np.where(missing, 0, g - mean)
+    sd = np.sqrt((z * z).mean(1, keepdims=True))
+    return np.divide(z, sd, out=np.zeros_like(z), where=sd > 1e-12)
+
+
 def _gram(ridge, kind, threshold, max_dist, variance, max_rank, least):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("vidx")
-        g = np.array([np.asarray(x, np.float64) for x in frame["dosage"]])
-        missing = np.isnan(g)
-        n = np.maximum((~missing).sum(1, keepdims=True), 1)
-        mean = np.where(missing, 0, g).sum(1, keepdims=True) / n
-        z = np.where(missing, 0, g - mean)
-        sd = np.sqrt((z * z).mean(1, keepdims=True))
-        z = np.divide(z, sd, out=np.zeros_like(z), where=sd > 1e-12)
+        z = _standardized(frame)
         r = (1 - ridge) * (z @ z.T / z.shape[1])
         np.fill_diagonal(r, 1.0)
         block = kernels.Dense(r)
@@ -117,12 +128,32 @@ def shrink_blocks(blocks: DataFrame, n_ref: float, max_shrink: float = 0.5, inte
     return blocks.mapInPandas(run, BLOCK)
 
 
-def ld_scores(p: DataFrame, n_ref: float | None = None) -> DataFrame:
-    """(vidx, ld_score): sum of r squared, less its chance part where the panel's size is given."""
-    sq = F.col("r") * F.col("r")
-    if n_ref is not None:
-        sq = sq - (1 - sq) / (n_ref - 2)
-    return p.groupBy((F.col("start") + F.col("i")).alias("vidx")).agg(F.sum(sq).alias("ld_score"))
+def with_effects(blocks: DataFrame, effects: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """A row a block, with its effects as arrays in order."""
+    spans = blocks.select("block_id", "start", "k").withColumn("vidx", F.explode(F.expr("sequence(start, start + k - 1)"))).select("block_id", "vidx")
+    names = ("beta", "n", *extra)
+    e = effects.select("vidx", *names)
+    rows = spans.join(e, "vidx").groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("vidx", *names))).alias("e"))
+    return blocks.join(rows, "block_id").select(*blocks.columns, *(F.col(f"e.{c}").cast("array<double>").alias(f"e_{c}") for c in names))
+
+
+def ld_scores(blocks: DataFrame, n_ref: float | None = None) -> DataFrame:
+    """(vidx, ld_score): sum of r squared, less its chance part where the panel's size is given. Summed where the block lies."""
+
+    def run(frames):
+        for frame in frames:
+            for x in frame.itertuples(index=False):
+                block = decode(x)
+                if isinstance(block, kernels.Sparse):
+                    each, many = np.bincount(block.rows(), block.data.astype(np.float64) ** 2, x.k), np.diff(block.indptr)
+                elif isinstance(block, kernels.LowRank):
+                    u = block.u.astype(np.float64)
+                    each, many = np.einsum("kr,rs,ks->k", u, u.T @ u, u), np.full(x.k, x.k)
+                else:
+                    each, many = (block.full() ** 2).sum(1), np.full(x.k, x.k)
+                yield pd.DataFrame({"vidx": x.start + np.arange(x.k), "ld_score": each if n_ref is None else each - (many - each) / (n_ref - 2)})
+
+    return blocks.mapInPandas(run, "vidx long, ld_score double")
 
 
 def cut_costs(p: DataFrame) -> DataFrame:
@@ -149,17 +180,111 @@ def optimal_blocks(blocks: DataFrame, max_size: int, min_size: int = 1, window:
     return blocks.mapInPandas(run, "block_id long, start long, size int")
 
 
-def partition_h2(p: DataFrame, effects: DataFrame) -> DataFrame:
+def _cut_steps(window: int):
+    """From a tile and its right neighbour: where pairs of the tile's variants start and stop to be severed."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("place")
+        z, place = _standardized(frame), frame["place"].to_numpy()
+        left = np.flatnonzero(frame["own"].to_numpy())
+        first, steps = place[0] if len(place) else 0, np.zeros(len(place) + 1)
+        for a in range(0, len(left), 256):
+            i = left[a : a + 256]
+            q = (z[i] @ z.T / z.shape[1]) ** 2
+            ahead = place[None, :] - place[i][:, None]
+            q[(ahead <= 0) | (ahead > window)] = 0.0
+            # a pair (i, j) counts at cuts i + 1 to j
+            np.add.at(steps, i + 1, q.sum(1))
+            steps[1:] -= q.sum(0)
+        return pd.DataFrame({"first": frame["first"].iloc[0], "cut": first + np.arange(len(steps)), "d": steps})
+
+    return run
+
+
+def optimal_split(geno: DataFrame, variants: DataFrame, max_size: int, min_size: int = 1, window: int | None = None) -> DataFrame:
+    """(vidx, block_id, place) like block_bounds: each run of a chromosome is cut where the least squared correlation, of
+    pairs up to `window` variants apart, is lost.
+
+    Correlations are banded: a tile of `window` variants meets itself and its right neighbour. What the tiles report are numbers
+    by cut, and the dynamic program over a chromosome holds one number for each of its variants.
+    """
+    window = window or max_size
+    placed = _runs(variants).withColumn("place", F.col("vidx") - F.col("first"))
+    tiles = placed.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("tile", F.floor(F.col("place") / window) - F.when(F.col("own"), 0).otherwise(1)).filter("tile >= 0")
+    steps = geno.join(tiles, "vidx").groupBy("first", "tile").applyInPandas(lambda frame: _cut_steps(window)(frame), "first long, cut long, d double")
+    costs = steps.groupBy("first", "cut").agg(F.sum("d").alias("d"))
+    sizes = placed.groupBy("first").agg(F.count("*").alias("m"))
+
+    def best(frame: pd.DataFrame) -> pd.DataFrame:
+        m = int(frame["m"].iloc[0])
+        cost = np.zeros(m + 1)
+        inside = frame["cut"].to_numpy() <= m
+        cost[frame["cut"].to_numpy()[inside]] = frame["d"].to_numpy()[inside]
+        found = kernels.best_cuts(np.cumsum(cost), max_size, min_size)
+        return pd.DataFrame({"block_id": frame["first"].iloc[0] + np.r_[0, np.cumsum(found)[:-1]], "size": np.array(found, np.int64)})
+
+    cut = costs.join(sizes, "first").groupBy("first").applyInPandas(best, "block_id long, size long")
+    return cut.select(F.explode(F.expr("sequence(block_id, block_id + size - 1)")).alias("vidx"), "block_id").withColumn("place", F.col("vidx") - F.col("block_id"))
+
+
+def partition_h2(blocks: DataFrame, effects: DataFrame) -> DataFrame:
     """(block_id, h2): b' R b of each block. effects: vidx, beta."""
-    a = effects.select(F.col("vidx").alias("_i"), F.col("beta").alias("_bi"))
-    b = effects.select(F.col("vidx").alias("_j"), F.col("beta").alias("_bj"))
-    rows = p.join(a, F.col("start") + F.col("i") == F.col("_i")).join(b, F.col("start") + F.col("j") == F.col("_j"))
-    return rows.groupBy("block_id").agg(F.sum(F.col("_bi") * F.col("r") * F.col("_bj")).alias("h2"))
 
+    def run(frames):
+        for frame in frames:
+            yield pd.DataFrame([{"block_id": x.block_id, "h2": float(np.asarray(x.e_beta) @ decode(x).dot(np.asarray(x.e_beta)))} for x in frame.itertuples(index=False)])
+
+    return with_effects(blocks, effects.withColumn("n", F.lit(0.0))).mapInPandas(run, "block_id long, h2 double")
+
+
+def block_diagonal(blocks: DataFrame) -> DataFrame:
+    """(i, j, r) of the whole matrix, by variant; pairs of different blocks are not stored."""
+    return pairs(blocks).select((F.col("start") + F.col("i")).alias("i"), (F.col("start") + F.col("j")).alias("j"), "r")
 
-def save(blocks: DataFrame, path: str) -> None:
-    blocks.write.mode("overwrite").parquet(path)
+
+# --- blocks kept for later runs -------------------------------------------------------------------------
+
+
+def variant_key() -> Column:
+    """What a variant is known by: its id, or its place where it has none."""
+    known = F.coalesce(~F.col("id").isin("", "."), F.lit(False))
+    return F.when(known, F.col("id")).otherwise(F.concat_ws(":", F.col("chrom"), F.col("pos").cast("string")))
+
+
+def save(blocks: DataFrame, variants: DataFrame, path: str) -> None:
+    """Blocks with the key and the alleles of each of their variants, in order. variants: vidx, id, chrom, pos, a1, a2."""
+    spans = blocks.select("block_id", F.explode(F.expr("sequence(start, start + k - 1)")).alias("vidx"))
+    own = variants.select("vidx", variant_key().alias("key"), F.upper("a1").alias("a1"), F.upper("a2").alias("a2"))
+    listed = spans.join(own, "vidx").groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("vidx", "key", "a1", "a2"))).alias("x"))
+    out = blocks.join(listed, "block_id", "left").select(*blocks.columns, *(F.col(f"x.{c}").alias(c) for c in ("key", "a1", "a2")))
+    bad = blocks.join(listed, "block_id", "left").filter("x is null or size(x) != k").limit(1).count()
+    if bad:
+        raise ValueError("the variants are not those of the blocks")
+    again = own.join(spans, "vidx", "left_semi").groupBy("key").count().filter("count > 1").limit(3).collect()
+    if again:
+        raise ValueError(f"blocks are kept by variant id, and ids are repeated: {', '.join(x.key for x in again)}")
+    out.write.mode("overwrite").parquet(path)
 
 
 def load(spark, path: str) -> DataFrame:
-    return spark.read.schema(BLOCK).parquet(path)
+    return spark.read.schema(f"{BLOCK}, key array<string>, a1 array<string>, a2 array<string>").parquet(path)
+
+
+def align(kept: DataFrame, variants: DataFrame) -> DataFrame:
+    """(vidx in the kept blocks, file_vidx, sign) for every variant of kept blocks; sign -1 where the alleles stand the other way round.
+
+    variants: vidx, id, chrom, pos, a1, a2 of this run. Raises where a kept variant is not among them, or has other alleles.
+    """
+    held = kept.select("start", F.posexplode(F.arrays_zip("key", "a1", "a2")).alias("i", "x")).select((F.col("start") + F.col("i")).alias("vidx"), F.col("x.key").alias("key"), F.col("x.a1").alias("c1"), F.col("x.a2").alias("c2"))
+    first = F.min(F.struct(F.col("vidx").alias("v"), F.upper("a1").alias("a1"), F.upper("a2").alias("a2"))).alias("y")
+    own = variants.groupBy(variant_key().alias("key")).agg(first)
+    both = held.join(own, "key", "left").select("vidx", "key", "c1", "c2", F.col("y.v").alias("file_vidx"), F.col("y.a1").alias("a1"), F.col("y.a2").alias("a2"))
+    b1, b2 = complement(F.col("a1")), complement(F.col("a2"))
+    same = ((F.col("a1") == F.col("c1")) & (F.col("a2") == F.col("c2"))) | ((b1 == F.col("c1")) & (b2 == F.col("c2")))
+    turned = ((F.col("a1") == F.col("c2")) & (F.col("a2") == F.col("c1"))) | ((b1 == F.col("c2")) & (b2 == F.col("c1")))
+    out = both.withColumn("sign", F.when(same, 1.0).when(turned, -1.0))
+    bad = out.filter("sign is null")
+    many = bad.count()
+    if many:
+        raise ValueError(f"the LD cache has {many} variants that are absent here, or have other alleles (such as {', '.join(x.key for x in bad.orderBy('vidx').limit(3).collect())}): the inputs or the quality control have changed, build it again")
+    return out.select("vidx", "file_vidx", "sign")

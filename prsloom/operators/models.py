@@ -1,9 +1,8 @@
 """Models over a table of LD blocks and a table of effects (vidx, beta, n).
 
-Models without shared hyper-parameters run a block to a group. Samplers that pool h2 and p over all blocks after
-each sweep run one task for each chain by default: it reads the blocks from the broadcast or shared table and needs no
-synchronisation. `auto_rounds` is the other way, for panels too large for one task: rounds of a few sweeps on
-all blocks at once, pooled in between.
+Models without shared hyper-parameters sweep over the blocks of an Arrow batch side by side. Samplers that pool h2, p and the
+like over all blocks after each sweep run in one barrier stage (`pooled`), every block in the task that reads it.
+Streams of random numbers hang on the seed and the block, so that results do not depend on partitioning.
 """
 
 from __future__ import annotations
@@ -16,196 +15,274 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prsloom.functions import kernels
-from prsloom.operators.ld import BLOCK, decode
+from prsloom.operators.ld import BLOCK, _encode, decode, with_effects
+from prsloom.operators.pooled import run_pooled
+from prsloom.tables import drop, written
 
 EFFECTS = "vidx long, beta double"
-#: Bytes of LD that may travel to a task that holds all blocks.
-WHOLE_BYTES = 4 << 30
+#: Bytes of LD that blocks taken side by side may have (a larger one is taken alone).
+SIDE_BYTES = 256 << 20
 
 
-def with_effects(blocks: DataFrame, effects: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """A row a block, with its effects as arrays in order."""
-    spans = blocks.select("block_id", "start", "k").withColumn("vidx", F.explode(F.expr("sequence(start, start + k - 1)"))).select("block_id", "vidx")
-    names = ("beta", "n", *extra)
-    e = effects.select("vidx", *names)
-    rows = spans.join(e, "vidx").groupBy("block_id").agg(F.array_sort(F.collect_list(F.struct("vidx", *names))).alias("e"))
-    return blocks.join(rows, "block_id").select(*blocks.columns, *(F.col(f"e.{c}").cast("array<double>").alias(f"_{c}") for c in names))
+def _side_by_side(frames):
+    """Lists of rows that are taken together."""
+    for frame in frames:
+        held, size = [], 0
+        for row in frame.itertuples(index=False):
+            held.append(row)
+            size += len(row.data) * 2
+            if size >= SIDE_BYTES:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
 
 
-def _by_block(rows: DataFrame, schema: str, f) -> DataFrame:
+def _by_blocks(rows: DataFrame, schema: str, f) -> DataFrame:
+    """f: of a list of rows, a frame."""
+
     def run(frames):
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                yield f(row)
+        for held in _side_by_side(frames):
+            yield f(held)
+
+    return rows.mapInPandas(run, schema)
 
-    renamed = rows
-    for c in rows.columns:
-        if c.startswith("_"):
-            renamed = renamed.withColumnRenamed(c, f"e{c}")
-    return renamed.mapInPandas(run, schema)
+
+def _by_block(rows: DataFrame, schema: str, f) -> DataFrame:
+    return _by_blocks(rows, schema, lambda held: pd.concat([f(x) for x in held], ignore_index=True))
 
 
 def _vidx(row):
     return row.start + np.arange(row.k)
 
 
+def _all_vidx(held) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *(_vidx(x) for x in held)])
+
+
+def _joined(held, name: str) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(np.asarray(getattr(x, f"e_{name}"), np.float64) for x in held)])
+
+
+def _total(blocks: DataFrame) -> tuple[int, int]:
+    """Variants and blocks."""
+    one = blocks.agg(F.sum("k").alias("m"), F.count("*").alias("n")).collect()[0]
+    return int(one.m or 0), int(one.n)
+
+
+def _seeds(held, seed: int) -> list[int]:
+    return [int((seed + x.block_id) % (1 << 32)) for x in held]
+
+
 def inf(blocks: DataFrame, effects: DataFrame, h2: float, m: int | None = None) -> DataFrame:
     """Infinitesimal model; h2 is shared out by block size."""
-    m = m or int(blocks.agg(F.sum("k")).collect()[0][0] or 0)
+    m = m or _total(blocks)[0]
     return _by_block(with_effects(blocks, effects), EFFECTS, lambda x: pd.DataFrame({"vidx": _vidx(x), "beta": kernels.infinitesimal(decode(x), x.e_beta, x.e_n, h2 * x.k / m)}))
 
 
+def _optional(effects: DataFrame) -> tuple[str, ...]:
+    """Columns of effects that change the prior: prior (relative inclusion probability) and slab (relative variance)."""
+    return tuple(c for c in ("prior", "slab") if c in effects.columns)
+
+
 def grid(blocks: DataFrame, effects: DataFrame, h2: float, p: float, seed: int = 1, m: int | None = None, **kw) -> DataFrame:
-    m = m or int(blocks.agg(F.sum("k")).collect()[0][0] or 0)
-    return _by_block(with_effects(blocks, effects), EFFECTS, lambda x: pd.DataFrame({"vidx": _vidx(x), "beta": kernels.grid(decode(x), x.e_beta, x.e_n, h2 * x.k / m, p, seed=(seed + x.block_id) % (1 << 32), **kw)}))
+    """Fixed h2 and p. effects may have columns prior and slab."""
+    m = m or _total(blocks)[0]
+    extra = _optional(effects)
+
+    def run(held):
+        found = kernels.grids([decode(x) for x in held], _joined(held, "beta"), _joined(held, "n"), [h2 * x.k / m for x in held], p, seeds=_seeds(held, seed), **kw, **{c: _joined(held, c) for c in extra})
+        return pd.DataFrame({"vidx": _all_vidx(held), "beta": found})
+
+    return _by_blocks(with_effects(blocks, effects, extra), EFFECTS, run)
 
 
 def laplace(blocks: DataFrame, effects: DataFrame, h2: float, seed: int = 1, m: int | None = None, **kw) -> DataFrame:
-    m = m or int(blocks.agg(F.sum("k")).collect()[0][0] or 0)
-    return _by_block(with_effects(blocks, effects), EFFECTS, lambda x: pd.DataFrame({"vidx": _vidx(x), "beta": kernels.laplace(decode(x), x.e_beta, x.e_n, h2 * x.k / m, seed=(seed + x.block_id) % (1 << 32), **kw)}))
+    m = m or _total(blocks)[0]
+
+    def run(held):
+        found = kernels.laplaces([decode(x) for x in held], _joined(held, "beta"), _joined(held, "n"), [h2 * x.k / m for x in held], seeds=_seeds(held, seed), **kw)
+        return pd.DataFrame({"vidx": _all_vidx(held), "beta": found})
+
+    return _by_blocks(with_effects(blocks, effects), EFFECTS, run)
 
 
 def lassosum(blocks: DataFrame, effects: DataFrame, s_seq=(0.2, 0.5, 0.9), n_lambda: int = 20, ratio: float = 0.01, max_iter: int = 100, tol: float = 1e-4) -> tuple[DataFrame, DataFrame]:
-    """(effects of the best model, grid of s, lambda, score, n_nonzero). Blocks run apart for each s and report what the score
-    needs; the sums over blocks choose."""
+    """(effects of the best model, grid of s, lambda, score, n_nonzero). Every batch of blocks goes down the penalties of each s
+    and reports what the score needs; the sums over blocks choose. Where no model scores at most 1, no effect is kept."""
     top = effects.agg(F.max(F.abs("beta"))).collect()[0][0] or 0.0
     lambdas = np.exp(np.linspace(math.log(top), math.log(top * ratio), n_lambda)) if top > 0 else np.zeros(1)
 
-    def path(x):
-        out = kernels.lasso_path(decode(x), x.e_beta, x.e_s, lambdas, max_iter, tol)
-        v = _vidx(x)
-        return pd.DataFrame([{"s": x.e_s, "step": k, "vidx": v, "beta": b, "br": br, "brb": brb} for k, (b, br, brb) in enumerate(out)])
+    def path(held):
+        decoded, out = [decode(x) for x in held], []
+        for s in s_seq:
+            for x, steps in zip(held, kernels.lasso_paths(decoded, _joined(held, "beta"), s, lambdas, max_iter, tol), strict=True):
+                out += [{"s": s, "step": k, "vidx": _vidx(x), "beta": b, "br": br, "brb": brb} for k, (b, br, brb) in enumerate(steps)]
+        return pd.DataFrame(out)
 
-    each = with_effects(blocks, effects).withColumn("_s", F.explode(F.array(*map(F.lit, s_seq))))
-    found = _by_block(each, "s double, step int, vidx array<long>, beta array<double>, br double, brb double", path).persist()
+    found = written(_by_blocks(with_effects(blocks, effects), "s double, step int, vidx array<long>, beta array<double>, br double, brb double", path), "paths")
     lam = F.element_at(F.array(*map(F.lit, lambdas.tolist())), F.col("step") + 1)
     grid = found.groupBy("s", "step").agg(F.sum("br").alias("br"), F.sum("brb").alias("brb"), F.sum(F.size(F.filter("beta", lambda b: b != 0))).alias("n_nonzero"))
     grid = grid.select("s", "step", lam.alias("lambda"), F.when(F.col("brb") > 1e-12, F.col("br") / F.sqrt("brb")).otherwise(0.0).alias("score"), "n_nonzero")
     best = grid.filter("score <= 1").orderBy(F.desc("score"), "s", "step").limit(1).collect()  # one row
-    chosen = found.filter((F.col("s") == best[0].s) & (F.col("step") == best[0].step))
+    if best:
+        chosen = found.filter((F.col("s") == best[0].s) & (F.col("step") == best[0].step))
+    else:
+        chosen = found.filter((F.col("s") == s_seq[0]) & (F.col("step") == 0)).withColumn("beta", F.transform("beta", lambda b: F.lit(0.0)))
     return chosen.select(F.explode(F.arrays_zip("vidx", "beta")).alias("x")).select("x.vidx", "x.beta"), grid
 
 
-def _together(blocks: DataFrame, effects: DataFrame, extra: tuple[str, ...] = ()):
-    """All blocks in order and their effects, for tasks that hold the whole panel."""
-    size = blocks.agg(F.sum(F.length("data") + F.coalesce(F.length("indices"), F.lit(0)))).collect()[0][0] or 0
-    if size > WHOLE_BYTES:
-        raise ValueError(f"{size} bytes of LD are too many for one task: use auto_rounds, or sparse or low-rank blocks")
-    rows = with_effects(blocks, effects, extra).orderBy("start").collect()
-    lists = {c: np.concatenate([x[f"_{c}"] for x in rows]) if rows else np.zeros(0) for c in ("beta", "n", *extra)}
-    vidx = np.concatenate([x.start + np.arange(x.k) for x in rows]) if rows else np.zeros(0, int)
-    return rows, vidx, lists
+# --- samplers that pool over all blocks ---------------------------------------------------------------
 
 
-def _chains(spark, rows, lists, work, kw, sample_every):
-    shared = spark.sparkContext.broadcast(([x.asDict() for x in rows], lists))
+def _stream(seed: int, block_id: int) -> np.random.Generator:
+    return np.random.default_rng([seed % (1 << 32), int(block_id)])
 
-    class Row:
-        def __init__(self, d):
-            self.__dict__.update(d)
 
-    def run(frames):
-        raw, e = shared.value
-        own = [decode(Row(d)) for d in raw]
-        for frame in frames:
-            for x in frame.itertuples(index=False):
-                c = kernels.sample(own, e["beta"], e["n"], x.h2, x.p, rng=np.random.default_rng(x.seed), sample_every=sample_every, **kw)
-                yield pd.DataFrame([{"chain": x.chain, "beta": c.beta, "h2": c.h2, "p": c.p, "pip": c.pip, "samples": c.samples.tobytes()}])
+def _long(found: DataFrame, *names: str) -> DataFrame:
+    """A row a variant from rows of blocks (start and an array for each name)."""
+    rows = found.filter("start >= 0").select("start", F.posexplode(F.arrays_zip(*names)).alias("i", "x"))
+    return rows.select((F.col("start") + F.col("i")).alias("vidx"), *(F.col(f"x.{n}").alias(n) for n in names))
+
 
-    frame = spark.createDataFrame(work, "chain int, h2 double, p double, seed long").repartition(len(work), "chain")
-    return frame.mapInPandas(run, "chain int, beta array<double>, h2 array<double>, p array<double>, pip array<double>, samples binary")
+def _answers(held, told: dict, pool, values: dict):
+    """Rows of a task: one for each block with its part of the values, and from task 0 one of what all share (start -1)."""
+    edges = np.cumsum([0, *(x.k for x in held)])
+    rows = [{"start": x.start, **{n: v[a:b] for n, v in values.items()}, "told": None} for x, a, b in zip(held, edges, edges[1:], strict=False)]
+    if getattr(pool, "rank", 0) == 0:
+        rows.append({"start": -1, **{n: None for n in values}, "told": np.array(list(told.values()), np.float64)})
+    return pd.DataFrame(rows, columns=["start", *values, "told"])
 
 
-def auto(blocks: DataFrame, effects: DataFrame, h2: float = 0.1, p: float = 0.1, burn_in: int = 200, num_iter: int = 200, seed: int = 1, **kw) -> tuple[DataFrame, dict]:
-    """One chain with pooled h2 and p: (effects, estimates)."""
-    rows, vidx, lists = _together(blocks, effects)
-    spark = blocks.sparkSession
-    found = _chains(spark, rows, lists, [(0, float(h2), float(p), seed)], {"burn_in": burn_in, "num_iter": num_iter, **kw}, 0).collect()[0]
-    out = spark.createDataFrame(pd.DataFrame({"vidx": vidx, "beta": found.beta}), EFFECTS)
-    return out, {"h2_est": float(np.mean(found.h2)), "p_est": float(np.mean(found.p))}
+def _told(found: DataFrame) -> np.ndarray:
+    return np.array(found.filter("start = -1").select("told").collect()[0].told)  # one row of a few numbers
+
+
+POOLED = "start long, beta array<double>, told array<double>"
+
+
+def auto(blocks: DataFrame, effects: DataFrame, h2: float = 0.1, p: float = 0.1, burn_in: int = 200, num_iter: int = 200, seed: int = 1, shared: bool = True, **kw) -> tuple[DataFrame, dict]:
+    """One chain that learns h2 and p: (effects, estimates). effects may have columns prior and slab.
+
+    h2 and p are pooled over all blocks after each sweep; with shared off each block has its own, starting
+    from its part of h2.
+    """
+    m, many = _total(blocks)
+    extra = _optional(effects)
+    if "prior" in extra and shared:
+        raise ValueError("prior weights need fixed p (grid) or annotations (annot)")
+
+    def run(held, pool):
+        own = {c: _joined(held, c) for c in extra}
+        options = {"burn_in": burn_in, "num_iter": num_iter, "rngs": [_stream(seed, x.block_id) for x in held], **own, **kw}
+        decoded, beta, n = [decode(x) for x in held], _joined(held, "beta"), _joined(held, "n")
+        if shared:
+            c = kernels.sample(decoded, beta, n, h2, p, rng=np.random.default_rng(seed), pool=pool, m=m, **options)
+            told = {"h2": float(np.mean(c.h2)), "p": float(np.mean(c.p))}
+        else:
+            c = kernels.sample(decoded, beta, n, h2, p, shared=False, **options)
+            sizes = np.array([x.k for x in held], float)
+            sums = pool(np.array([c.h2.mean(0).sum() if len(held) else 0.0, (c.p.mean(0) * sizes).sum() if len(held) else 0.0]))
+            told = {"h2": sums[0], "p": sums[1] / max(m, 1)}
+        yield _answers(held, told, pool, {"beta": c.beta})
+
+    found = run_pooled(with_effects(blocks, effects, extra), many, POOLED, run)
+    told = _told(found)
+    return _long(found, "beta"), {"h2_est": float(told[0]), "p_est": float(told[1])}
+
+
+INFERRED = ("h2_est", "h2_low", "h2_high", "p_est", "p_low", "p_high", "r2_est", "r2_low", "r2_high", "n_chains", "n_kept")
 
 
 def infer(blocks: DataFrame, effects: DataFrame, n_chains: int = 10, p_range=(1e-4, 0.2), h2: float = 0.1, burn_in: int = 200, num_iter: int = 200, sample_every: int = 5, seed: int = 1, **kw) -> tuple[DataFrame, DataFrame]:
-    """(effects, one row of estimates with intervals) from several chains, a task each."""
-    rows, vidx, lists = _together(blocks, effects)
-    spark = blocks.sparkSession
-    work = [(c, float(h2), float(p), s) for c, (p, s) in enumerate(zip(kernels.p_starts(n_chains, *p_range), kernels.chain_seeds(seed, n_chains), strict=True))]
-    found = sorted(_chains(spark, rows, lists, work, {"burn_in": burn_in, "num_iter": num_iter, **kw}, sample_every).collect())
-    chains = [kernels.Chain(np.array(x.beta), np.array(x.h2), np.array(x.p), np.array(x.pip), np.frombuffer(x.samples, np.float32).reshape(-1, len(vidx))) for x in found]
-    told = kernels.infer(chains, [decode(x) for x in rows])
-    beta = spark.createDataFrame(pd.DataFrame({"vidx": vidx, "beta": told.pop("beta")}), EFFECTS)
-    return beta, spark.createDataFrame(pd.DataFrame([told]))
+    """(effects, one row of estimates with intervals) from several chains."""
+    if n_chains < 2:
+        raise ValueError("inference needs two chains or more")
+    m, many = _total(blocks)
+
+    def run(held, pool):
+        decoded, beta, n = [decode(x) for x in held], _joined(held, "beta"), _joined(held, "n")
+        chains = [
+            kernels.sample(decoded, beta, n, float(h2), float(p), burn_in=burn_in, num_iter=num_iter, sample_every=sample_every, rng=np.random.default_rng(s), rngs=[_stream(s, x.block_id) for x in held], pool=pool, m=m, **kw)
+            for p, s in zip(kernels.p_starts(n_chains, *p_range), kernels.chain_seeds(seed, n_chains), strict=True)
+        ]
+        told = kernels.infer(chains, decoded, pool=pool)
+        yield _answers(held, {x: told[x] for x in INFERRED}, pool, {"beta": told["beta"]})
+
+    found = run_pooled(with_effects(blocks, effects), many, POOLED, run)
+    told = dict(zip(INFERRED, _told(found).tolist(), strict=True))
+    row = tuple(int(told[x]) if x.startswith("n_") else told[x] for x in INFERRED)
+    return _long(found, "beta"), blocks.sparkSession.createDataFrame([row], ", ".join(f"{x} {'long' if x.startswith('n_') else 'double'}" for x in INFERRED))
 
 
 def auto_rounds(blocks: DataFrame, effects: DataFrame, h2: float = 0.1, p: float = 0.1, rounds: int = 10, burn_rounds: int = 5, sweeps: int = 20, seed: int = 1) -> tuple[DataFrame, dict]:
-    """Pooled h2 and p for panels of any size: in each round every block makes `sweeps` sweeps at fixed values, then the
-    causal share and b' R b of all blocks give the next. Streams of random numbers hang on (seed, block, round), not on partitions."""
-    m = int(blocks.agg(F.sum("k")).collect()[0][0] or 0)
-    rows = with_effects(blocks, effects).persist()
-    state, path, kept = None, [], []
+    """Pooled h2 and p without a barrier stage, a job for each round: in each, every block makes `sweeps` sweeps at fixed values,
+    then the causal share and b' R b of all blocks give the next."""
+    m, _ = _total(blocks)
+    rows = written(with_effects(blocks, effects), "rounds")
+    state, path = None, []
     for r in range(burn_rounds + rounds):
-        source = rows if state is None else rows.join(state.select("block_id", F.col("state").alias("_state")), "block_id")
-
-        def step(x, r=r, h2=h2, p=p):
-            rng = np.random.default_rng(np.random.SeedSequence([seed, x.block_id, r]))
-            block = decode(x)
-            c = kernels.sample([block], x.e_beta, x.e_n, h2 * x.k / m, p, burn_in=0, num_iter=sweeps, rng=rng, learn_h2=False, learn_p=False, start=getattr(x, "e_state", None), sample_every=sweeps)
-            last = c.samples[-1].astype(np.float64)
-            return pd.DataFrame([{"block_id": x.block_id, "start": x.start, "state": last, "mean": c.beta, "causal": float(c.pip.sum()), "variance": float(last @ block.dot(last))}])
-
-        state = _by_block(source, "block_id long, start long, state array<double>, mean array<double>, causal double, variance double", step).persist()
+        source = rows if state is None else rows.join(state.select("block_id", F.col("state").alias("e_state"), F.col("sum").alias("e_sum")), "block_id")
+
+        def step(held, r=r, h2=h2, p=p):
+            first = not hasattr(held[0], "e_state")
+            decoded = [decode(x) for x in held]
+            start = None if first else _joined(held, "state")
+            earlier = np.zeros(sum(x.k for x in held)) if first else _joined(held, "sum")
+            rngs = [np.random.default_rng([seed, int(x.block_id), r]) for x in held]
+            c = kernels.sample(decoded, _joined(held, "beta"), _joined(held, "n"), h2, p, burn_in=0, num_iter=sweeps, rngs=rngs, m=m, learn_h2=False, learn_p=False, start=start, sample_every=max(1, sweeps - 1))
+            last, kept = c.samples[-1].astype(np.float64), earlier + (c.beta if r >= burn_rounds else 0.0)
+            edges = np.cumsum([0, *(x.k for x in held)])
+            return pd.DataFrame([{"block_id": x.block_id, "start": x.start, "state": last[a:b], "sum": kept[a:b], "causal": float(c.pip[a:b].sum()), "variance": float(last[a:b] @ d.dot(last[a:b]))} for x, d, a, b in zip(held, decoded, edges, edges[1:], strict=False)])
+
+        before, state = state, written(_by_blocks(source, "block_id long, start long, state array<double>, sum array<double>, causal double, variance double", step), "round")
+        if before is not None:
+            drop(before)
         total = state.agg(F.sum("causal").alias("c"), F.sum("variance").alias("v")).collect()[0]
         p = float(np.clip((1 + total.c) / (2 + m), 1e-6, 0.999))
         h2 = float(np.clip(total.v, 1e-4, 1.0))
         if r >= burn_rounds:
             path.append((h2, p))
-            kept.append(state.select(F.posexplode("mean").alias("i", "beta"), "start").select((F.col("start") + F.col("i")).alias("vidx"), "beta"))
-    out = kept[0]
-    for x in kept[1:]:
-        out = out.union(x)
-    return out.groupBy("vidx").agg(F.avg("beta").alias("beta")), {"h2_est": float(np.mean([x for x, _ in path])), "p_est": float(np.mean([x for _, x in path]))}
+    drop(rows)
+    beta = _long(state.select("start", F.transform("sum", lambda x: x / rounds).alias("beta")), "beta")
+    return beta, {"h2_est": float(np.mean([x for x, _ in path])), "p_est": float(np.mean([x for _, x in path]))}
 
 
-def annot(blocks: DataFrame, effects: DataFrame, names: list[str], **kw) -> tuple[DataFrame, dict]:
+def annot(blocks: DataFrame, effects: DataFrame, names: list[str], seed: int = 1, **kw) -> tuple[DataFrame, dict]:
     """effects also hold the annotation columns. (effects, h2 and the enrichment of each annotation)."""
-    rows, vidx, lists = _together(blocks, effects, tuple(names))
-    spark = blocks.sparkSession
-    a = np.column_stack([lists[c] for c in names])
-    raw = spark.sparkContext.broadcast(([x.asDict() for x in rows], lists, a))
+    _, many = _total(blocks)
+    plain = {f"a{k}": n for k, n in enumerate(names)}  # names of files may not be names of fields
+    renamed = effects.select("vidx", "beta", "n", *(F.col(n if "." not in n else f"`{n}`").alias(k) for k, n in plain.items()))
 
-    class Row:
-        def __init__(self, d):
-            self.__dict__.update(d)
+    def run(held, pool):
+        a = np.column_stack([_joined(held, c) for c in plain])
+        t = kernels.annotated([decode(x) for x in held], _joined(held, "beta"), _joined(held, "n"), a, seed=seed, rngs=[_stream(seed, x.block_id) for x in held], pool=pool, **kw)
+        told = {"h2": t["h2"]} | {f"t{k}": x for k, x in enumerate(t["theta"])} | {f"f{k}": x for k, x in enumerate(t["phi"])}
+        yield _answers(held, told, pool, {"beta": t["beta"]})
 
-    def run(frames):
-        for _ in frames:
-            blocks_, e, a_ = raw.value
-            t = kernels.annotated([decode(Row(d)) for d in blocks_], e["beta"], e["n"], a_, **kw)
-            yield pd.DataFrame([{"beta": t["beta"], "h2": t["h2"], "theta": t["theta"], "phi": t["phi"]}])
+    found = run_pooled(with_effects(blocks, renamed, tuple(plain)), many, POOLED, run)
+    told = _told(found)
+    width = (len(told) - 1) // 2
+    theta, phi = told[1 : 1 + width], told[1 + width :]
+    enrichment = dict(zip(["intercept", *names] if width > len(names) else names, theta.tolist(), strict=True))
+    return _long(found, "beta"), {"h2_est": float(told[0]), "enrichment": enrichment, "phi": phi.tolist()}
 
-    t = spark.range(1).coalesce(1).mapInPandas(run, "beta array<double>, h2 double, theta array<double>, phi array<double>").collect()[0]
-    told = dict(zip(["intercept", *names] if len(t.theta) > len(names) else names, t.theta, strict=True))
-    return spark.createDataFrame(pd.DataFrame({"vidx": vidx, "beta": t.beta}), EFFECTS), {"h2_est": t.h2, "enrichment": told, "phi": list(t.phi)}
 
+def top_enrichments(enrichment: dict[str, float], many: int = 8) -> list[tuple[str, float]]:
+    """The annotations of the largest enrichments, either way."""
+    return sorted(((k, v) for k, v in enrichment.items() if k != "intercept"), key=lambda x: -abs(x[1]))[:many]
 
-def bivariate(blocks: DataFrame, effects: DataFrame, **kw) -> tuple[DataFrame, dict]:
-    """effects: vidx, beta, n and beta2, n2. (vidx, beta1, beta2) and h2_1, h2_2, rg."""
-    rows, vidx, lists = _together(blocks, effects, ("beta2", "n2"))
-    spark = blocks.sparkSession
-    raw = spark.sparkContext.broadcast(([x.asDict() for x in rows], lists))
 
-    class Row:
-        def __init__(self, d):
-            self.__dict__.update(d)
+def bivariate(blocks: DataFrame, effects: DataFrame, seed: int = 1, **kw) -> tuple[DataFrame, dict]:
+    """effects: vidx, beta, n and beta2, n2. (vidx, beta1, beta2) and h2_1, h2_2, rg, cov."""
+    m, many = _total(blocks)
 
-    def run(frames):
-        for _ in frames:
-            blocks_, e = raw.value
-            t = kernels.bivariate([decode(Row(d)) for d in blocks_], e["beta"], e["beta2"], e["n"], e["n2"], **kw)
-            yield pd.DataFrame([{k: t[k] for k in ("beta1", "beta2", "h2_1", "h2_2", "rg")}])
+    def run(held, pool):
+        t = kernels.bivariate([decode(x) for x in held], *(_joined(held, c) for c in ("beta", "beta2", "n", "n2")), seed=seed, rngs=[_stream(seed, x.block_id) for x in held], pool=pool, m=m, **kw)
+        yield _answers(held, {x: t[x] for x in ("h2_1", "h2_2", "rg", "cov")}, pool, {"beta1": t["beta1"], "beta2": t["beta2"]})
 
-    t = spark.range(1).coalesce(1).mapInPandas(run, "beta1 array<double>, beta2 array<double>, h2_1 double, h2_2 double, rg double").collect()[0]
-    return spark.createDataFrame(pd.DataFrame({"vidx": vidx, "beta1": t.beta1, "beta2": t.beta2}), "vidx long, beta1 double, beta2 double"), {"h2_1": t.h2_1, "h2_2": t.h2_2, "rg": t.rg}
+    found = run_pooled(with_effects(blocks, effects, ("beta2", "n2")), many, "start long, beta1 array<double>, beta2 array<double>, told array<double>", run)
+    return _long(found, "beta1", "beta2"), dict(zip(("h2_1", "h2_2", "rg", "cov"), _told(found).tolist(), strict=True))
 
 
 def impute(blocks: DataFrame, effects: DataFrame, ridge: float = 1e-3, min_r2: float = 0.0) -> DataFrame:
@@ -223,8 +300,11 @@ def dentist(blocks: DataFrame, effects: DataFrame, cutoff: float = 29.716785, **
     return _by_block(with_effects(blocks, effects, ("z",)), "vidx long, keep boolean", lambda x: pd.DataFrame({"vidx": _vidx(x), "keep": kernels.dentist(decode(x).full(), np.array(x.e_z), cutoff, **kw)}))
 
 
+FINEMAPPED = "vidx long, block_id long, pip double, mean double, sd double, signal int, coverage double, purity_min double, purity_mean double"
+
+
 def finemap(blocks: DataFrame, effects: DataFrame, only_significant: float | None = None, coverage: float = 0.95, min_abs_corr: float = 0.5, max_signals: int = 10, **kw) -> DataFrame:
-    """(vidx, block_id, pip, mean, sd, signal): signal is the credible set's number in its block, null outside.
+    """A row a variant: vidx, block_id, pip, mean, sd, and the credible set's number in its block (signal), coverage and purity, null outside.
 
     Blocks without a significant variant are filtered before they reach Python.
     """
@@ -233,25 +313,35 @@ def finemap(blocks: DataFrame, effects: DataFrame, only_significant: float | Non
         from statistics import NormalDist
 
         least = -NormalDist().inv_cdf(only_significant / 2)
-        rows = rows.filter(F.exists(F.zip_with("_beta", "_n", lambda b, n: F.abs(b) * F.sqrt(n)), lambda z: z > least))
+        rows = rows.filter(F.exists(F.zip_with("e_beta", "e_n", lambda b, n: F.abs(b) * F.sqrt(n)), lambda z: z > least))
 
-    def run(x):
-        block = decode(x)
-        t = kernels.posterior_inclusion(block, x.e_beta, x.e_n, **kw)
-        signal = np.full(x.k, np.nan)
-        for s in kernels.credible_sets(t["pip"], block.full(), coverage, min_abs_corr, max_signals):
-            signal[s["members"]] = s["signal"]
-        return pd.DataFrame({"vidx": _vidx(x), "block_id": x.block_id, "pip": t["pip"], "mean": t["mean"], "sd": t["sd"], "signal": pd.array(np.where(np.isnan(signal), -1, signal).astype(int), "Int32")})
+    def run(held):
+        decoded, out = [decode(x) for x in held], []
+        for x, block, t in zip(held, decoded, kernels.posterior_inclusions(decoded, _joined(held, "beta"), _joined(held, "n"), **kw), strict=True):
+            signal, told = np.full(x.k, -1), np.zeros((3, x.k))
+            for s in kernels.credible_sets(t["pip"], block.full(), coverage, min_abs_corr, max_signals):
+                signal[s["members"]] = s["signal"]
+                told[:, s["members"]] = np.array([s["coverage"], s["purity_min"], s["purity_mean"]])[:, None]
+            out.append(pd.DataFrame({"vidx": _vidx(x), "block_id": x.block_id, "pip": t["pip"], "mean": t["mean"], "sd": t["sd"], "signal": signal.astype(np.int32), "coverage": told[0], "purity_min": told[1], "purity_mean": told[2]}))
+        return pd.concat(out, ignore_index=True)
+
+    found = _by_blocks(rows, FINEMAPPED, run)
+    inside = F.col("signal") >= 0
+    return found.select("vidx", "block_id", "pip", "mean", "sd", *(F.when(inside, F.col(c)).alias(c) for c in ("signal", "coverage", "purity_min", "purity_mean")))
 
-    found = _by_block(rows, "vidx long, block_id long, pip double, mean double, sd double, signal int", run)
-    return found.withColumn("signal", F.when(F.col("signal") >= 0, F.col("signal")))
+
+def credible_sets(found: DataFrame) -> DataFrame:
+    """A row a credible set of finemap()'s rows that also have an id: block_id, signal, coverage, n_variants, lead_variant, lead_pip,
+    purity_min, purity_mean, variants (ids by falling pip)."""
+    order = F.array_sort(F.collect_list(F.struct((-F.col("pip")).alias("p"), "vidx", "id")))
+    sets = found.filter("signal is not null").groupBy("block_id", "signal").agg(F.first("coverage").alias("coverage"), F.count("*").alias("n_variants"), order.alias("x"), F.max("pip").alias("lead_pip"), F.first("purity_min").alias("purity_min"), F.first("purity_mean").alias("purity_mean"))
+    return sets.select("block_id", "signal", "coverage", "n_variants", F.col("x")[0]["id"].alias("lead_variant"), "lead_pip", "purity_min", "purity_mean", F.transform("x", lambda y: y["id"]).alias("variants"))
 
 
 def low_rank_blocks(blocks: DataFrame, variance: float = 0.99, max_rank: int | None = None, least: int = 0) -> DataFrame:
-    from prsloom.operators.ld import _encode
+    """Blocks of `least` variants or more as low-rank factors."""
 
-    def run(frames):
-        for frame in frames:
-            yield pd.DataFrame([_encode(x.block_id, x.start, kernels.low_rank(decode(x).full(), variance, max_rank) if x.k >= least else decode(x)) for x in frame.itertuples(index=False)])
+    def run(held):
+        return pd.DataFrame([_encode(x.block_id, x.start, kernels.low_rank(decode(x).full(), variance, max_rank) if x.k >= least else decode(x)) for x in held])
 
-    return blocks.mapInPandas(run, BLOCK)
+    return _by_blocks(blocks, BLOCK, run)

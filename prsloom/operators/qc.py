@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prsloom.functions.columns import finite
+from prsloom.tables import written
 
 REASONS = ("nonfinite", "duplicate", "low_n", "low_maf", "low_info", "high_chisq")
 
@@ -88,8 +89,11 @@ def in_regions(rows: DataFrame, regions: DataFrame, limit: int = 100_000) -> Dat
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows with a gapless 0-based number in the order given, without one task that sorts all."""
-    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    """rows with a gapless 0-based number in the order given, without one task that sorts all.
+
+    Ranges are written, since Spark would sample other ones if it came back to them.
+    """
+    parts = written(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     before = parts.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return parts.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_own", "_before")

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prsloom.tables import written
+
 EPS = 1e-12
 #: Samples in a score chunk: what is summed by key is a chunk, not a number.
 CHUNK = 4096
@@ -87,8 +89,8 @@ def ranked(scored: DataFrame, ref_mean: float | None = None, ref_sd: float | Non
     """
     one = scored.agg(F.avg("score").alias("m"), F.stddev_pop("score").alias("sd"), F.count("*").alias("n"))
     counts = scored.groupBy("score").agg(F.count("*").alias("k"))
-    # few distinct partitions: totals of each, then a window inside each
-    parts = counts.repartitionByRange("score").withColumn("part", F.spark_partition_id()).persist()
+    # few distinct partitions: totals of each, then a window inside each. Written, since Spark would sample other ranges again
+    parts = written(counts.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "ranks")
     before = parts.groupBy("part").agg(F.sum("k").alias("t")).withColumn("earlier", F.coalesce(F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "earlier")
     below = F.coalesce(F.sum("k").over(Window.partitionBy("part").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     place = parts.withColumn("below", below).join(F.broadcast(before), "part").select("score", (F.col("below") + F.col("earlier") + (F.col("k") - 1) / 2).alias("rank"))

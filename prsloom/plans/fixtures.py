@@ -1,7 +1,7 @@
 """Genotype-shaped views over the driver's tables, one SQL text for both engines.
 
 `embeddings` become dosages with banded correlations in blocks of 16 variants; a phenotype, marginal statistics, a
-panel and perturbed rows follow from them. `part` and `lineitem` give a larger panel with several statistics a variant.
+panel and perturbed rows follow from them. `part` and `lineitem` give a larger panel with several statistics a variant; in `sumstats_pairs` two neighbouring suppliers share an id.
 """
 
 from __future__ import annotations
@@ -52,6 +52,7 @@ VIEWS = {
         case (l_partkey + l_suppkey) % 5 when 0 then {a2('l_partkey')} when 1 then {a1('l_partkey')} when 2 then {comp(a2('l_partkey'))} when 3 then {comp(a1('l_partkey'))} else 'A' end oa,
         round(avg(l_discount) - 0.05, 6) beta, case when l_suppkey % 41 = 3 then null else round(0.01 + avg(l_tax), 6) end se, cast(sum(l_quantity) * 1000 as double) n_eff,
         ((l_partkey * 7 + l_suppkey * 13) % 1000) / 1000.0 eaf, 0.5 + (l_suppkey % 6) / 10.0 info from lineitem group by l_partkey, l_suppkey""",
+    "sumstats_pairs": "select row_no, case when id = '' then id else concat(id, '_', cast(row_no % 1000000 DIV 2 as string)) end id, chrom, pos, ea, oa, beta, se, n_eff, eaf, info from sumstats_big",
     "regions": "select * from (select '1' chrom, cast(5000 as bigint) start_pos, cast(12000 as bigint) end_pos union all select '2' chrom, cast(40000 as bigint) start_pos, cast(50000 as bigint) end_pos) t",
 }
 ORDER = ["cell", *VIEWS]
@@ -83,7 +84,8 @@ def oracle(select: str, more: str = "") -> str:
     views = [f"{n} as ({text(n, 'duckdb')})" for n in needs(select + " " + more)]
     if more:
         views.append(more)
-    return (f"WITH {', '.join(views)} " if views else "") + select
+    start = "WITH RECURSIVE" if "union all" in more else "WITH"
+    return (f"{start} {', '.join(views)} " if views else "") + select
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

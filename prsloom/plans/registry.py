@@ -169,9 +169,9 @@ def qc_counts(spark, d):
     return qc.counts(qc.flagged(view(spark, d, "sumstats"), max_chisq=30.0))
 
 
-@query(COUNTS, FLAGS.format(t="sumstats_big", k=KEY).replace("c.n > 1", "c.n > 1000000"))
+@query(COUNTS, FLAGS.format(t="sumstats_pairs", k=KEY))
 def qc_counts_big(spark, d):
-    return qc.counts(qc.flagged(view(spark, d, "sumstats_big"), max_chisq=30.0, drop_duplicates=False))
+    return qc.counts(qc.flagged(view(spark, d, "sumstats_pairs"), max_chisq=30.0))
 
 
 @query("select row_no, round(sr, 6) + 0.0 sd_ref, round(raw * k / sr, 6) + 0.0 ratio, coalesce(sr >= 0.05 and raw * k / sr between 0.5 and 2.0, false) keep from (select *, quantile_cont(sr / raw, 0.5) over () k from (select row_no, sqrt(2 * eaf * (1 - eaf)) sr, 1 / sqrt(n_eff * se * se + beta * beta) raw from sumstats_big where se is not null and eaf > 0) t) u")
@@ -251,9 +251,10 @@ def external_panel(spark, d):
     return harmonize.on_panel(v, panel)
 
 
-@query("select v.vidx, coalesce(a.x, 0.0) x from variants_big v left join (select concat('rs', l_partkey) id, max_by(l_discount, l_partkey * 1000000 + l_suppkey) x from (select l_partkey, l_suppkey, max(l_discount) l_discount from lineitem where l_partkey % 3 > 0 group by 1, 2) group by 1) a on a.id = v.id")
+@query("select v.vidx, coalesce(a.x, 0.0) x from variants_big v left join (select concat('rs', l_partkey) id, max_by(l_tax, l_partkey * 1000000 + l_suppkey) x from (select l_partkey, l_suppkey, max(l_tax) l_tax from lineitem where l_discount >= 0.1 group by 1, 2) group by 1) a on a.id = v.id")
 def annotation_align(spark, d):
-    li = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_partkey % 3 > 0").groupBy("l_partkey", "l_suppkey").agg(F.max("l_discount").alias("x"))
+    # some parts were never sold at the highest discount: variants without an annotation
+    li = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_discount >= 0.1").groupBy("l_partkey", "l_suppkey").agg(F.max("l_tax").alias("x"))
     rows = li.select((F.col("l_partkey") * 1000000 + F.col("l_suppkey")).alias("row_no"), F.concat(F.lit("rs"), "l_partkey").alias("id"), "x")
     return harmonize.with_annotations(view(spark, d, "variants_big"), rows, ["x"]).select("vidx", "x")
 
@@ -310,7 +311,7 @@ def ld_sparsify(spark, d):
 
 @query("select block_id + i vidx, round(sum(r * r - (1 - r * r) / 498.0), 4) + 0.0 ld_score from pairs group by block_id, i", PAIRS)
 def ld_scores(spark, d):
-    return ld.ld_scores(ld.pairs(blocks(spark, d)), n_ref=500).select("vidx", (F.round("ld_score", 4) + 0.0).alias("ld_score"))
+    return ld.ld_scores(blocks(spark, d), n_ref=500).select("vidx", (F.round("ld_score", 4) + 0.0).alias("ld_score"))
 
 
 @query(f"select p.block_id, cast(c.c as integer) cut, round(sum(p.r * p.r), 5) + 0.0 cost from pairs p join (select unnest(generate_series(1, {BLOCK - 1})) c) c on p.i < c.c and p.j >= c.c group by p.block_id, c.c", PAIRS)
@@ -320,12 +321,12 @@ def ld_cut_cost(spark, d):
 
 @query("select p.block_id, round(sum(a.weight * p.r * b.weight), 6) + 0.0 h2 from pairs p join weights a on a.vidx = p.block_id + p.i join weights b on b.vidx = p.block_id + p.j group by p.block_id", PAIRS)
 def partition_h2(spark, d):
-    return ld.partition_h2(ld.pairs(blocks(spark, d)), effects(spark, d)).select("block_id", r6("h2").alias("h2"))
+    return ld.partition_h2(blocks(spark, d), effects(spark, d)).select("block_id", r6("h2").alias("h2"))
 
 
 @query("select round(sum(a.weight * p.r * b.weight), 6) + 0.0 h2 from pairs p join weights a on a.vidx = p.block_id + p.i join weights b on b.vidx = p.block_id + p.j", PAIRS)
 def genetic_variance(spark, d):
-    return ld.partition_h2(ld.pairs(blocks(spark, d)), effects(spark, d)).agg(r6(F.sum("h2")).alias("h2"))
+    return ld.partition_h2(blocks(spark, d), effects(spark, d)).agg(r6(F.sum("h2")).alias("h2"))
 
 
 @query()
@@ -333,9 +334,24 @@ def ld_lowrank(spark, d):
     return ld.pairs(models.low_rank_blocks(blocks(spark, d))).select("block_id", "i", "j", (F.round("r", 4) + 0.0).alias("r"))
 
 
-@query()
+# Dynamic programming over cuts in SQL: best[e + 1] is the least cost of the first e variants, source[e + 1] where the last block starts.
+CUTS = PAIRS + f""", costs as (select block_id, list(cost order by c) cost from (select p.block_id, c.c, sum(case when p.i < c.c and p.j >= c.c then p.r * p.r else 0.0 end) cost from pairs p, (select unnest(generate_series(1, {BLOCK})) c) c group by p.block_id, c.c) t group by block_id),
+  dp as (select block_id, 0 e, [0.0::double] best, [0] source from costs union all
+    select block_id, e + 1, list_append(best, coalesce(list_min(tried), 1e300) + case when e + 1 < {BLOCK} then cost[e + 1] else 0.0 end), list_append(source, greatest(0, e + 1 - 8) + coalesce(list_position(tried, list_min(tried)), 1) - 1)
+    from (select d.*, c.cost, list_transform(range(greatest(0, e + 1 - 8), e), lambda s: best[s + 1]) tried from dp d join costs c on c.block_id = d.block_id where e < {BLOCK}) t),
+  walk as (select block_id, source, {BLOCK} upto, source[{BLOCK} + 1] start from dp where e = {BLOCK} union all select block_id, source, start, source[start + 1] from walk where start > 0)"""
+
+
+@query("select block_id, block_id + start start, upto - start size from walk", CUTS)
 def optimal_blocks(spark, d):
-    return ld.optimal_blocks(blocks(spark, d), 8, 2)
+    return ld.optimal_blocks(blocks(spark, d), 8, 2).select("block_id", "start", F.col("size").cast("int").alias("size"))
+
+
+@query(f"select block_id + start + w.k vidx, block_id + start block_id, cast(w.k as bigint) place from walk, (select unnest(generate_series(0, 7)) k) w where w.k < upto - start", CUTS)
+def optimal_split(spark, d):
+    """The same cuts without a matrix over a chromosome: runs of 16 variants stand in for chromosomes."""
+    runs = view(spark, d, "variants").withColumn("chrom", F.expr(f"cast(vidx div {BLOCK} as string)"))
+    return ld.optimal_split(geno(spark, d), runs, 8, 2, window=BLOCK)
 
 
 # --- moments ------------------------------------------------------------------------------------------
@@ -358,53 +374,100 @@ def ldsc_h2(spark, d):
     return ldsc.h2(_ldsc_rows(spark, d), n_blocks=20).select((F.round("h2", 8) + 0.0).alias("h2"), r6("intercept").alias("intercept"), r6("mean_chisq").alias("mean_chisq"))
 
 
-@query()
+REPS = """ntile(least({n}, cast((select count(*) from {rows}) as bigint))) over (order by number) - 1 jk"""
+
+
+def fits(name: str, x: str, y: str, rows: str) -> str:
+    """Three weighted fits in SQL, each of all replicates (rep -1 leaves no block out)."""
+    out = []
+    for k in range(3):
+        mean = "1.0" if k == 0 else f"greatest(f.a + f.b * {x}, 1.0)"
+        source = f"reps r" if k == 0 else f"{name}{k - 1} f"
+        rep = "r.rep" if k == 0 else "f.rep"
+        out.append(f"{name}{k} as (select rep, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) b, (sy - (sw * sxy - sx * sy) / (sw * sxx - sx * sx) * sx) / sw a from (select rep, sum(w) sw, sum(w * x) sx, sum(w * y) sy, sum(w * x * x) sxx, sum(w * x * y) sxy from (select {rep} rep, {x} x, {y} y, 1 / (2.0 * ({mean}) * ({mean})) / greatest(ell, 1.0) w from {rows} xy, {source} where {rep} = -1 or {rep} != xy.jk) t group by rep) u)")
+    return ", ".join(out)
+
+
+def jackknife(value: str, source: str) -> str:
+    return f"(select sqrt((count(*) - 1.0) / count(*) * sum(power({value} - m, 2))) from {source}, (select avg({value}) m from {source} where rep >= 0) z where rep >= 0)"
+
+
+H2_SE = ROWS + ", xy as (select n_eff * ell / (select count(*) from rows) x, chisq y, ell, " + REPS.format(n=200, rows="rows") + " from rows), reps as (select -1 rep union all select distinct jk from xy), " + fits("f", "x", "y", "xy")
+
+
+@query(f"select round(f2.b, 8) + 0.0 h2, round({jackknife('b', 'f2')}, 6) + 0.0 h2_se, round(f2.a, 6) + 0.0 intercept, round({jackknife('a', 'f2')}, 6) + 0.0 intercept_se, round((select avg(y) from xy), 6) + 0.0 mean_chisq, round(case when (select avg(y) from xy) > 1 then (f2.a - 1) / ((select avg(y) from xy) - 1) end, 6) + 0.0 ratio from f2 where rep = -1", H2_SE)
 def ldsc_h2_se(spark, d):
-    return ldsc.h2(_ldsc_rows(spark, d), n_blocks=50)
+    return ldsc.h2(_ldsc_rows(spark, d)).select((F.round("h2", 8) + 0.0).alias("h2"), *(r6(c).alias(c) for c in ("h2_se", "intercept", "intercept_se", "mean_chisq", "ratio")))
 
 
-@query()
+RG = "rows as (select vidx number, ell, b1, b1 * 0.8 + (vidx * 17 % 13 - 6) / 2000.0 b2, n_eff n1, n_eff * 0.5 n2 from (select *, beta / sqrt(n_eff * se * se + beta * beta) b1 from (select p_partkey vidx, p_partkey % 40 / 10.0 + 1 ell, 20000.0 + p_partkey % 100 n_eff, ((p_partkey * 37) % 101 - 50) / 1000.0 beta, 0.007 se from part) t) u), " + "xy as (select number, ell, n1 * ell / m x1, n2 * ell / m x2, sqrt(n1 * n2) * ell / m xc, n1 * b1 * b1 y1, n2 * b2 * b2 y2, sqrt(n1 * n2) * b1 * b2 yc, " + REPS.format(n=200, rows="rows") + " from rows, (select count(*) m from rows) z), reps as (select -1 rep union all select distinct jk from xy), " + fits("f", "x1", "y1", "xy") + ", " + fits("g", "x2", "y2", "xy") + """, cross_fit as (select rep, (sw * sxy - sx * sy) / (sw * sxx - sx * sx) b, (sy - (sw * sxy - sx * sy) / (sw * sxx - sx * sx) * sx) / sw a from (select rep, sum(w) sw, sum(w * x) sx, sum(w * y) sy, sum(w * x * x) sxx, sum(w * x * y) sxy from
+    (select f2.rep, xc x, yc y, 1.0 / (greatest(ell, 1.0) * greatest(f2.a + f2.b * x1, 1.0) * greatest(g2.a + g2.b * x2, 1.0)) w from xy, f2, g2 where f2.rep = g2.rep and (f2.rep = -1 or f2.rep != xy.jk)) t group by rep) u),
+  corr_fit as (select c.rep, c.b / sqrt(greatest(f2.b * g2.b, 1e-12)) v, c.b gcov, c.a gint, f2.b h1, g2.b h2 from cross_fit c join f2 on f2.rep = c.rep join g2 on g2.rep = c.rep)"""
+
+
+@query(f"select round(v, 6) + 0.0 rg, round({jackknife('v', 'corr_fit')}, 6) + 0.0 rg_se, round(gcov, 8) + 0.0 gcov, round(gint, 6) + 0.0 gcov_intercept, round(h1, 8) + 0.0 h2_1, round(h2, 8) + 0.0 h2_2 from corr_fit where rep = -1", RG)
 def ldsc_rg(spark, d):
     rows = _ldsc_rows(spark, d).withColumn("b1", C.standardize_beta(F.col("beta"), F.col("se"), F.col("n_eff")))
     rows = rows.select("number", "ell", "b1", (F.col("b1") * 0.8 + (F.col("vidx") * 17 % 13 - 6) / 2000.0).alias("b2"), F.col("n_eff").alias("n1"), (F.col("n_eff") * 0.5).alias("n2"))
-    return ldsc.rg(rows, n_blocks=20)
+    digits = {"gcov": 8, "h2_1": 8, "h2_2": 8}
+    return ldsc.rg(rows).select(*((F.round(c, digits.get(c, 6)) + 0.0).alias(c) for c in ("rg", "rg_se", "gcov", "gcov_intercept", "h2_1", "h2_2")))
 
 
-ABF = "effects_w as (select e.vidx, e.n, w.weight from effects e join weights w on w.vidx = e.vidx), abf as (select vidx // 16 * 16 block_id, vidx, n, weight beta, 0.5 * (ln((1 / n) / (1 / n + 0.04)) + weight * weight * n * 0.04 / (1 / n + 0.04)) lbf from effects_w)"
+ABF = "effects_w as (select e.vidx, e.n, w.weight from effects e join weights w on w.vidx = e.vidx), abf as (select vidx // 16 * 16 block_id, vidx, n, weight beta, 0.5 * (ln((1 / n) / (1 / n + 0.04)) + weight * weight * n * 0.04 / (1 / n + 0.04)) lbf from effects_w), pips as (select *, exp(lbf - mx) / sum(exp(lbf - mx)) over (partition by block_id) pip, 1 / (25.0 + n) var, 1 / (25.0 + n) * beta * n mu from (select *, max(lbf) over (partition by block_id) mx from abf) t)"
 
 
-@query("select block_id, vidx, round(lbf, 6) + 0.0 lbf, round(exp(lbf - max(lbf) over (partition by block_id)) / sum(exp(lbf - mx)) over (partition by block_id), 6) + 0.0 pip from (select *, max(lbf) over (partition by block_id) mx from abf) t", ABF)
+@query("select block_id, vidx, round(lbf, 6) + 0.0 lbf, round(pip, 6) + 0.0 pip, round(pip * mu, 6) + 0.0 mean, round(sqrt(greatest(pip * (var + mu * mu) - pip * mu * pip * mu, 0.0)), 6) + 0.0 sd, coalesce(sum(pip) over (partition by block_id order by pip desc, vidx rows between unbounded preceding and 1 preceding), 0.0) < 0.95 in_set from pips", ABF)
 def finemap_abf(spark, d):
     rows = effects(spark, d).withColumn("block_id", F.expr("vidx div 16 * 16"))
-    return finemap.single_signal(rows).select("block_id", "vidx", r6("lbf").alias("lbf"), r6("pip").alias("pip"))
+    return finemap.single_signal(rows).select("block_id", "vidx", *(r6(c).alias(c) for c in ("lbf", "pip", "mean", "sd")), "in_set")
 
 
-# --- models: results are checked in tests against NumPy and known values -------------------------------
+# --- models with exact answers: linear systems, solved in SQL by elimination ----------------------------
 
+# rows of a block's matrix and, behind them, right-hand sides; after step k column k is that of the unit matrix
+ELIMINATION = ", steps as (select block_id, 0 k, m from augmented union all select block_id, k + 1, list_transform(m, lambda row, i: case when i = k + 1 then list_transform(row, lambda v: v / m[k + 1][k + 1]) else list_transform(row, lambda v, j: v - row[k + 1] / m[k + 1][k + 1] * m[k + 1][j]) end) from steps where k < " + f"{BLOCK}), solved as (select block_id, m from steps where k = {BLOCK})"
+#: h2 of a block is its share; the median sample size stands for all.
+INF = PAIRS + f", ridges as (select v.vidx // {BLOCK} * {BLOCK} block_id, {BLOCK} / (0.3 * {BLOCK} / (select count(*) from variants) * median(e.n)) ridge from variants v join effects e on e.vidx = v.vidx group by 1), augmented as (select block_id, list(list_append(row, weight) order by i) m from (select p.block_id, p.i, list(cast(cast(p.r as float) as double) + case when p.i = p.j then d.ridge else 0.0 end order by p.j) row from pairs p join ridges d on d.block_id = p.block_id group by p.block_id, p.i) t join weights w on w.vidx = t.block_id + t.i group by block_id)" + ELIMINATION
 
-@query()
+
+@query(f"select block_id + i.i - 1 vidx, round(m[i.i][{BLOCK + 1}], 6) + 0.0 beta from solved, (select unnest(generate_series(1, {BLOCK})) i) i", INF)
 def model_inf(spark, d):
-    return models.inf(blocks(spark, d), effects(spark, d), 0.3)
+    return models.inf(blocks(spark, d), effects(spark, d), 0.3).select("vidx", r6("beta").alias("beta"))
+
+
+IMPUTE = PAIRS + f", p as (select block_id, i, j, cast(cast(r as float) as double) r, (block_id + i) % 5 != 2 ti, (block_id + j) % 5 != 2 tj from pairs), augmented as (select block_id, list(list_concat(row, rhs) order by i) m from (select block_id, i, list(case when ti and tj then r + case when i = j then 1e-3 else 0.0 end when i = j then 1.0 else 0.0 end order by j) row, list(case when ti and not tj then r else 0.0 end order by j) rhs from p group by block_id, i) t group by block_id)" + ELIMINATION
+
+
+@query(f"""select p.block_id + p.j vidx, round(case when p.tj then max(e.weight) filter (p.i = p.j) when max(abs(p.r)) filter (p.ti) > 0 then sum(case when p.ti then s.m[p.i + 1][{BLOCK} + p.j + 1] * e.weight else 0.0 end) else 0.0 end, 6) + 0.0 beta,
+    round(case when p.tj then max(e.n) filter (p.i = p.j) when max(abs(p.r)) filter (p.ti) > 0 then greatest(avg(e.n) filter (p.ti) * least(greatest(sum(case when p.ti then p.r * s.m[p.i + 1][{BLOCK} + p.j + 1] else 0.0 end), 0.0), 1.0), 1.0) else 1.0 end, 4) + 0.0 n,
+    round(case when p.tj then 1.0 else least(greatest(sum(case when p.ti then p.r * s.m[p.i + 1][{BLOCK} + p.j + 1] else 0.0 end), 0.0), 1.0) end, 6) + 0.0 r2
+    from p join solved s on s.block_id = p.block_id join (select w.vidx, w.weight, f.n from weights w join effects f on f.vidx = w.vidx) e on e.vidx = p.block_id + p.i group by p.block_id, p.j, p.tj""", IMPUTE)
+def ld_imputation(spark, d):
+    e = effects(spark, d).withColumn("typed", (F.col("vidx") % 5 != 2).cast("double"))
+    return models.impute(blocks(spark, d), e).select("vidx", r6("beta").alias("beta"), (F.round("n", 4) + 0.0).alias("n"), r6("r2").alias("r2"))
+
+
+# --- samplers: results are checked in tests against NumPy and known values ------------------------------
 
 
 @query()
 def model_grid(spark, d):
-    return models.grid(blocks(spark, d), effects(spark, d), 0.3, 0.1, burn_in=20, num_iter=40)
+    return models.grid(blocks(spark, d), effects(spark, d), 0.3, 0.1)
 
 
 @query()
 def model_auto(spark, d):
-    return models.auto(blocks(spark, d), effects(spark, d), burn_in=20, num_iter=40)[0]
+    return models.auto(blocks(spark, d), effects(spark, d))[0]
 
 
 @query()
 def model_auto_rounds(spark, d):
-    return models.auto_rounds(blocks(spark, d), effects(spark, d), rounds=2, burn_rounds=1, sweeps=10)[0]
+    return models.auto_rounds(blocks(spark, d), effects(spark, d))[0]
 
 
 @query()
 def model_infer(spark, d):
-    return models.infer(blocks(spark, d), effects(spark, d), n_chains=4, burn_in=20, num_iter=40)[1]
+    return models.infer(blocks(spark, d), effects(spark, d))[1]
 
 
 @query()
@@ -414,25 +477,19 @@ def model_lassosum2(spark, d):
 
 @query()
 def model_laplace(spark, d):
-    return models.laplace(blocks(spark, d), effects(spark, d), 0.3, burn_in=20, num_iter=40)
+    return models.laplace(blocks(spark, d), effects(spark, d), 0.3)
 
 
 @query()
 def model_annot(spark, d):
     e = effects(spark, d).withColumn("coding", (F.col("vidx") % 13 == 0).cast("double"))
-    return models.annot(blocks(spark, d), e, ["coding"], burn_in=20, num_iter=40, seed=1)[0]
+    return models.annot(blocks(spark, d), e, ["coding"])[0]
 
 
 @query()
 def model_bivariate(spark, d):
     e = effects(spark, d).withColumns({"beta2": F.col("beta") * 0.5, "n2": F.col("n") * 0.5})
-    return models.bivariate(blocks(spark, d), e, burn_in=10, num_iter=20, seed=1)[0]
-
-
-@query()
-def ld_imputation(spark, d):
-    e = effects(spark, d).withColumn("typed", (F.col("vidx") % 5 != 2).cast("double"))
-    return models.impute(blocks(spark, d), e)
+    return models.bivariate(blocks(spark, d), e)[0]
 
 
 @query()
@@ -443,4 +500,4 @@ def dentist_filter(spark, d):
 
 @query()
 def finemap_pip(spark, d):
-    return models.finemap(blocks(spark, d), effects(spark, d), n_chains=2, burn_in=20, num_iter=40)
+    return models.finemap(blocks(spark, d), effects(spark, d)).select("vidx", "block_id", "pip", "mean", "sd", "signal")

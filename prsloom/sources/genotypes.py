@@ -1,19 +1,23 @@
 """Genotype files as Python data sources.
 
-`bed` and `bgen` read ranges of variants in parallel: a partition seeks to its own bytes. A BED record has a fixed length; a BGEN
-file is walked once for the places of its variants, skipping the probabilities. Equality and membership filters
-on vidx are pushed down to the ranges. Rows are (vidx, dosage), null a missing call. Files are opened by path, so they must
+`bed` and `bgen` read ranges of variants in parallel: a partition seeks to its own bytes. A BED record has a fixed length; the
+places of a BGEN file's variants come from its .bgi index, or from walking the file once, skipping the probabilities. A partition holds
+the places of its own variants only. Equality and membership filters on vidx are pushed down to the ranges, and a bitmap of wanted
+variants (`Genotypes.only`) to any number of them. Rows are (vidx, dosage), null a missing call. Files are opened by path, so they must
 lie on storage that executors mount.
 """
 
 from __future__ import annotations
 
+import base64
+import os
+import sqlite3
 import struct
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
@@ -36,7 +40,12 @@ class _Ranges(DataSourceReader):
         self.options = options
         self.wanted: set[int] | None = None
 
-    def _cut(self, numbers: list[int]) -> list[Range]:
+    def _numbers(self, m: int) -> list[int]:
+        raw = self.options.get("wanted")
+        some = range(m) if raw is None else np.flatnonzero(np.unpackbits(np.frombuffer(base64.b64decode(raw), np.uint8), bitorder="little")[:m]).tolist()
+        return [x for x in some if self.wanted is None or x in self.wanted]
+
+    def _cut(self, numbers: list) -> list[Range]:
         step = int(self.options.get("step", STEP))
         return [Range(tuple(numbers[a : a + step])) for a in range(0, len(numbers), step)] or [Range(())]
 
@@ -73,7 +82,7 @@ class BedReader(_Ranges):
             raise ValueError(f"{self.path}: truncated, {size} bytes for {self.m} variants of {self.n} samples")
 
     def partitions(self):
-        return self._cut([x for x in range(self.m) if self.wanted is None or x in self.wanted])
+        return self._cut(self._numbers(self.m))
 
     def read(self, partition):
         with open(self.path, "rb") as f:
@@ -88,7 +97,7 @@ class PushedBedReader(_Pushed, BedReader):
 
 
 class BedSource(DataSource):
-    """Options: path, samples, variants, step (variants a partition) and pushdown (true where the session allows it)."""
+    """Options: path, samples, variants, step (variants a partition), wanted (a bitmap in base64) and pushdown (true where the session allows it)."""
 
     @classmethod
     def name(cls):
@@ -106,11 +115,33 @@ class BgenIndex:
     samples: list[str] | None
     n_samples: int
     compression: int
-    variants: list[tuple]  # id, other id, chrom, pos, first allele, second allele, place, length
+    variants: list[tuple]  # id, other id, chrom, pos, first allele, second allele, place and length of the record
+
+
+def bgi_variants(path: str) -> list[tuple] | None:
+    """The variants of a BGEN file from its .bgi index, with the places of their records; None without one."""
+    if not os.path.exists(f"{path}.bgi"):
+        return None
+    with sqlite3.connect(f"file:{path}.bgi?mode=ro", uri=True) as found:
+        rows = found.execute("select rsid, chromosome, position, allele1, allele2, file_start_position, size_in_bytes from Variant order by file_start_position").fetchall()
+    found.close()
+    return [(r[0], r[0], *r[1:3], r[3], r[4] or "", r[5], r[6]) for r in rows]
+
+
+def bgen_data(raw: bytes) -> int:
+    """Where a variant's probabilities start in its record, after names and alleles and their length."""
+    at = 0
+    for _ in range(3):
+        at += 2 + struct.unpack_from("<H", raw, at)[0]
+    alleles = struct.unpack_from("<H", raw, at + 4)[0]
+    at += 6
+    for _ in range(alleles):
+        at += 4 + struct.unpack_from("<I", raw, at)[0]
+    return at + 4
 
 
 def bgen_index(path: str) -> BgenIndex:
-    """Walks a BGEN file (layout 2): where each variant's probabilities lie."""
+    """A BGEN file (layout 2): where each variant's record lies, from its index or by walking the file."""
 
     def take(f, n: int) -> bytes:
         raw = f.read(n)
@@ -140,13 +171,19 @@ def bgen_index(path: str) -> BgenIndex:
             f.seek(4 + header)
             number(f, "I")
             samples = [word(f) for _ in range(number(f, "I"))]
+        variants = bgi_variants(path)
+        if variants is not None:
+            if len(variants) != m:
+                raise ValueError(f"{path}.bgi lists {len(variants)} variants, the file has {m}")
+            return BgenIndex(samples, n, compression, variants)
         f.seek(4 + first)
         variants = []
         for _ in range(m):
+            start = f.tell()
             other, rs, chrom, pos = word(f), word(f), word(f), number(f, "I")
             alleles = [word(f, "I") for _ in range(number(f, "H"))]
             length = number(f, "I")
-            variants.append((rs or other, other, chrom, pos, alleles[0], alleles[1] if len(alleles) > 1 else "", f.tell(), length))
+            variants.append((rs or other, other, chrom, pos, alleles[0], alleles[1] if len(alleles) > 1 else "", start, f.tell() - start + length))
             f.seek(length, 1)
     return BgenIndex(samples, n, compression, variants)
 
@@ -181,17 +218,19 @@ class BgenReader(_Ranges):
     def __init__(self, options):
         super().__init__(options)
         self.path = options["path"]
-        self.index = bgen_index(self.path)
 
     def partitions(self):
-        return self._cut([x for x in range(len(self.index.variants)) if self.wanted is None or x in self.wanted])
+        index = bgen_index(self.path)
+        return self._cut([(x, *index.variants[x][6:8], index.compression, index.n_samples) for x in self._numbers(len(index.variants))])
 
     def read(self, partition):
         with open(self.path, "rb") as f:
-            for v in partition.numbers:
-                *_, place, length = self.index.variants[v]
+            for v, place, length, compression, n in partition.numbers:
                 f.seek(place)
-                dosage = bgen_dosage(f.read(length), self.index.compression, self.index.n_samples)
+                raw = f.read(length)
+                if len(raw) != length:
+                    raise ValueError(f"{self.path}: truncated")
+                dosage = bgen_dosage(raw[bgen_data(raw) :], compression, n)
                 yield v, [None if np.isnan(g) else float(g) for g in dosage]
 
 
@@ -200,7 +239,7 @@ class PushedBgenReader(_Pushed, BgenReader):
 
 
 class BgenSource(DataSource):
-    """Options: path, step (variants a partition) and pushdown (true where the session allows it)."""
+    """Options: path, step (variants a partition), wanted (a bitmap in base64) and pushdown (true where the session allows it)."""
 
     @classmethod
     def name(cls):
@@ -213,11 +252,30 @@ class BgenSource(DataSource):
         return (PushedBgenReader if self.options.get("pushdown") == "true" else BgenReader)(self.options)
 
 
+#: Bytes of a bitmap of wanted variants that travel to the reader: half a billion variants.
+MAP_BYTES = 64 << 20
+
+
 @dataclass
 class Genotypes:
     variants: DataFrame  # vidx, id, chrom, pos, a1, a2
     samples: DataFrame  # sidx, fid, iid
     dosage: DataFrame  # vidx, dosage
+    m: int = 0
+    reader: DataFrameReader | None = None  # what dosage is read by
+
+    def only(self, wanted: DataFrame) -> Genotypes:
+        """The same genotypes, of whose dosages only those of the wanted variants (vidx) are read from the file: a bit for each
+        variant goes to the reader, up to MAP_BYTES of them (beyond, dosages are joined)."""
+        if self.reader is None or self.m > 8 * MAP_BYTES:
+            return replace(self, dosage=self.dosage.join(wanted.select("vidx"), "vidx", "left_semi"), reader=None)
+        place = F.col("vidx") + 1
+        maps = wanted.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("map"))
+        size = 32768 // 8
+        bits = bytearray(-(-max(self.m, 1) // 32768) * size)
+        for b, part in maps.collect():  # a bit a variant at most
+            bits[(b - 1) * size : b * size] = part
+        return replace(self, dosage=self.reader.option("wanted", base64.b64encode(bytes(bits)).decode()).load(), reader=None)
 
 
 def load_genotypes(spark: SparkSession, path: str, sample_path: str | None = None) -> Genotypes:
@@ -235,13 +293,15 @@ def load_genotypes(spark: SparkSession, path: str, sample_path: str | None = Non
                 raise ValueError(f"{sample_path} has another number of samples than {path}")
         else:
             names = spark.range(index.n_samples).select(F.col("id").alias("sidx"), F.concat(F.lit("sample_"), F.col("id")).alias("iid"))
-        return Genotypes(variants, names.select("sidx", F.col("iid").alias("fid"), "iid"), spark.read.format("bgen").option("path", path).option("pushdown", pushdown).load())
+        reader = spark.read.format("bgen").option("path", path).option("pushdown", pushdown)
+        return Genotypes(variants, names.select("sidx", F.col("iid").alias("fid"), "iid"), reader.load(), len(index.variants), reader)
     for end in (".bed", ".bim", ".fam"):
         path = path.removesuffix(end)
     spark.dataSource.register(BedSource)
     variants, samples = text.read_bim(spark, f"{path}.bim"), text.read_fam(spark, f"{path}.fam")
-    dosage = spark.read.format("bed").option("path", f"{path}.bed").option("pushdown", pushdown).option("samples", str(samples.count())).option("variants", str(variants.count())).load()
-    return Genotypes(variants, samples, dosage)
+    m = variants.count()
+    reader = spark.read.format("bed").option("path", f"{path}.bed").option("pushdown", pushdown).option("samples", str(samples.count())).option("variants", str(m))
+    return Genotypes(variants, samples, reader.load(), m, reader)
 
 
 # --- writers for tests and small files ------------------------------------------------------------
