@@ -2,54 +2,41 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import sys
-import tempfile
 import types
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prsloom.tables import drop, scratch, shared_dir, written  # noqa: F401
+
 #: Null ids stand as this key in joins and come first in id order.
 NULL_ID = -(1 << 63)
+#: Where rows without an id are kept apart, their keys lie below this one; ids do not.
+LEAST_ID = -(1 << 62)
 #: Bytes of text that a kernel holds expanded at once (a longer text is taken alone).
 PIECE_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = getattr(spark, "_llm_shared", None)
-        if found is None:
-            found = spark._llm_shared = tempfile.mkdtemp(prefix="llm-tables-")
-            atexit.register(shutil.rmtree, found, True)
-    return found.rstrip("/")
-
+def shuffle_width(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def keyed(docs: DataFrame, apart: bool = False) -> DataFrame:
+    """(key, doc_id, text): all that the operators use of documents; other columns are left alone.
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    Rows without an id share one key, or with apart have one for each text.
+    """
+    text = F.col("text").cast("string")
+    none = F.lit(NULL_ID) + F.shiftrightunsigned(F.xxhash64(text), 2) if apart else F.lit(NULL_ID)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text): all that the operators use of documents; other columns are left alone."""
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"),
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("text").cast("string").alias("text"),
-    )
+def known_id(column: str) -> Column:
+    """A key as an id, null for rows without one."""
+    return F.when(F.col(column) >= LEAST_ID, F.col(column))
 
 
 def digest() -> Column:
@@ -57,6 +44,30 @@ def digest() -> Column:
     return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of an operator's own beside the table's, whatever those are."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Copies of the smaller side that a common key of a join is dealt over.
+SALTS = 16
+
+
+def salted_join(many: DataFrame, few: DataFrame, on: list[str], by: str, how: str = "left") -> DataFrame:
+    """A join in which rows of many that share a key are dealt over SALTS tasks, by a column; few has a row a key."""
+    (salt,) = fresh(many, "salt")
+    left = many.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    right = few.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return left.join(right, [*on, salt], how).drop(salt)
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker."""
     return sys.modules.setdefault("_llm_worker_cache", types.ModuleType("_llm_worker_cache")).__dict__.setdefault("found", {})

@@ -18,7 +18,7 @@ a text with very many matches costs no more than sorting them.
 
 Input cases: a null or empty text has no spans; a null doc_id is returned as it is; rows that share a
 doc_id are judged each on its own, in redact() too; an
-empty table gives an empty result; extra columns are ignored, or kept by redact().
+empty table gives an empty result; extra columns are ignored, or kept by redact(), whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import digest, written
+from .common import digest, fresh, written
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 #: Java forms of the base patterns. Possessive loops match what the plain ones do, without recursion;
@@ -198,16 +198,17 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with each span replaced by its kind in angle brackets; overlapping spans become one."""
-    spans = classified(docs, {"_digest": digest()}).filter("found").select(F.col("doc_id").alias("_id"), "_digest", "start", "end", "kind").distinct()
-    before = Window.partitionBy("_id", "_digest").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
-    opens = spans.withColumn("opens", F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("int"))
-    groups = opens.withColumn("g", F.sum("opens").over(Window.partitionBy("_id", "_digest").orderBy("start", F.desc("end"), "kind")))
-    merged = groups.groupBy("_id", "_digest", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "kind")).alias("kind"))
-    listed = merged.groupBy("_id", "_digest").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_spans"))
-    cut = F.expr("""concat(
-        array_join(transform(_spans, (s, i) -> concat(substring(text, if(i = 0, 0, _spans[i - 1].end) + 1, s.start - if(i = 0, 0, _spans[i - 1].end)), '<', upper(s.kind), '>')), ''),
-        substring(text, element_at(_spans, -1).end + 1))""")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest"))
-    joined = docs.withColumn("_own", digest()).join(listed, same, "left")
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)
+    key, own, other, spans = fresh(docs, "key", "own", "other", "spans")
+    found = classified(docs, {"digest": digest()}).filter("found").select("doc_id", "digest", "start", "end", "kind").distinct()
+    before = Window.partitionBy("doc_id", "digest").orderBy("start", F.desc("end"), "kind").rowsBetween(Window.unboundedPreceding, -1)
+    opens = found.withColumn("opens", F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("int"))
+    groups = opens.withColumn("g", F.sum("opens").over(Window.partitionBy("doc_id", "digest").orderBy("start", F.desc("end"), "kind")))
+    merged = groups.groupBy("doc_id", "digest", "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "kind")).alias("kind"))
+    listed = merged.groupBy(F.col("doc_id").alias(key), F.col("digest").alias(other)).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias(spans))
+    cut = F.expr(f"""concat(
+        array_join(transform(`{spans}`, (s, i) -> concat(substring(text, if(i = 0, 0, `{spans}`[i - 1].end) + 1, s.start - if(i = 0, 0, `{spans}`[i - 1].end)), '<', upper(s.kind), '>')), ''),
+        substring(text, element_at(`{spans}`, -1).end + 1))""")
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(other))
+    joined = docs.withColumn(own, digest()).join(listed, same, "left")
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(cut)
     return joined.withColumn("text", text).select(docs.columns)

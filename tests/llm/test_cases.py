@@ -50,5 +50,7 @@ def test_shared_folder_is_read_from_the_session(tmp_path):
 
     session = SimpleNamespace(conf={"spark.checkpoint.dir": f"{tmp_path}/"})
     assert common.shared_dir(session) == str(tmp_path)
-    unset = SimpleNamespace(conf={})
+    unset = SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="local[2]"))
     assert common.shared_dir(unset) == common.shared_dir(unset)
+    with pytest.raises(ValueError, match="checkpoint"):  # no folder of one machine on a cluster
+        common.shared_dir(SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master="spark://a:7077")))

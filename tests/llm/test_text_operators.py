@@ -197,8 +197,8 @@ def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(LOWER).decode())
 
 
-@pytest.mark.parametrize("limit", [20000, 3])
-def test_decontaminate_brute_force(spark, documents, limit):
+@pytest.mark.parametrize("band", [decontaminate.BAND, 3])
+def test_decontaminate_brute_force(spark, documents, band):
     items = ["Alpha beta gamma delta epsilon zeta eta theta iota kappa", "short item", "ten nine eight seven six five four three two one", None, "!!!"]
     bench = spark.createDataFrame([(k, t) for k, t in enumerate(items)], "item_id long, text string")
     texts = ["before ALPHA, beta gamma-delta epsilon zeta eta theta after", "a short item here", "x ten nine eight seven six five four three two one short item y", "clean text", None, "", "Ünïcode short ITEM"]
@@ -211,7 +211,7 @@ def test_decontaminate_brute_force(spark, documents, limit):
     docs = documents(texts)
     from pyspark.sql import functions as F
 
-    hits = decontaminate.hits(docs, bench, max_set=limit)
+    hits = decontaminate.hits(docs, bench, band=band)
     got = {r.doc_id: r for r in hits.withColumn("covered", F.expr("array_sort(array_distinct(flatten(transform(hits, h -> sequence(h.at, h.at + h.k - 1)))))")).withColumn("items", F.expr("array_sort(array_distinct(flatten(transform(hits, h -> h.items))))")).collect()}
     for d, t in enumerate(texts):
         w, covered, found = words(t), set(), set()
