@@ -6,10 +6,10 @@ lexicon entry), transitions between the words' languages are learned, and forwar
 each word's probabilities. A document's language is the one with the largest share of its
 words; its score is that share.
 
-Learning: at most SAMPLE documents of each language, chosen by a hash of the id (a documented
-bound: a classifier's quality does not grow with the corpus), RUN consecutive words of each
-from a place that the hash chooses. Runs of different documents are spliced into training sequences, which
-gives the transitions switches to learn from. Maximum likelihood by Adam over the exact gradient.
+Learning: at most SAMPLE documents of each language, chosen by a hash of id and text (a documented
+bound: a classifier's quality does not grow with the corpus), whole texts. The hash is even, so a language's count gives the
+value up to which about half as many again lie; the SAMPLE smallest of these are taken. Runs of different documents are spliced
+into training sequences, which gives the transitions switches to learn from. Maximum likelihood by Adam over the exact gradient.
 
 Input cases: a null text or one without letters is `und` with score 0; documents without lang teach nothing; with
 no labelled document everything is `und`; a null doc_id counts as held out = false and is returned as null; repeated
@@ -20,14 +20,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chains
 from .common import gather_runs, pieces, row_of, run_hasher, text_bytes, word_hashes, word_spans
 
-SAMPLE = 600
-RUN = 100
+SAMPLE = 200
 BITS = 16
 EPOCHS = 30
 UNKNOWN = "und"
@@ -150,34 +149,24 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def _runs(batches):
-    for batch in batches:
-        data, off = text_bytes(batch.column("text"))
-        starts, ends, word_off = word_spans(data, off)
-        raw = data.tobytes()
-        out = []
-        for k, h in enumerate(batch.column("h").to_pylist()):
-            a, b = int(word_off[k]), int(word_off[k + 1])
-            a += h % max(1, b - a - RUN + 1)
-            b = min(b, a + RUN)
-            out.append(raw[starts[a] : ends[b - 1]].decode("utf-8", "replace") if b > a else "")
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(out)], ["lang", "text"])
-
-
 def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, weights and transitions from documents that are not held out."""
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(1 << 40)).alias("h"))
-    # the hash that each language's sample reaches up to is found without the texts; every task cuts its own rows first
-    ranked = labelled.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= sample)
-    last = {x.lang: x.h for x in ranked.groupBy("lang").agg(F.max("h").alias("h")).collect()}  # a row a language
-    if not last:
+    top = 1 << 40
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(top)).alias("h"))
+    counts = labelled.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # a row a language
+    if not counts:
         return [], np.zeros((1 << BITS, 0)), np.zeros((0, 0))
     chosen = F.lit(False)
-    for lang, h in sorted(last.items()):
-        chosen = chosen | ((F.col("lang") == lang) & (F.col("h") <= h))
-    rows = sorted(set(map(tuple, labelled.filter(chosen).select("lang", "text", "h").mapInArrow(_runs, "lang string, text string").collect())))
+    for lang, n in sorted(counts):
+        chosen = chosen | ((F.col("lang") == lang) & (F.col("h") <= int(top * min(1.0, 1.5 * sample / n))))
+    # copies of a row are one; about 1.5 * sample texts a language
+    drawn = labelled.filter(chosen).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
+    rows = []
+    for lang in {x.lang for x in drawn}:
+        rows += sorted((x.lang, x.h, x.text) for x in drawn if x.lang == lang)[:sample]
+    rows.sort()
     languages = sorted({x[0] for x in rows})
-    weights, moves = train([x[1] for x in rows], np.array([languages.index(x[0]) for x in rows]), len(languages))
+    weights, moves = train([x[2] for x in rows], np.array([languages.index(x[0]) for x in rows]), len(languages))
     return languages, weights.astype(np.float32), moves
 
 

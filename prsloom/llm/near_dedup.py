@@ -27,8 +27,10 @@ Components come from min-label propagation with pointer jumping over tables in t
 it is collected.
 
 Input cases: a null or empty text, or one without words, has an empty set and is linked with nothing; fewer words
-than a shingle count as one shingle; a null doc_id counts as the smallest id and its ids are returned as null; rows
-that share a doc_id are one document; an empty table gives an empty result; extra columns are ignored.
+than a shingle count as one shingle; rows without an id are judged each by its own text, come before all ids, and their ids are
+returned as null; rows that share an id are one document in near_duplicates(), while without_near_duplicates() judges every row by its own
+text and leaves one of equal rows; an empty table gives an empty result; extra columns are ignored, or kept by
+without_near_duplicates(), whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, keyed, mix, pieces, row_of, run_hash, text_bytes, word_hashes, word_spans, written
+from .common import drop, fresh, keyed, known_id, mix, pieces, row_of, run_hash, text_bytes, word_hashes, word_spans, written
 
 SHINGLE = 5
 PERCENT = 80
@@ -141,7 +143,7 @@ def _matches(batches):
     for batch in batches:
         if batch.num_rows:
             a, b = (np.array([np.frombuffer(x, np.uint32) for x in batch.column(c).to_pylist()]) for c in ("sa", "sb"))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array((a == b).sum(1).astype(np.int32))], ["a", "b", "matches"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("way"), pa.array((a == b).sum(1).astype(np.int32))], ["a", "b", "way", "matches"])
 
 
 def _confirm(shingle: int, percent: int):
@@ -187,7 +189,7 @@ def _across(least: int, percent: int, best: int | None):
                 ok &= rep[x][:, None] < rep[right][None]
             r, c = np.nonzero(ok)
             same = (sig[x[r]] == sig[right[c]]).sum(1)
-            keep = same >= least
+            keep = (same >= least) | (block["way"].iloc[0] == 1)  # shingles of their own are exact: signatures have no say
             r, c, same = r[keep], c[keep], same[keep]
             # what two sets share leaves a bit in both maps but for those lost in either: a bound from above
             u, v = x[r], right[c]
@@ -227,15 +229,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
     label = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("comp")).select(F.col("a").alias("node"), "comp"), name)
     while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
-        step = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
+        known = label.select("node", "comp")
+        near = both.join(known.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("near"))
+        step = known.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         # a label's own label is at most the label: jump to it
         jump = label.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
         after = written(step.join(jump, "comp", "left").select("node", "was", F.least("comp", F.coalesce("far", "comp")).alias("comp")), name)
         changed = after.filter("was != comp").limit(1).count()
-        label = after.select("node", "comp")
+        drop(label)
+        label = after
         if not changed:
-            return label
+            drop(both)
+            return label.select("node", "comp")
 
 
 def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -244,7 +249,7 @@ def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     ids = placed(pairs.select(F.explode(F.array("a", "b")).alias("key")), "key")
     maps = ids.groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("map"))
     # at most 2**ID_BITS / 32768 rows of 4 KB
-    rows = placed(keyed(docs).select("key", "text"), "key").withColumn("bucket", F.bitmap_bucket_number("place")).withColumn("bit", F.bitmap_bit_position("place").cast("int"))
+    rows = placed(keyed(docs, True).select("key", "text"), "key").withColumn("bucket", F.bitmap_bucket_number("place")).withColumn("bit", F.bitmap_bit_position("place").cast("int"))
     there = F.expr("shiftright(cast(conv(hex(substring(map, bit div 8 + 1, 1)), 16, 10) as int), bit % 8) & 1 = 1")
     return rows.join(F.broadcast(maps), "bucket").filter(there).select("key", "text")
 
@@ -260,11 +265,11 @@ def links(docs: DataFrame, classes: DataFrame, lists: DataFrame, shingle: int, p
         return written(right.select("a", "b", "ta", "tb").mapInArrow(_confirm(shingle, percent), "a long, b long"), name)
 
     heads = lists.groupBy("way", "cv").agg(F.min("rep").alias("a"), F.count("*").alias("many")).filter("many > 1")
-    stars = lists.join(heads, ["way", "cv"]).filter("rep != a").select("a", F.col("rep").alias("b")).distinct()
+    stars = lists.join(heads, ["way", "cv"]).filter("rep != a").groupBy("a", F.col("rep").alias("b")).agg(F.max("way").alias("way"))
     a = sign.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
     b = sign.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
     near = stars.join(a, "a").join(b, "b").filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    alike = near.select("a", "b", "sa", "sb").mapInArrow(_matches, "a long, b long, matches int").filter(F.col("matches") >= least)
+    alike = near.select("a", "b", "way", "sa", "sb").mapInArrow(_matches, "a long, b long, way byte, matches int").filter((F.col("matches") >= least) | (F.col("way") == 1))
     edges = confirmed(written(alike.select("a", "b"), "alike"), "links-1")
     label = components(edges)
     # a little wider than the sizes of two sets that are alike enough, so that rounding parts none
@@ -293,7 +298,7 @@ def links(docs: DataFrame, classes: DataFrame, lists: DataFrame, shingle: int, p
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, coordinates: int = SIGNATURE, least: int = MATCHES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the document that stays for its group)."""
-    signed = written(keyed(docs).select("key", "text").mapInArrow(_sign(shingle, coordinates, percent), "key long, n long, h1 long, h2 long, signature binary, bits binary, own binary"), "signatures")
+    signed = written(keyed(docs, True).select("key", "text").mapInArrow(_sign(shingle, coordinates, percent), "key long, n long, h1 long, h2 long, signature binary, bits binary, own binary"), "signatures")
     classes = written(signed.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("key", "signature", "bits", "own")).alias("x")).select("h1", "h2", "n", F.col("x.key").alias("rep"), "x.signature", "x.bits", "x.own"), "classes")
     posted = classes.select("rep", "n", "signature", "own").mapInArrow(_post(least, percent), "cv long, rep long, way byte, total int, prefix int, n long")
     frequent = posted.groupBy("way", "cv").agg(F.count("*").alias("df")).filter("df > 1")
@@ -304,11 +309,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     label = links(docs, classes, lists, shingle, percent, least)
     grouped = signed.join(classes.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"], "left").withColumn("rep", F.coalesce("rep", "key"))
     out = grouped.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    known = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return out.select(known("key").alias("doc_id"), F.col("n").alias("n_shingles"), known("comp").alias("component_id"), (F.col("key") == F.col("comp")).alias("kept"))
+    return out.select(known_id("key").alias("doc_id"), F.col("n").alias("n_shingles"), known_id("comp").alias("component_id"), (F.col("key") == F.col("comp")).alias("kept"), "key")
 
 
 def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One document, the one with the smallest id, of each group."""
-    kept = near_duplicates(docs, shingle, percent).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One document, the one with the smallest id, of each group; of rows that share an id, or have none, each stands for itself."""
+    row, kept, again = fresh(docs, "row", "kept", "again")
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias(kept)).agg(F.count("*").alias(again)).filter(f"`{again}` > 1 or `{kept}` is null")
+    shared = written(ids.select(kept, F.lit(True).alias(again)), "shared-ids")
+    # a key of the row's own where the id is not: below all ids, by id and text
+    own = F.lit(-(1 << 61)) - F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), 3)
+    marked = docs.join(shared, F.col("doc_id").cast("long").eqNullSafe(F.col(kept)), "left").withColumn(row, F.when(F.col(again), own).otherwise(F.col("doc_id").cast("long"))).drop(kept)
+    found = near_duplicates(marked.select(F.col(row).alias("doc_id"), "text"), shingle, percent).filter("kept").select(F.col("key").alias(kept))
+    left = marked.join(found, F.col(row) == F.col(kept), "left_semi")
+    # of equal rows one stays; these are only among rows that share an id
+    once = left.filter(F.col(again).isNull()).unionByName(left.filter(again).dropDuplicates([row]))
+    return once.select(docs.columns)

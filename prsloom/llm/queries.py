@@ -1,7 +1,13 @@
-"""The operators over the driver's tables, and the SQL that some are compared with."""
+"""The operators over the driver's tables, and the SQL that those are compared with whose results SQL can give.
+
+The contract columns of op1, op5 and op10 are exact, and SQL gives them whole. Of op4, op6 and op9 it gives the columns that no model
+has a part in: `pii_base`, `url_listed` and `lm_base` are these columns of the operators' own results.
+"""
 
 from __future__ import annotations
 
+import string
+
 from prsloom.llm import decontaminate, hmm, language_id, near_dedup, packing, pii, substring_dedup, syncmers, tokens, url_rules
 
 QUERIES: dict = {}
@@ -12,57 +18,177 @@ def documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
 
+LOWER = f"translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+#: Words as rows (doc_id, p from 1, word), and their runs of n words.
+SPLIT = r"""split as (select doc_id, unnest(w) word, generate_subscripts(w, 1) p from (select doc_id, regexp_extract_all({text}, '[^\x20\x09-\x0D]+') w from documents) t)"""
+RUNS = "string_agg(word, ' ') over (partition by {id} order by p rows between current row and {more} following) gram, count(*) over (partition by {id} order by p rows between current row and {more} following) n"
 
-@query
+OP1 = (
+    "with "
+    + SPLIT.format(text="coalesce(text, '')")
+    + f""", runs as (select doc_id, p, {RUNS.format(id="doc_id", more=19)} from split),
+  later as (select doc_id, p from (select doc_id, p, row_number() over (partition by gram order by doc_id, p) k from runs where n = 20) t where k > 1),
+  hit as (select distinct doc_id, unnest(range(p, p + 20)) p from later),
+  kept as (select s.doc_id, count(*) n_words, count(h.p) n_removed, coalesce(string_agg(s.word, ' ' order by s.p) filter (h.p is null), '') kept from split s left join hit h on h.doc_id = s.doc_id and h.p = s.p group by s.doc_id)
+  select d.doc_id, coalesce(k.n_words, 0) n_words, coalesce(k.n_removed, 0) n_removed, sha256(coalesce(k.kept, '')) kept_sha256 from documents d left join kept k on k.doc_id = d.doc_id"""
+)
+
+
+@query(OP1)
 def op1_substring_dedup(spark, sf_dir):
     return substring_dedup.substring_dedup(documents(spark, sf_dir), with_text=False)
 
 
-@query
-def op3_token_file(spark, sf_dir):
-    return tokens.token_table(documents(spark, sf_dir))
+@query()
+def op2_language_id(spark, sf_dir):
+    return language_id.identify(documents(spark, sf_dir))
 
 
-@query
-def op7_best_fit_packing(spark, sf_dir):
-    return packing.best_fit_packing(documents(spark, sf_dir))
+@query()
+def op3_token_file(spark, sf_dir):
+    return tokens.token_table(documents(spark, sf_dir))
 
 
-@query
+@query()
 def op4_pii(spark, sf_dir):
     return pii.report(documents(spark, sf_dir))
 
 
-@query
+PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+OP5 = (
+    f"with dw as (select doc_id, unnest(w) word, generate_subscripts(w, 1) p from (select doc_id, regexp_extract_all({LOWER}, '{PLAIN}') w from documents) t), "
+    f"bw as (select item_id, unnest(w) word, generate_subscripts(w, 1) p, len(w) m from (select cast(item_id as varchar) item_id, regexp_extract_all({LOWER}, '{PLAIN}') w from benchmark) t), "
+    + ", ".join(f"b{k} as (select item_id, m, {RUNS.format(id='item_id', more=k - 1)} from bw), d{k} as (select doc_id, p, {RUNS.format(id='doc_id', more=k - 1)} from dw)" for k in range(1, 9))
+    + ", met as ("
+    + " union all ".join(f"select distinct d.doc_id, d.p, {k} k, b.item_id from d{k} d join b{k} b on b.gram = d.gram and b.n = {k} and d.n = {k} and least(b.m, 8) = {k}" for k in range(1, 9))
+    + "), hit as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p, p + k)) q from met) t group by doc_id), items as (select doc_id, count(*) n_items, string_agg(item_id, ',' order by item_id) items from (select distinct doc_id, item_id from met) t group by doc_id), sizes as (select doc_id, count(*) n_words from dw group by doc_id) "
+    + "select d.doc_id, coalesce(n_words, 0) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_items, 0) >= 2 contaminated from documents d left join sizes using (doc_id) left join hit using (doc_id) left join items using (doc_id)"
+)
+
+
+@query(OP5)
 def op5_decontaminate(spark, sf_dir):
     found = decontaminate.judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.drop("items", "hit_words")
 
 
-@query
+@query()
 def op6_url_rules(spark, sf_dir):
     return url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-@query
+@query()
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.best_fit_packing(documents(spark, sf_dir))
+
+
+@query()
 def op8_syncmers(spark, sf_dir):
     return syncmers.fingerprints(documents(spark, sf_dir))
 
 
-@query
-def op10_near_dedup(spark, sf_dir):
-    return near_dedup.near_duplicates(documents(spark, sf_dir), shingle=2)
+@query()
+def op9_hmm_score(spark, sf_dir):
+    return hmm.score(documents(spark, sf_dir))
 
 
-@query
-def op2_language_id(spark, sf_dir):
-    return language_id.identify(documents(spark, sf_dir))
+OP10 = (
+    "with recursive "
+    + SPLIT.format(text=LOWER)
+    + f""", runs as (select doc_id, p, {RUNS.format(id="doc_id", more=1)} from split), sizes as (select doc_id, max(p) words from split group by doc_id),
+  sets as (select distinct r.doc_id, gram from runs r join sizes s on s.doc_id = r.doc_id where n = 2 or words = 1), n as (select doc_id, count(*) n from sets group by doc_id),
+  alike as (select doc_id, n, list(gram order by gram) g from sets join n using (doc_id) group by doc_id, n),
+  firsts as (select min(doc_id) a, n, g from alike group by n, g), copies as (select f.a, x.doc_id b from firsts f join alike x on x.n = f.n and x.g = f.g where x.doc_id != f.a),
+  one as (select f.a doc_id, f.n, s.gram from firsts f join sets s on s.doc_id = f.a),
+  pairs as (select x.doc_id a, y.doc_id b from one x join one y on x.gram = y.gram and x.doc_id < y.doc_id and 100 * x.n >= 80 * y.n and 100 * y.n >= 80 * x.n group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+  links as (select a, b from copies union select b, a from copies union select a, b from pairs union select b, a from pairs),
+  reach as (select doc_id d, doc_id c from documents union select l.b, r.c from reach r join links l on l.a = r.d where r.c < l.b)
+  select d.doc_id, coalesce(n.n, 0) n_shingles, r.c component_id, r.c = d.doc_id kept from documents d left join n on n.doc_id = d.doc_id join (select d, min(c) c from reach group by d) r on r.d = d.doc_id"""
+)
 
 
-@query
-def op9_hmm_score(spark, sf_dir):
-    return hmm.score(documents(spark, sf_dir))
+@query(OP10)
+def op10_near_dedup(spark, sf_dir):
+    return near_dedup.near_duplicates(documents(spark, sf_dir), shingle=2).drop("key")
+
+
+# --- columns of op4, op6 and op9 that SQL can give -------------------------------------------------------
+
+# The base patterns.
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(list_reverse(string_split({_DIGITS}, '')), lambda c, i: case when i % 2 = 1 then cast(c as int) when cast(c as int) > 4 then 2 * cast(c as int) - 9 else 2 * cast(c as int) end)) % 10 = 0"
+_FINE = {
+    "email": "true",
+    "ip": "list_bool_and(list_transform(string_split(m, '.'), lambda x: len(ltrim(x, '0')) <= 3 and coalesce(try_cast(nullif(ltrim(x, '0'), '') as int), 0) <= 255))",
+    "card": f"case when len({_DIGITS}) between 13 and 19 then {_LUHN} else false end",
+    "phone": f"len({_DIGITS}) between 9 and 15",
+}
+PII_BASE = (
+    "with "
+    + ", ".join(
+        f"{kind} as (select doc_id, {k} o, '{kind}' kind, start, start + len(m) stop from (select doc_id, m, sum(len(gap) + len(m)) over (partition by doc_id order by i) - len(m) start from (select doc_id, unnest(ms) m, unnest(gaps[:len(ms)]) gap, generate_subscripts(ms, 1) i from (select doc_id, regexp_extract_all(coalesce(text, ''), '{p}') ms, regexp_split_to_array(coalesce(text, ''), '{p}') gaps from documents) t) u) v where {_FINE[kind]})"
+        for k, (kind, p) in enumerate(BASE.items())
+    )
+    + ", every as ("
+    + " union all ".join(f"select * from {kind}" for kind in BASE)
+    + ") select d.doc_id, "
+    + ", ".join(f"count(*) filter (kind = '{kind}') n_{kind}" for kind in BASE)
+    + ", sha256(coalesce(string_agg(concat(kind, ':', cast(cast(start as bigint) as varchar), ':', cast(cast(stop as bigint) as varchar)), ',' order by o, start) filter (kind is not null), '')) base_sha256 from documents d left join every e on e.doc_id = d.doc_id group by d.doc_id"
+)
+
+
+@query(PII_BASE)
+def pii_base(spark, sf_dir):
+    return pii.report(documents(spark, sf_dir)).select("doc_id", *(f"n_{kind}" for kind in BASE), "base_sha256")
+
+
+def _listed_sql() -> str:
+    fits = sorted(((len(h) + len(p), h, p, v) for h, p, v in url_rules.LISTED), reverse=True)
+    when = lambda what: "case " + " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then '{what(h, p, v)}'" for _, h, p, v in fits) + " end"
+    after = "substr(url, instr(url, '://') + 3)"
+    host = f"translate(regexp_extract({after}, '^[^/?#]*'), '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    parts = f"select page_id, case when instr(url, '://') > 0 then {host} else '' end host, case when instr(url, '://') > 0 then regexp_extract({after}, '^[^/?#]*([^?#]*)', 1) else '' end path from pages"
+    return f"select page_id, coalesce(host, '') host, coalesce(path, '') path, {when(lambda h, p, v: h + p)} rule, {when(lambda h, p, v: v)} listed from ({parts}) t"
+
+
+@query(_listed_sql())
+def url_listed(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    found = url_rules.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("listed"))
+
+
+#: CRC-32 of a column's text, a bit at a time.
+CRC = "xor(list_reduce(list_concat([4294967295], list_transform(string_split({x}, ''), lambda ch: cast(ascii(ch) as bigint))), lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)), lambda c, bit: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)), 4294967295)"
+LM_BASE = (
+    "with "
+    + SPLIT.format(text=LOWER)
+    + f""", held as (select doc_id, {CRC.format(x="cast(doc_id as varchar)")} % 7 = 2 held_out from documents),
+  toks as (select doc_id, word from split union all select doc_id, chr(10) from documents), train as (select word, count(*) c from toks join held using (doc_id) where not held_out group by word), total as (select sum(c) n, count(*) v from train)
+  select h.doc_id, held_out, count(*) n_tokens, count(c) n_known, cast(max(n) as bigint) train_tokens, round(sum(log10((coalesce(c, 0) + 1) / (n + v + 1))), 4) + 0.0 base_score from toks t join held h using (doc_id) left join train using (word), total group by h.doc_id, held_out"""
+)
+
+
+@query(LM_BASE)
+def lm_base(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    found = hmm.score(documents(spark, sf_dir))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", (F.round("base_score", 4) + 0.0).alias("base_score"))

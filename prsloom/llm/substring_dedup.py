@@ -15,7 +15,7 @@
    (doc_id, start), stays; all others cover words that go.
 4. The covered intervals, gathered by document, meet the texts in one join.
 
-Input cases: a null or empty text has no words; a null doc_id counts as the smallest id; rows
+Input cases: a null or empty text has no words; rows without an id come before all ids, each text for itself; rows
 that share a doc_id are judged as one document, so what is cut from one is cut from all, and
 exact repeats of a row each return the same result; an empty table gives an empty result; extra
 columns are ignored.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, binary_column, gather_runs, keyed, mix, pieces, row_of, run_hash, shuffle_width, text_bytes, word_hashes, word_spans
+from .common import binary_column, gather_runs, keyed, mix, pieces, row_of, run_hash, shuffle_width, text_bytes, word_hashes, word_spans
 
 WINDOW = 20
 #: Words of a sub-window whose least hash is its window's anchor.
@@ -190,7 +190,7 @@ def _candidates(sketch, window: int, anchor: int, width_bits: int):
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, width_bits: int = WIDTH_BITS) -> DataFrame:
     """(key, spans): for each document the word runs that windows starting earlier elsewhere cover, each start << 32 | length."""
-    rows = keyed(docs).select("key", "text")
+    rows = keyed(docs, True).select("key", "text")
     sketch = docs.sparkSession.sparkContext.broadcast(repeated_cells(rows, window, anchor, width_bits).tobytes())
     emitted = rows.mapInArrow(_candidates(sketch, window, anchor, width_bits), "h1 long, h2 long, key long, start int, length int, known boolean")
     first = F.min(F.when(~F.col("known"), F.struct("key", "start"))).over(Window.partitionBy("h1", "h2"))
@@ -249,5 +249,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Tru
     Returns doc_id, n_words, n_removed, kept_sha256 and, with_text, kept_text.
     """
     spans = repeated_spans(docs, window, min(ANCHOR, window), width_bits)
-    joined = keyed(docs).join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "spans")
+    joined = keyed(docs, True).join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_cut(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)

@@ -3,10 +3,11 @@
 Native: DataFrame functions and Spark's own FP-growth. Labelled URLs are turned into sets of
 tokens (host labels with their distance from the right, path segments, file endings, query keys, shapes
 of segments); FP-growth over tokens and the label gives rules tokens -> label. Rules are kept
-above a support and a confidence, and only if no shorter kept rule is as sure; their number is
-bounded by MAX_RULES, the surest first, so that they may be broadcast. They are matched through an inverted index:
+above a support and a confidence, and only if no rule of some of their tokens and the same label is as sure. All that are left
+stay, a table in the shared folder. They are matched through an inverted index:
 each rule is posted under one of its tokens, the rarest, URLs meet only rules posted under their
-own tokens, and the rest of the rule is verified.
+own tokens, and the rest of the rule is verified. Whether the index is broadcast is decided by its size on disk; URLs
+of a common token are dealt over several tasks where it is not.
 
 An explicit list of (host, path, verdict) comes before the method: the longest entry that fits wins.
 
@@ -23,11 +24,11 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import salted_join, written
+
 LISTED = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 MIN_SUPPORT = 0.01
 MIN_CONFIDENCE = 0.8
-MAX_TOKENS = 4
-MAX_RULES = 1000
 DEFAULT = "allow"
 
 
@@ -75,21 +76,18 @@ def tokens(rows: DataFrame) -> DataFrame:
     return parts.withColumn("tokens", F.expr(TOKENS)).drop("labels", "segments", "keys")
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS, max_rules: int = MAX_RULES) -> DataFrame:
-    """Rules (rule_id, antecedent, label, confidence, support) of rows with tokens and a label (block or allow)."""
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """All rules (rule_id, antecedent, label, confidence, support) of rows with tokens and a label (block or allow) that no
+    rule of a part of their tokens makes needless."""
     baskets = labelled.select(F.array_union("tokens", F.array(F.concat(F.lit("label="), "label"))).alias("items"))
-    schema = "rule_id int, antecedent array<string>, label string, confidence double, support double"
-    spark = labelled.sparkSession
     found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
-    rules = found.filter(F.size("consequent") == 1).filter(F.col("consequent")[0].startswith("label=")).filter(F.size("antecedent") <= max_tokens)
-    rules = rules.filter(~F.exists("antecedent", lambda x: x.startswith("label=")))
-    top = rules.select(F.array_sort("antecedent").alias("antecedent"), F.expr("substring(consequent[0], 7)").alias("label"), "confidence", "support")
-    kept: list[tuple] = []
-    # bounded: the surest, then the most general rules; a rule that a shorter one implies as surely goes
-    for a, label, c, s in top.orderBy(F.desc("confidence"), F.size("antecedent"), F.desc("support"), F.concat_ws(" ", "antecedent")).limit(max_rules * 4).collect():
-        if len(kept) < max_rules and not any(label == x[2] and set(x[1]) <= set(a) for x in kept):
-            kept.append((len(kept), list(a), label, c, s))
-    return spark.createDataFrame(kept, schema)
+    rules = found.filter((F.size("consequent") == 1) & F.col("consequent")[0].startswith("label=") & ~F.exists("antecedent", lambda x: x.startswith("label=")))
+    rules = rules.select(F.array_sort("antecedent").alias("antecedent"), F.expr("substring(consequent[0], 7)").alias("label"), "confidence", "support")
+    rules = written(rules.select(F.xxhash64("antecedent", "label").alias("rule_id"), "*"), "rules")
+    shorter = indexed(rules).select("token", F.col("antecedent").alias("part"), F.col("mined").alias("label"), F.col("confidence").alias("sure"))
+    met = rules.withColumn("token", F.explode("antecedent")).join(shorter, ["token", "label"])
+    needless = met.filter((F.size("part") < F.size("antecedent")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("part", "antecedent")) == 0)).select("rule_id").distinct()
+    return written(rules.join(needless, "rule_id", "left_anti"), "kept-rules")
 
 
 def indexed(rules: DataFrame) -> DataFrame:
@@ -100,15 +98,11 @@ def indexed(rules: DataFrame) -> DataFrame:
 
 
 def match(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """rows (with rid and tokens) and the surest rule whose tokens each has: mined, mined_rule; null without one.
-
-    A row meets the rules posted under its tokens in a broadcast join; its candidates come together again in the
-    task that exploded them, so that one row of each is shuffled and a common token is no hot key.
-    """
+    """rows (with rid and tokens) and the surest rule whose tokens each has: mined, mined_rule; null without one."""
     columns = [x for x in rows.columns if x != "rid"]
-    met = rows.withColumn("token", F.explode_outer("tokens")).join(F.broadcast(indexed(rules)), "token", "left")
+    met = salted_join(rows.withColumn("token", F.explode_outer("tokens")), written(indexed(rules), "index"), ["token"], "rid")
     holds = F.col("rule_id").isNotNull() & (F.size(F.array_except("antecedent", "tokens")) == 0)
-    rank = F.when(holds, F.struct((-F.col("confidence")).alias("c"), (-F.size("antecedent")).alias("n"), (-F.col("support")).alias("s"), "rule_id", "mined", "antecedent"))
+    rank = F.when(holds, F.struct((-F.col("confidence")).alias("c"), (-F.size("antecedent")).alias("n"), (-F.col("support")).alias("s"), "antecedent", "mined"))
     best = met.groupBy("rid").agg(*(F.first(x).alias(x) for x in columns), F.min(rank).alias("best"))
     return best.select("rid", *columns, F.col("best.mined").alias("mined"), F.col("best.antecedent").alias("mined_rule"))
 

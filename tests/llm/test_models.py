@@ -1,11 +1,13 @@
 import collections
+import itertools
 import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from prsloom.llm import chains, hmm, language_id
+from prsloom.llm import chains, common, hmm, language_id
 
 RNG = np.random.default_rng(0)
 SOUNDS = {"en": ["the", "ing", "tion", "and", "er", "ha", "st"], "de": ["ung", "sch", "ein", "keit", "ver", "ö", "tz"], "fr": ["eau", "é", "oi", "que", "ment", "è", "ou"]}
@@ -87,6 +89,67 @@ def test_hmm_does_not_depend_on_the_order_of_rows(documents, monkeypatch):
     assert one == pytest.approx(two, rel=1e-6)
 
 
+def brute_forward(emit, step, start, kinds):
+    """Sums over all paths of states, one by one: likelihood and expected counts."""
+    s = len(start)
+    total, moves, seen = 0.0, np.zeros((s, s)), np.zeros((s, emit.shape[1]))
+    for path in itertools.product(range(s), repeat=len(kinds)):
+        # what the model calls start is the state before the first word
+        p = sum(start[z] * step[z, path[0]] for z in range(s)) * emit[path[0], kinds[0]]
+        for a, b, k in zip(path, path[1:], kinds[1:], strict=False):
+            p *= step[a, b] * emit[b, k]
+        total += p
+        for a, b in zip(path, path[1:], strict=False):
+            moves[a, b] += p
+        for a, k in zip(path, kinds, strict=True):
+            seen[a, k] += p
+    return total, moves / total, seen / total
+
+
+def test_baum_welch_step_and_forward_equal_all_paths(monkeypatch):
+    rng = np.random.default_rng(5)
+    s, k = 3, 6
+    monkeypatch.setattr(hmm, "CLASSES", k)
+    emit, step = rng.random((s, k)), rng.random((s, s))
+    emit /= emit.sum(1, keepdims=True)
+    step /= step.sum(1, keepdims=True)
+    start = np.full(s, 1 / s)
+    texts = [rng.integers(0, k, n) for n in (1, 4, 6)]
+    told = [brute_forward(emit, step, start, t) for t in texts]
+    kinds, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    classes, moves, _, likely = hmm.expectation(emit, step, start, kinds, lengths)
+    np.testing.assert_allclose(likely, sum(math.log(x[0]) for x in told))
+    np.testing.assert_allclose(moves, sum(x[1] for x in told), atol=1e-9)
+    np.testing.assert_allclose(classes, sum(x[2] for x in told), atol=1e-9)
+    x = emit.T[kinds]
+    np.testing.assert_allclose(chains.log_likelihood(x, step, start, lengths), [math.log(x[0]) for x in told])
+
+
+def test_hmm_counts_words_that_span_batches():
+    """Answers to blocks do not depend on how the rows of a word are cut into batches."""
+    rng = np.random.default_rng(6)
+    h = np.sort(rng.integers(0, 6, 200))
+    block, place, n = np.arange(200), rng.integers(0, 9, 200).astype(np.int32), rng.integers(0, 5, 200).astype(np.int32)
+    want = np.bincount(h, n)
+
+    def answers(size):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[a : a + size]) for x in (h, block, place, n, (h % 3).astype(np.int32))], ["hash", "block", "place", "n", "class"]) for a in range(0, 200, size)]
+        return [r for b in hmm._answer(iter(batches)) for r in b.to_pylist()]
+
+    for size in (1, 7, 64, 200):
+        told = {r["block"]: int(np.frombuffer(r["totals"], np.int64)[0]) for r in answers(size) if r["block"] >= 0}
+        assert told == {int(b): int(want[w]) for b, w, c in zip(block, h, n, strict=True) if want[w] != c}
+
+
+def test_gradient_features_of_a_word():
+    """Buckets of a word are those of its affixes, its n-grams and itself, counted one by one."""
+    low, starts, ends, back, _ = language_id.distinct(*common.text_bytes(pa.array(["abcab x"])))
+    buckets, many = language_id.features(low, language_id.byte_hasher(low), starts, ends)
+    # three prefixes, four suffixes and the word, and all grams of two and three letters
+    assert sorted(many.tolist()) == [8, 8 + 4 + 3]
+    assert ((buckets >= 0) & (buckets < 1 << language_id.BITS)).all()
+
+
 def test_hmm_probabilities_sum_to_one():
     """Over one-word texts of every class, end included: sum of P(class sequence) is the chance of two tokens."""
     rng = np.random.default_rng(1)

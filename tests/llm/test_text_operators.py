@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import os
 import re
 import zlib
@@ -10,6 +11,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from prsloom.llm import common, decontaminate, near_dedup, packing, pii, substring_dedup, syncmers, tokens, url_rules
 
@@ -322,6 +324,63 @@ def test_syncmers_keep_all_anchors(documents):
     assert 0 < got[0].near_next < 0.1
 
 
+def spark_hash(values):
+    """xxhash64 of a string, or of hashes one after another, as Spark chains them."""
+    if isinstance(values, str):
+        return xxhash.xxh64_intdigest(values.encode(), seed=42)
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(v.to_bytes(8, "little"), seed=seed)
+    return seed
+
+
+def test_syncmers_are_those_of_the_definition(documents):
+    """Closed syncmers chosen one by one: the least of a k-mer's symbols, as signed numbers, stands at an end."""
+    texts = [t for t in mixture(8, 24) if t] + ["日本語 and e " * 9, "abc", "x y z w"]
+    got = {r.doc_id: r.fingerprint for r in syncmers.fingerprints(documents(texts)).collect()}
+    for d, t in enumerate(texts):
+        h = [spark_hash(x) for x in re.findall(r"(?s)[^\se\u0250-\uffff]{0,15}.", t)]
+        signed = [x - (1 << 64) if x >> 63 else x for x in h]
+        want = []
+        for k in range(len(h) - syncmers.K + 1):
+            window = signed[k : k + syncmers.K]
+            if min(window[0], window[-1]) <= min(window[1:-1]):
+                want.append((k, spark_hash(h[k : k + syncmers.K]).to_bytes(8, "big")))
+        if len(h) < syncmers.K:
+            want = [(0, spark_hash(t).to_bytes(8, "big"))]
+        assert anchors_of(got[d]) == want, t[:80]
+
+
+CLASHING = ("_id", "_spans", "_hit", "_bad", "_w", "_g", "_kept", "_digest", "_own", "key", "own", "other", "spans", "bad", "hit", "word", "gap", "row", "kept", "again", "digest", "salt", "rid", "w")
+
+
+def test_columns_of_any_name_are_kept(spark, documents):
+    """A table's other columns are its own, whatever they are called."""
+    bench = spark.createDataFrame([(1, "one two three"), (2, "four five six")], "item_id long, text string")
+    docs = documents(["one two three here", "mail jo@site.org now", "one two three here", "clean"]).selectExpr("*", *(f"concat('{c}', doc_id) as `{c}`" for c in CLASHING))
+    for name, out in (("cut", decontaminate.decontaminate(docs, bench, 3)), ("redact", pii.redact(docs)), ("dedup", near_dedup.without_near_duplicates(docs, 2))):
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert all(r[c] == f"{c}{r.doc_id}" for r in rows for c in CLASHING), name
+        assert {r.doc_id for r in rows} == ({0, 1, 3} if name == "dedup" else {0, 1, 2, 3})
+
+
+def test_dedup_leaves_one_of_equal_rows(documents):
+    """Rows that share an id, or have none, stand each for their own text."""
+    a, b, c = ("alpha beta gamma delta epsilon " * 3, "other words that no text else has at all", "third text here with its own words in it")
+    rows = [(1, a), (1, a), (2, b), (2, c), (None, c), (None, "a text without an id and without a twin"), (None, None), (None, None), (3, "x")]
+    left = sorted((r.doc_id or 0, r.text or "") for r in near_dedup.without_near_duplicates(documents(rows)).collect())
+    assert len([x for x in left if x[1] == a]) == 1 and len([x for x in left if x[1] == b]) == 1
+    assert len([x for x in left if x[1] == c]) == 1 and len(left) == 6
+
+
+def test_substring_dedup_keeps_rows_without_id_apart(documents):
+    texts = [" ".join(f"{x}{k}" for k in range(30)) for x in "abc"]
+    got = substring_dedup.substring_dedup(documents([(None, texts[0]), (None, texts[1]), (None, f"{texts[2]} {texts[1]}"), (5, texts[0])]), width_bits=18).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got)[-1] == (5, 30, 30)
+    assert sum(r.n_removed for r in got if r.doc_id is None) == 30
+
+
 def test_rows_without_an_id_are_judged_by_their_own_text(spark, documents):
     bench = spark.createDataFrame([(1, "one two three"), (2, "four five six")], "item_id long, text string")
     texts = ["one two three four five six", "one two three and more", "clean words that must stay", "mail jo@site.org now and then", "clean words that must stay"]
@@ -346,6 +405,37 @@ def test_url_rules(spark):
     assert got[len(urls) - 1].verdict == "allow"
 
 
+def test_mined_rules_equal_brute_force(spark):
+    """All antecedents by support and confidence, less those that a part with the same label makes needless; the surest decides."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(150):
+        has = {t for t, chance in (("a", 0.5), ("b", 0.5), ("c", 0.4), ("d", 0.3), ("e", 0.2)) if rng.random() < chance}
+        block = {"a", "b"} <= has or "e" in has or ({"b", "c", "d"} <= has and rng.random() < 0.9)
+        rows.append((k, sorted(has), "block" if block else "allow"))
+    frame = spark.createDataFrame(rows, "rid long, tokens array<string>, label string")
+    found = {(frozenset(r.antecedent), r.label): (r.confidence, r.support) for r in url_rules.mine(frame, 0.05, 0.7).collect()}
+    every = {}
+    for size in range(1, 6):
+        for part in itertools.combinations("abcde", size):
+            for label in ("block", "allow"):
+                with_part = [x for x in rows if set(part) <= set(x[1])]
+                both = sum(x[2] == label for x in with_part)
+                if both >= 0.05 * len(rows) and both / len(with_part) >= 0.7:
+                    every[frozenset(part), label] = (both / len(with_part), both / len(rows))
+    want = {k: v for k, v in every.items() if not any(o[1] == k[1] and o[0] < k[0] and every[o][0] >= v[0] for o in every)}
+    assert found == {k: pytest.approx(v) for k, v in want.items()}
+    for r in url_rules.match(frame, url_rules.mine(frame, 0.05, 0.7)).collect():
+        fits = [(-v[0], -len(k[0]), -v[1], sorted(k[0]), k[1]) for k, v in want.items() if k[0] <= set(r.tokens)]
+        assert r.mined == (min(fits)[4] if fits else None)
+
+
+def test_urls_of_any_length_and_repeated(spark):
+    urls = ["https://a.net/" + "x/" * 20000, "https://a.org/fr/1", "https://a.org/fr/1", None, None]
+    got = url_rules.judge(spark.createDataFrame([(None if u is None else 7, u) for u in urls], "page_id long, url string")).collect()
+    assert sorted((r.rule or "") for r in got) == ["", "", "net/", "org/fr/", "org/fr/"]
+
+
 def test_url_rules_without_labels(spark):
     pages = spark.createDataFrame([(1, "https://a.com/"), (None, None)], "page_id long, url string")
     assert {r.verdict for r in url_rules.judge(pages).collect()} == {"allow"}
