@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prsloom.llm import decontaminate, language_id, near_dedup, packing, pii
-from prsloom.llm.common import written
+from prsloom.tables import drop, scratch, written
 
 #: Of a kept document's words, the likeliest language has this share at least.
 LEAST_SHARE = 0.5
@@ -49,9 +49,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Tables that a stage wrote on its way, and its input, are deleted once its output is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name.replace(" ", "-"))
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as kept:
+            done = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept.append(done)
+        if k:
+            drop(docs)
+        docs = done
+    return STAGES[-1][1](spark, docs, sf_dir)
