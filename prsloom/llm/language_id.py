@@ -29,6 +29,8 @@ from .common import gather_runs, pieces, row_of, run_hasher, text_bytes, word_ha
 SAMPLE = 200
 BITS = 16
 EPOCHS = 30
+#: Words whose probabilities training holds at once.
+PART_WORDS = 40_000
 UNKNOWN = "und"
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -122,20 +124,26 @@ def train(texts: list[str], labels: np.ndarray, n_labels: int, epochs: int = EPO
     inner[first] = False
     wanted_moves = np.zeros((n_labels, n_labels))
     np.add.at(wanted_moves, (gold[:-1][inner[1:]], gold[1:][inner[1:]]), 1)
-    wanted = np.zeros((len(word), n_labels))
-    wanted[np.arange(len(word)), gold] = 1
     start = np.full(n_labels, 1 / n_labels)
+    # sequences are gone through some at a time, so that memory does not follow the lengths of the texts
+    ends = np.cumsum(lengths)
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(PART_WORDS, ends[-1], PART_WORDS)), len(lengths)])
     memory = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(moves), np.zeros_like(moves)]
     for epoch in range(1, epochs + 1):
-        score = emissions(weights, buckets, many)[word]
-        x = np.exp(np.maximum(score - score.max(1, keepdims=True), -40))
-        gamma, xi, _ = chains.posteriors(x, np.exp(moves), start, lengths)
-        # the virtual step from start to the first word is no transition
-        entry = np.exp(moves) * start[:, None]
-        lead = x[first] * 0 + gamma[first]
-        xi = xi - (entry / entry.sum(0))[:, :] * lead.sum(0)[None, :]
-        error = wanted - gamma
-        by_word = np.stack([np.bincount(word, error[:, k], len(many)) for k in range(n_labels)], 1)
+        each = emissions(weights, buckets, many)
+        by_word, xi = np.zeros((len(many), n_labels)), np.zeros((n_labels, n_labels))
+        for u, v in zip(cuts[:-1], cuts[1:], strict=True):
+            here = slice(first[u], ends[v - 1])
+            score = each[word[here]]
+            x = np.exp(np.maximum(score - score.max(1, keepdims=True), -40))
+            gamma, counted, _ = chains.posteriors(x, np.exp(moves), start, lengths[u:v])
+            # the virtual step from start to the first word is no transition
+            entry = np.exp(moves) * start[:, None]
+            xi += counted - (entry / entry.sum(0)) * gamma[first[u:v] - first[u]].sum(0)[None, :]
+            error = -gamma
+            error[np.arange(len(error)), gold[here]] += 1
+            for k in range(n_labels):
+                by_word[:, k] += np.bincount(word[here], error[:, k], len(many))
         g = np.stack([np.bincount(buckets, by_word[owner, k], 1 << BITS) for k in range(n_labels)], 1) / len(word) - 1e-6 * weights
         gm = (wanted_moves - xi) / len(word)
         for value, grad, m, v in ((weights, g, memory[0], memory[1]), (moves, gm, memory[2], memory[3])):

@@ -49,7 +49,8 @@ def test_scan_equals_one_step_at_a_time():
 def test_language_of_held_out_and_mixed(documents):
     langs = list(SOUNDS)
     rows = [(k, text(langs[k % 3], 40), langs[k % 3]) for k in range(240)]
-    rows += [(1000, text("de", 60) + " " + text("fr", 20), "de"), (1001, "12 34 !!", "en"), (1002, None, "en"), (1003, text("fr", 5), None)]
+    # a mixed text is no teacher, or its French words would be learned as German
+    rows += [(1000, text("de", 60) + " " + text("fr", 20), None), (1001, "12 34 !!", "en"), (1002, None, "en"), (1003, text("fr", 5), None)]
     got = {r.doc_id: r for r in language_id.identify(documents(rows)).collect()}
     held = [k for k in range(240) if zlib.crc32(str(k).encode()) % 4 == 2]
     assert all(got[k].held_out == (k in held) for k in range(240))
