@@ -70,6 +70,14 @@ def _total(blocks: DataFrame) -> tuple[int, int]:
     return int(one.m or 0), int(one.n)
 
 
+def _dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows of blocks in as many partitions as there are slots, or more where those would be large: fitting a block takes far longer
+    than moving it, so partitions that Spark joins because they are small would leave slots idle."""
+    one = blocks.agg(F.count("*").alias("n"), F.sum(F.length("data")).alias("size")).collect()[0]
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(one.n, max(slots, (one.size or 0) // SIDE_BYTES + 1))))
+
+
 def _seeds(held, seed: int) -> list[int]:
     return [int((seed + x.block_id) % (1 << 32)) for x in held]
 
@@ -77,7 +85,7 @@ def _seeds(held, seed: int) -> list[int]:
 def inf(blocks: DataFrame, effects: DataFrame, h2: float, m: int | None = None) -> DataFrame:
     """Infinitesimal model; h2 is shared out by block size."""
     m = m or _total(blocks)[0]
-    return _by_block(with_effects(blocks, effects), EFFECTS, lambda x: pd.DataFrame({"vidx": _vidx(x), "beta": kernels.infinitesimal(decode(x), x.e_beta, x.e_n, h2 * x.k / m)}))
+    return _by_block(_dealt(with_effects(blocks, effects), blocks), EFFECTS, lambda x: pd.DataFrame({"vidx": _vidx(x), "beta": kernels.infinitesimal(decode(x), x.e_beta, x.e_n, h2 * x.k / m)}))
 
 
 def _optional(effects: DataFrame) -> tuple[str, ...]:
@@ -94,7 +102,7 @@ def grid(blocks: DataFrame, effects: DataFrame, h2: float, p: float, seed: int =
         found = kernels.grids([decode(x) for x in held], _joined(held, "beta"), _joined(held, "n"), [h2 * x.k / m for x in held], p, seeds=_seeds(held, seed), **kw, **{c: _joined(held, c) for c in extra})
         return pd.DataFrame({"vidx": _all_vidx(held), "beta": found})
 
-    return _by_blocks(with_effects(blocks, effects, extra), EFFECTS, run)
+    return _by_blocks(_dealt(with_effects(blocks, effects, extra), blocks), EFFECTS, run)
 
 
 def laplace(blocks: DataFrame, effects: DataFrame, h2: float, seed: int = 1, m: int | None = None, **kw) -> DataFrame:
@@ -104,7 +112,7 @@ def laplace(blocks: DataFrame, effects: DataFrame, h2: float, seed: int = 1, m:
         found = kernels.laplaces([decode(x) for x in held], _joined(held, "beta"), _joined(held, "n"), [h2 * x.k / m for x in held], seeds=_seeds(held, seed), **kw)
         return pd.DataFrame({"vidx": _all_vidx(held), "beta": found})
 
-    return _by_blocks(with_effects(blocks, effects), EFFECTS, run)
+    return _by_blocks(_dealt(with_effects(blocks, effects), blocks), EFFECTS, run)
 
 
 def lassosum(blocks: DataFrame, effects: DataFrame, s_seq=(0.2, 0.5, 0.9), n_lambda: int = 20, ratio: float = 0.01, max_iter: int = 100, tol: float = 1e-4) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +128,7 @@ def lassosum(blocks: DataFrame, effects: DataFrame, s_seq=(0.2, 0.5, 0.9), n_lam
                 out += [{"s": s, "step": k, "vidx": _vidx(x), "beta": b, "br": br, "brb": brb} for k, (b, br, brb) in enumerate(steps)]
         return pd.DataFrame(out)
 
-    found = written(_by_blocks(with_effects(blocks, effects), "s double, step int, vidx array<long>, beta array<double>, br double, brb double", path), "paths")
+    found = written(_by_blocks(_dealt(with_effects(blocks, effects), blocks), "s double, step int, vidx array<long>, beta array<double>, br double, brb double", path), "paths")
     lam = F.element_at(F.array(*map(F.lit, lambdas.tolist())), F.col("step") + 1)
     grid = found.groupBy("s", "step").agg(F.sum("br").alias("br"), F.sum("brb").alias("brb"), F.sum(F.size(F.filter("beta", lambda b: b != 0))).alias("n_nonzero"))
     grid = grid.select("s", "step", lam.alias("lambda"), F.when(F.col("brb") > 1e-12, F.col("br") / F.sqrt("brb")).otherwise(0.0).alias("score"), "n_nonzero")
@@ -325,7 +333,7 @@ def finemap(blocks: DataFrame, effects: DataFrame, only_significant: float | Non
             out.append(pd.DataFrame({"vidx": _vidx(x), "block_id": x.block_id, "pip": t["pip"], "mean": t["mean"], "sd": t["sd"], "signal": signal.astype(np.int32), "coverage": told[0], "purity_min": told[1], "purity_mean": told[2]}))
         return pd.concat(out, ignore_index=True)
 
-    found = _by_blocks(rows, FINEMAPPED, run)
+    found = _by_blocks(_dealt(rows, blocks), FINEMAPPED, run)
     inside = F.col("signal") >= 0
     return found.select("vidx", "block_id", "pip", "mean", "sd", *(F.when(inside, F.col(c)).alias(c) for c in ("signal", "coverage", "purity_min", "purity_mean")))
 

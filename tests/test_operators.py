@@ -144,3 +144,54 @@ def test_finemap_skips_quiet_blocks(spark):
     quiet = effects.withColumn("beta", F.when(F.col("vidx") < 40, 0.0).otherwise(F.col("beta")))
     found = models.finemap(blocks, quiet, only_significant=5e-8, n_chains=1, burn_in=20, num_iter=30)
     assert found.filter("vidx < 40").count() == 0 and found.count() > 0
+
+
+def test_pooled_chains_do_not_depend_on_partitioning(spark):
+    """Blocks in one task, in several by sockets, or by rounds: the same streams, sums that do not depend on their order."""
+    from prsloom.operators import pooled
+
+    blocks, effects = simulated_blocks(spark)
+    options = {"burn_in": 20, "num_iter": 30}
+    many = {r.vidx: r.beta for r in models.auto(blocks, effects, **options)[0].collect()}
+    before = pooled.tasks
+    pooled.tasks = lambda rows, n: 1
+    try:
+        one = {r.vidx: r.beta for r in models.auto(blocks, effects, **options)[0].collect()}
+    finally:
+        pooled.tasks = before
+    assert many == one
+    told = models.infer(blocks, effects, n_chains=3, **options)[1].collect()[0]
+    assert told.n_chains == 3 and told.h2_low <= told.h2_est <= told.h2_high
+    annotated = effects.withColumn("coding.1", (F.col("vidx") % 2).cast("double"))
+    beta, told = models.annot(blocks, annotated, ["coding.1"], **options)
+    assert beta.count() == 120 and set(told["enrichment"]) == {"intercept", "coding.1"} and len(models.top_enrichments(told["enrichment"])) == 1
+    both = effects.withColumns({"beta2": -F.col("beta"), "n2": F.col("n")})
+    assert models.bivariate(blocks, both, **options)[1]["rg"] < 0
+
+
+def test_priors_of_single_variants(spark):
+    blocks, effects = simulated_blocks(spark)
+    flat = {r.vidx: r.beta for r in models.grid(blocks, effects, 0.3, 0.1, burn_in=10, num_iter=20).collect()}
+    ones = {r.vidx: r.beta for r in models.grid(blocks, effects.withColumns({"prior": F.lit(1.0), "slab": F.lit(1.0)}), 0.3, 0.1, burn_in=10, num_iter=20).collect()}
+    assert all(abs(flat[k] - ones[k]) < 1e-9 for k in flat)
+    none = {r.vidx: r.beta for r in models.grid(blocks, effects.withColumn("prior", F.when(F.col("vidx") < 40, 0.0).otherwise(1.0)), 0.3, 0.1, burn_in=10, num_iter=20).collect()}
+    small = [k for k in range(40) if abs(flat[k]) < 0.01]  # strong signals outweigh even the least prior
+    assert sum(abs(none[k]) for k in small) < 0.5 * sum(abs(flat[k]) for k in small)
+    with pytest.raises(ValueError, match="prior"):
+        models.auto(blocks, effects.withColumn("prior", F.lit(1.0)))
+
+
+def test_no_lasso_model_of_score_one(spark):
+    blocks, effects = simulated_blocks(spark)
+    best, _ = models.lassosum(blocks, effects.withColumn("beta", F.col("beta") * 100))
+    assert best.count() == 120 and best.filter("beta != 0").count() == 0
+
+
+def test_a_replicate_is_predicted(spark):
+    from prsloom.operators import simulate
+
+    told = simulate.run_one(spark, 800, 0.6, 0.1, m=60, block_size=30, n_test=200, burn_in=20, num_iter=40)
+    assert told["r2"] > 0.4
+    g = simulate.mosaic_genotypes(300, 50, np.random.default_rng(1))
+    near = abs(np.corrcoef(g.T))
+    assert g.shape == (300, 50) and set(np.unique(g)) <= {0, 1, 2} and np.diag(near, 1).mean() > np.diag(near, 20).mean()
