@@ -161,3 +161,19 @@ def test_hmm_probabilities_sum_to_one():
     start = np.full(s, 1 / s)
     total = sum(math.exp(chains.log_likelihood(emit.T[[a, b]], step, start, np.array([2]))[0]) for a in range(k) for b in range(k))
     assert total == pytest.approx(1.0)
+
+
+def test_cut_and_whole_sequences_agree(monkeypatch):
+    """Whether a sequence runs through or is cut into blocks makes no difference."""
+    rng = np.random.default_rng(2)
+    lengths = np.array([1, 3, 0, 200, 64, 65, 2, 0, 40])
+    x, step, start = rng.random((lengths.sum(), 4)), rng.random((4, 4)), rng.random(4)
+    start /= start.sum()
+    told = []
+    for whole in (0, 64, 1024):
+        monkeypatch.setattr(chains, "WHOLE", whole)
+        told.append([*chains.posteriors(x, step, start, lengths), chains.log_likelihood(x, step, start, lengths)])
+    for other in told[1:]:
+        for a, b in zip(told[0], other, strict=True):
+            np.testing.assert_allclose(a, b, atol=1e-9)
+    np.testing.assert_allclose(told[0][2], told[0][3])
