@@ -4,8 +4,8 @@ Native: DataFrame functions only. The hash set of the benchmark's windows is a m
 window; it travels with the plan. Its size follows the number of windows up to MAP_BYTES, which bounds what is broadcast: a
 benchmark of more than BAND windows is dealt by hash into bands, each with its own map and its own scan. Every document's
 windows are hashed and looked up where the text lies. Only windows that the map holds go on (and about one in a thousand others):
-they are verified, word by word, by a join with the benchmark's windows, dealt over several tasks, as one passage may be in
-very many documents, and then gathered by document. Other windows never leave their document.
+they are verified, word by word, by a join with the benchmark's windows, which are broadcast if few, or dealt over several tasks, as
+one passage may be in very many documents, and then gathered by document. Other windows never leave their document.
 
 Input cases: a null or empty text has no words and is never contaminated; a null doc_id is
 returned as it is; rows that share a doc_id are judged each on its own; an empty documents or
@@ -29,6 +29,8 @@ MAP_BYTES = 1 << 23
 BYTES_EACH = 64
 #: Windows of a band: 16 bytes each at least.
 BAND = MAP_BYTES // 16
+#: Size as JSON up to which the benchmark's windows that were met are broadcast, once; larger ones are dealt in copies.
+MET_BYTES = 1 << 22
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -64,12 +66,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, also: dict[str, Colu
         rows = looked_up(base, byte_map(own.select("hash")), lengths, list(also), number == 0)
         found = rows if found is None else found.union(rows)
     found = written(found, "hits")  # a row for each document, and one for each hit
-    met = grams.join(found.filter("gram is not null").select("k", "hash").distinct(), ["k", "hash"], "left_semi")
-    joined = salted_join(found, met, ["k", "hash", "gram"], "rid")
+    met = written(grams.join(found.filter("gram is not null").select("k", "hash").distinct(), ["k", "hash"], "left_semi"), "met")
+    joined = verify(found, met)
     verified = F.when(F.col("items").isNotNull(), F.struct("at", "k", "items"))
     return joined.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in also), F.first("n_words").cast("long").alias("n_words"), F.collect_list(verified).alias("hits"))
 
 
+def verify(found: DataFrame, met: DataFrame) -> DataFrame:
+    """The rows of found with the items of their window, null where it is none. Copies of met never reach the driver."""
+    on = ["k", "hash", "gram"]
+    size = met.agg(F.sum(F.length(F.to_json(F.struct("gram", "items"))))).first()[0] or 0
+    if size <= MET_BYTES:
+        return found.join(F.broadcast(met), on, "left")
+    return salted_join(found.filter("gram is not null"), met.hint("merge"), on, "rid").unionByName(found.filter("gram is null"), allowMissingColumns=True)
+
+
 def probes(h: Column, size: int) -> tuple[Column, Column]:
     """The two places of a hash in a map, from 1."""
     return tuple((F.pmod(x, F.lit(size)) + 1).cast("int") for x in (h, F.shiftrightunsigned(h, 31)))

@@ -9,7 +9,8 @@ words; its score is that share.
 Learning: at most SAMPLE documents of each language, chosen by a hash of id and text (a documented
 bound: a classifier's quality does not grow with the corpus), whole texts. The hash is even, so a language's count gives the
 value up to which about half as many again lie; the SAMPLE smallest of these are taken. Runs of different documents are spliced
-into training sequences, which gives the transitions switches to learn from. Maximum likelihood by Adam over the exact gradient.
+into training sequences, which gives the transitions switches to learn from. Maximum likelihood by Adam over the exact gradient,
+in one task: the driver sees the weights, not the texts.
 
 Input cases: a null text or one without letters is `und` with score 0; documents without lang teach nothing; with
 no labelled document everything is `und`; a null doc_id counts as held out = false and is returned as null; repeated
@@ -18,6 +19,8 @@ rows each get the same answer; an empty table gives an empty result; extra colum
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +34,9 @@ BITS = 16
 EPOCHS = 30
 #: Words whose probabilities training holds at once.
 PART_WORDS = 40_000
+#: Bytes or features that training takes at once, and words whose features' weights are held at once.
+PART_BYTES = 1 << 18
+SCORED = 5_000
 UNKNOWN = "und"
 _SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -78,9 +84,13 @@ def byte_hasher(low: np.ndarray):
 
 def emissions(weights: np.ndarray, buckets: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Each word's score for each language."""
-    if not len(many):
-        return np.zeros((0, weights.shape[1]))
-    return np.add.reduceat(weights[buckets], np.cumsum(many) - many, axis=0).astype(np.float64)
+    out = np.zeros((len(many), weights.shape[1]))
+    ends = np.cumsum(many)
+    for a in range(0, len(many), SCORED):
+        to, size = ends[a : a + SCORED], many[a : a + SCORED]
+        at = to[0] - size[0]
+        out[a : a + SCORED] = np.add.reduceat(weights[buckets[at : to[-1]]], to - size - at, axis=0)
+    return out
 
 
 def distinct(data: np.ndarray, off: np.ndarray):
@@ -91,6 +101,21 @@ def distinct(data: np.ndarray, off: np.ndarray):
     return low, starts[first], ends[first], back, word_off
 
 
+def vocabulary(data: np.ndarray, off: np.ndarray):
+    """As distinct(), with the bytes of distinct words alone, hashed a part at a time."""
+    low = lowered(data)
+    starts, ends, word_off = word_spans(data, off)
+    hashes = np.zeros(len(starts), np.uint64)
+    cuts = np.unique(np.r_[np.searchsorted(starts, np.arange(0, len(low), PART_BYTES)), len(starts)])
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        at = starts[a]
+        hashes[a:b] = word_hashes(low[at : ends[b - 1]], starts[a:b] - at, ends[a:b] - at)
+    _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    size = ends[first] - starts[first]
+    ends_of = np.cumsum(size)
+    return low[gather_runs(starts[first], size)], ends_of - size, ends_of, back, word_off
+
+
 def lettered(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Whether words hold a letter (any character beyond ASCII counts here)."""
     seen = np.r_[0, np.cumsum(((low >= 97) & (low <= 122)) | (low >= 128))]
@@ -100,9 +125,13 @@ def lettered(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
 def train(texts: list[str], labels: np.ndarray, n_labels: int, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """Feature weights and log transitions."""
     data, off = text_bytes(pa.array(texts, pa.large_string()))
-    low, starts, ends, back, word_off = distinct(data, off)
-    buckets, many = features(low, byte_hasher(low), starts, ends)
-    owner = np.repeat(np.arange(len(many)), many)
+    low, starts, ends, back, word_off = vocabulary(data, off)
+    hasher = byte_hasher(low)
+    parts = [features(low, hasher, starts[a : a + SCORED], ends[a : a + SCORED]) for a in range(0, len(starts), SCORED)]
+    buckets = np.concatenate([np.zeros(0, np.uint16), *(x.astype(np.uint16) for x, _ in parts)])
+    many = np.concatenate([np.zeros(0, np.int64), *(x for _, x in parts)])
+    del parts
+    owner = np.repeat(np.arange(len(many), dtype=np.int32), many)
     # splice runs of different documents: a sequence takes turns of 4 to 40 words
     rng = np.random.default_rng(7)
     turns = [(d, a, min(a + int(rng.integers(4, 41)), int(word_off[d + 1]))) for d in range(len(texts)) for a in range(int(word_off[d]), int(word_off[d + 1]), 40)]
@@ -144,7 +173,12 @@ def train(texts: list[str], labels: np.ndarray, n_labels: int, epochs: int = EPO
             error[np.arange(len(error)), gold[here]] += 1
             for k in range(n_labels):
                 by_word[:, k] += np.bincount(word[here], error[:, k], len(many))
-        g = np.stack([np.bincount(buckets, by_word[owner, k], 1 << BITS) for k in range(n_labels)], 1) / len(word) - 1e-6 * weights
+        by_bucket = np.zeros((n_labels, 1 << BITS))
+        for a in range(0, len(buckets), PART_BYTES):
+            at, of = buckets[a : a + PART_BYTES].astype(np.int64), owner[a : a + PART_BYTES]
+            for k in range(n_labels):
+                np.add.at(by_bucket[k], at, by_word[of, k])
+        g = by_bucket.T / len(word) - 1e-6 * weights
         gm = (wanted_moves - xi) / len(word)
         for value, grad, m, v in ((weights, g, memory[0], memory[1]), (moves, gm, memory[2], memory[3])):
             m += 0.1 * (grad - m)
@@ -167,15 +201,29 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray,
     chosen = F.lit(False)
     for lang, n in sorted(counts):
         chosen = chosen | ((F.col("lang") == lang) & (F.col("h") <= int(top * min(1.0, 1.5 * sample / n))))
-    # copies of a row are one; about 1.5 * sample texts a language
-    drawn = labelled.filter(chosen).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
-    rows = []
-    for lang in {x.lang for x in drawn}:
-        rows += sorted((x.lang, x.h, x.text) for x in drawn if x.lang == lang)[:sample]
-    rows.sort()
-    languages = sorted({x[0] for x in rows})
-    weights, moves = train([x[2] for x in rows], np.array([languages.index(x[0]) for x in rows]), len(languages))
-    return languages, weights.astype(np.float32), moves
+    # copies of a row are one; about 1.5 * sample texts a language meet in one task
+    drawn = labelled.filter(chosen).groupBy("lang", "h").agg(F.min("text").alias("text")).coalesce(1)
+    found = drawn.select("lang", "h", "text").mapInArrow(_learn(sample), "languages array<string>, weights binary, moves binary").collect()
+    if not found:
+        return [], np.zeros((1 << BITS, 0)), np.zeros((0, 0))
+    languages, weights, moves = found[0]
+    n = len(languages)
+    return languages, np.frombuffer(weights, np.float32).reshape(-1, n), np.frombuffer(moves).reshape(n, n)
+
+
+def _learn(sample: int):
+    """From all of (lang, h, text), the sample smallest h of each language: one row with languages, weights and transitions."""
+
+    def run(batches):
+        drawn = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "h", "text")), strict=True)]
+        drawn.sort()
+        rows = [row for _, own in itertools.groupby(drawn, lambda row: row[0]) for row in itertools.islice(own, sample)]
+        if rows:
+            languages = sorted({x[0] for x in rows})
+            weights, moves = train([x[2] for x in rows], np.array([languages.index(x[0]) for x in rows]), len(languages))
+            yield pa.RecordBatch.from_arrays([pa.array([languages], pa.list_(pa.string())), pa.array([weights.astype(np.float32).tobytes()], pa.binary()), pa.array([moves.tobytes()], pa.binary())], ["languages", "weights", "moves"])
+
+    return run
 
 
 def _label(languages: list[str], shared, moves: np.ndarray, accept: float | None = None):

@@ -1,6 +1,7 @@
 import collections
 import itertools
 import math
+import os
 import zlib
 
 import numpy as np
@@ -61,6 +62,29 @@ def test_language_of_held_out_and_mixed(documents):
     assert kept == set(got) - {1001, 1002}
 
 
+def test_languages_are_learned_in_a_task(documents, monkeypatch):
+    """Training takes memory by the lengths of the texts: the driver only gets the weights."""
+    driver, train = os.getpid(), language_id.train
+
+    def elsewhere(*args):
+        assert os.getpid() != driver
+        return train(*args)
+
+    langs = list(SOUNDS)
+    rows = [(k, text(langs[k % 3], 30), langs[k % 3]) for k in range(60)]
+    kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    docs = documents(rows)
+    drawn = docs.selectExpr("doc_id", "pmod(xxhash64(cast(doc_id as string), text), 1L << 40) as h").collect()
+    h = {r.doc_id: r.h for r in drawn}
+    few = [r for lang in sorted(langs) for r in sorted((x for x in kept if x[2] == lang), key=lambda x: h[x[0]])[:9]]
+    weights, moves = train([r[1] for r in few], np.array([sorted(langs).index(r[2]) for r in few]), 3)
+    monkeypatch.setattr(language_id, "train", elsewhere)
+    got = language_id.learn(docs, 9)
+    assert got[0] == sorted(langs)
+    np.testing.assert_allclose(got[1], weights, atol=1e-5)
+    np.testing.assert_allclose(got[2], moves, atol=1e-8)
+
+
 def test_no_labels(documents):
     assert {r.lang_pred for r in language_id.identify(documents([(1, "some words", None)])).collect()} == {"und"}
 

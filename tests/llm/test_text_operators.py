@@ -227,6 +227,19 @@ def test_decontaminate_brute_force(spark, documents, band):
     assert 2 not in left and left[0] == "before after" and left[1] == "a here" and left[3] == "clean text" and left[4] is None
 
 
+@pytest.mark.parametrize("most", [decontaminate.MET_BYTES, 0])
+def test_windows_are_broadcast_once_or_not_at_all(spark, documents, monkeypatch, most):
+    """The driver builds what is broadcast: no copies for the tasks of a dealt join among it."""
+    monkeypatch.setattr(decontaminate, "MET_BYTES", most)
+    bench = spark.createDataFrame([(k, f"alpha beta {k}") for k in range(5)], "item_id long, text string")
+    docs = documents(["x alpha beta 1", "Alpha beta 2, alpha beta 3", "clean", None])
+    hits = decontaminate.hits(docs, bench)
+    got = {r.doc_id: sorted((h["at"], h["k"], h["items"]) for h in r.hits) for r in hits.collect()}
+    assert got == {0: [(2, 3, ["1"])], 1: [(1, 3, ["2"]), (4, 3, ["3"])], 2: [], 3: []}
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert ("salt" in plan, "BroadcastExchange" in plan) == ((False, True) if most else (True, False))
+
+
 def test_empty_benchmark(spark, documents):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.judged(documents(["a b c"]), bench).collect()[0].n_hit == 0
