@@ -70,9 +70,13 @@ def standardize_beta(beta: Column, se: Column, n: Column) -> Column:
     return F.when(scale > 0, beta / scale).otherwise(0.0)
 
 
+_CHROMS = {"23": "X", "24": "Y", "25": "XY", "26": "MT", "M": "MT"}
+
+
 def norm_chrom(chrom: Column) -> Column:
-    bare = F.upper(F.regexp_replace(F.trim(chrom), "^(?i)chr", ""))
-    return F.when(bare == "23", "X").when(bare == "24", "Y").when(bare == "25", "XY").when(bare.isin("26", "M"), "MT").otherwise(bare)
+    whole = F.upper(F.trim(chrom))
+    bare = F.when(whole.startswith("CHR"), F.substring(whole, 4, 1 << 30)).otherwise(whole)
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in _CHROMS.items() for x in pair)), bare), bare)
 
 
 def complement(allele: Column) -> Column:

@@ -13,30 +13,35 @@ ACTIONS = ("keep", "swap", "strand_keep", "strand_swap", "palindrome", "mismatch
 def matched(ss: DataFrame, variants: DataFrame) -> DataFrame:
     """ss (row_no, id, chrom, pos, ea, oa, ...) with the variant each row hits: by id first, else by place.
 
-    Two equi-joins on panels reduced to the first variant of each key; ids '' and '.' name nothing.
+    Two equi-joins on panels reduced to the first variant of each key; ids '' and '.' name nothing, and rows without an id are
+    spread by a hash of their number. Statistics stream past hash tables of the panel's parts, so that they are never sorted.
     """
     v = variants.select("vidx", "id", norm_chrom(F.col("chrom")).alias("_vc"), "pos")
-    by_id = v.filter("id is not null and id not in ('', '.')").groupBy(F.col("id").alias("_id")).agg(F.min("vidx").alias("_by_id"))
+    by_id = v.filter("id is not null and id not in ('', '.')").groupBy(F.col("id").alias("_id")).agg(F.min("vidx").alias("_by_id")).withColumn("_ih", F.xxhash64("_id"))
     by_pos = v.groupBy(F.col("_vc").alias("_c"), F.col("pos").alias("_p")).agg(F.min("vidx").alias("_by_pos"))
-    rows = ss.withColumn("_nc", norm_chrom(F.col("chrom")))
-    rows = rows.join(by_id, rows["id"] == F.col("_id"), "left").join(by_pos, (F.col("_nc") == F.col("_c")) & (F.col("pos") == F.col("_p")), "left")
-    return rows.withColumn("vidx", F.coalesce("_by_id", "_by_pos")).drop("_id", "_by_id", "_c", "_p", "_by_pos", "_nc")
+    named = F.coalesce(~F.col("id").isin("", "."), F.lit(False))
+    rows = ss.withColumns({"_nc": norm_chrom(F.col("chrom")), "_h": F.when(named, F.xxhash64("id")).otherwise(F.xxhash64("row_no"))})
+    rows = rows.join(by_id.hint("shuffle_hash"), (F.col("_h") == F.col("_ih")) & (rows["id"] == F.col("_id")), "left")
+    rows = rows.join(by_pos.hint("shuffle_hash"), (F.col("_nc") == F.col("_c")) & (F.col("pos") == F.col("_p")), "left")
+    return rows.withColumn("vidx", F.coalesce("_by_id", "_by_pos")).drop("_id", "_ih", "_h", "_by_id", "_c", "_p", "_by_pos", "_nc")
 
 
 def aligned(ss: DataFrame, variants: DataFrame, drop_ambiguous: bool = True) -> DataFrame:
     """All rows that hit a variant with their action, whether they fit (ok), and counted: rows after the first
     fitting one of their variant count nowhere."""
     a = variants.select(F.col("vidx").alias("_v"), F.upper("a1").alias("a1"), F.upper("a2").alias("a2"))
-    rows = matched(ss, variants).filter("vidx is not null").join(a, F.col("vidx") == F.col("_v")).drop("_v")
-    ea, oa = F.upper("ea"), F.upper("oa")
-    same, swap = (ea == F.col("a1")) & (oa == F.col("a2")), (ea == F.col("a2")) & (oa == F.col("a1"))
-    ce, co = complement(ea), complement(oa)
-    csame, cswap = (ce == F.col("a1")) & (co == F.col("a2")), (ce == F.col("a2")) & (co == F.col("a1"))
-    good = finite(F.col("beta")) & finite(F.col("se"))
-    action = F.when(palindromic(ea, oa) if drop_ambiguous else F.lit(False), "palindrome")
-    action = action.when(same & good, "keep").when(swap & good, "swap").when(same | swap, "nonfinite")
-    action = action.when(csame & good, "strand_keep").when(cswap & good, "strand_swap").when(csame | cswap, "strand_nonfinite").otherwise("mismatch")
-    rows = rows.withColumn("action", action).withColumn("ok", F.col("action").isin("keep", "swap", "strand_keep", "strand_swap"))
+    a = a.withColumns({"_b1": complement(F.col("a1")), "_b2": complement(F.col("a2"))})  # a variant's, not a row's: complements are their own inverse
+    rows = matched(ss, variants).filter("vidx is not null").join(a.hint("shuffle_hash"), F.col("vidx") == F.col("_v")).drop("_v")
+    # each step a column of its own: inlined into one expression they make a method too long to be compiled
+    rows = rows.withColumns({"_ea": F.upper("ea"), "_oa": F.upper("oa"), "_good": finite(F.col("beta")) & finite(F.col("se"))})
+    ea, oa, good = F.col("_ea"), F.col("_oa"), F.col("_good")
+    stands = lambda x, y: (ea == F.col(x)) & (oa == F.col(y))
+    fit = F.when(stands("a1", "a2"), "keep").when(stands("a2", "a1"), "swap").when(stands("_b1", "_b2"), "strand_keep").when(stands("_b2", "_b1"), "strand_swap")
+    rows = rows.withColumn("_fit", fit)
+    fit = F.col("_fit")
+    action = F.when(palindromic(ea, oa) if drop_ambiguous else F.lit(False), "palindrome").when(fit.isNull(), "mismatch").when(good, fit)
+    action = action.when(fit.isin("keep", "swap"), "nonfinite").otherwise("strand_nonfinite")
+    rows = rows.withColumn("action", action).drop("_ea", "_oa", "_b1", "_b2", "_good", "_fit").withColumn("ok", F.col("action").isin("keep", "swap", "strand_keep", "strand_swap"))
     winner = F.min(F.when(F.col("ok"), F.col("row_no"))).over(Window.partitionBy("vidx"))
     return rows.withColumn("winner", winner).withColumn("counted", F.col("winner").isNull() | (F.col("row_no") <= F.col("winner")))
 
