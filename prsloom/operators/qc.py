@@ -21,14 +21,15 @@ def flagged(ss: DataFrame, min_n_ratio: float = 0.7, min_maf: float = 0.01, min_
     """ss with `reason`: the first rule that drops the row, null if it stays.
 
     All copies of a repeated key go, counted over all rows; the sample size rule is against the largest of all rows.
-    The key's count is an aggregate joined back, so that a key with very many rows is not gathered in one task.
+    The key's count is an aggregate joined back, so that a key with very many rows is not gathered in one task. Keys are known by
+    128 bits of hash, and rows stream past hash tables of the repeated ones, so that neither keys nor rows are sorted.
     """
-    rows = ss.withColumn("_key", identity())
     if drop_duplicates:
-        many = rows.groupBy("_key").agg(F.count("*").alias("_copies")).filter("_copies > 1")
-        rows = rows.join(many, "_key", "left")
+        rows = ss.withColumn("_key", identity()).withColumns({"_k1": F.xxhash64("_key"), "_k2": F.xxhash64(F.lit("key"), "_key")}).drop("_key")
+        many = rows.groupBy(F.col("_k1").alias("_m1"), F.col("_k2").alias("_m2")).agg(F.count("*").alias("_copies")).filter("_copies > 1")
+        rows = rows.join(many.hint("shuffle_hash"), (F.col("_k1") == F.col("_m1")) & (F.col("_k2") == F.col("_m2")), "left")
     else:
-        rows = rows.withColumn("_copies", F.lit(None))
+        rows = ss.withColumn("_copies", F.lit(None))
     rows = rows.crossJoin(F.broadcast(ss.agg(F.max(F.when(finite(F.col("n_eff")), F.col("n_eff"))).alias("_top"))))  # one row
     maf = F.least(F.col("eaf"), 1 - F.col("eaf"))
     reason = F.when(~(finite(F.col("beta")) & finite(F.col("se")) & (F.col("se") > 0)), "nonfinite")
@@ -38,7 +39,7 @@ def flagged(ss: DataFrame, min_n_ratio: float = 0.7, min_maf: float = 0.01, min_
     reason = reason.when(finite(F.col("info")) & (F.col("info") < min_info), "low_info")
     if max_chisq is not None:
         reason = reason.when(F.pow(F.when(F.col("se") != 0, F.col("beta") / F.col("se")), F.lit(2)) > max_chisq, "high_chisq")
-    return rows.withColumn("reason", reason).drop("_key", "_copies", "_top")
+    return rows.withColumn("reason", reason).drop("_k1", "_k2", "_m1", "_m2", "_copies", "_top")
 
 
 def passed(ss: DataFrame, **rules) -> DataFrame:

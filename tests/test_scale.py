@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prsloom.functions import columns as C
-from prsloom.operators import harmonize
+from prsloom.operators import harmonize, qc
 
 SS = "row_no long, id string, chrom string, pos long, ea string, oa string, beta double, se double, n_eff double, eaf double, info double"
 
@@ -65,3 +65,13 @@ def test_chromosomes(spark):
     given = {"chr1": "1", " CHRx ": "X", "cHr23": "X", "24": "Y", "25": "XY", "26": "MT", "m": "MT", "chrM": "MT", "chr": "", "chrchr1": "CHR1", "1chr": "1CHR", "": "", "chr 1": " 1", None: None}
     rows = spark.createDataFrame([(x,) for x in given], "c string").select("c", C.norm_chrom(F.col("c")).alias("n")).collect()
     assert {x.c: x.n for x in rows} == given
+
+
+def test_quality_control_sorts_neither_rows_nor_keys(large):
+    rows = qc.flagged(statistics(large).withColumn("id", F.when(F.col("row_no") < 40, F.concat(F.lit("x"), F.col("row_no"))).otherwise(F.col("id"))))
+    assert "SortMergeJoin" not in plan(rows)
+    assert {x.row_no for x in rows.filter("reason = 'duplicate'").collect()} == set(range(40, 60)) - {x.row_no for x in rows.filter("reason is null").collect()} - {7}
+    keys = {}
+    for x in rows.collect():
+        keys.setdefault(("i", x.id) if x.id not in (None, "", ".") else ("p", x.chrom, x.pos, x.ea, x.oa), []).append(x)
+    assert all((x.reason == "duplicate") == (len(v) > 1) for v in keys.values() for x in v if x.row_no != 7)
