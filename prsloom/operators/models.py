@@ -8,6 +8,7 @@ Streams of random numbers hang on the seed and the block, so that results do not
 from __future__ import annotations
 
 import math
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -17,13 +18,23 @@ from pyspark.sql import functions as F
 from prsloom.functions import kernels
 from prsloom.operators.ld import BLOCK, _encode, decode, with_effects
 from prsloom.operators.pooled import run_pooled
-from prsloom.tables import drop, written
+from prsloom.tables import drop, once, written
 
 EFFECTS = "vidx long, beta double"
 #: Bytes of LD that blocks taken side by side may have (a larger one is taken alone).
 SIDE_BYTES = 256 << 20
 
 
+def _of_tables(model):
+    """A model reads its blocks and effects several times: what is not a table yet is computed and written once."""
+
+    @wraps(model)
+    def run(blocks: DataFrame, effects: DataFrame, *args, **kw):
+        return model(once(blocks, "blocks"), once(effects, "effects"), *args, **kw)
+
+    return run
+
+
 def _side_by_side(frames):
     """Lists of rows that are taken together."""
     for frame in frames:
@@ -82,6 +93,7 @@ def _seeds(held, seed: int) -> list[int]:
     return [int((seed + x.block_id) % (1 << 32)) for x in held]
 
 
+@_of_tables
 def inf(blocks: DataFrame, effects: DataFrame, h2: float, m: int | None = None) -> DataFrame:
     """Infinitesimal model; h2 is shared out by block size."""
     m = m or _total(blocks)[0]
@@ -93,6 +105,7 @@ def _optional(effects: DataFrame) -> tuple[str, ...]:
     return tuple(c for c in ("prior", "slab") if c in effects.columns)
 
 
+@_of_tables
 def grid(blocks: DataFrame, effects: DataFrame, h2: float, p: float, seed: int = 1, m: int | None = None, **kw) -> DataFrame:
     """Fixed h2 and p. effects may have columns prior and slab."""
     m = m or _total(blocks)[0]
@@ -105,6 +118,7 @@ def grid(blocks: DataFrame, effects: DataFrame, h2: float, p: float, seed: int =
     return _by_blocks(_dealt(with_effects(blocks, effects, extra), blocks), EFFECTS, run)
 
 
+@_of_tables
 def laplace(blocks: DataFrame, effects: DataFrame, h2: float, seed: int = 1, m: int | None = None, **kw) -> DataFrame:
     m = m or _total(blocks)[0]
 
@@ -115,6 +129,7 @@ def laplace(blocks: DataFrame, effects: DataFrame, h2: float, seed: int = 1, m:
     return _by_blocks(_dealt(with_effects(blocks, effects), blocks), EFFECTS, run)
 
 
+@_of_tables
 def lassosum(blocks: DataFrame, effects: DataFrame, s_seq=(0.2, 0.5, 0.9), n_lambda: int = 20, ratio: float = 0.01, max_iter: int = 100, tol: float = 1e-4) -> tuple[DataFrame, DataFrame]:
     """(effects of the best model, grid of s, lambda, score, n_nonzero). Every batch of blocks goes down the penalties of each s
     and reports what the score needs; the sums over blocks choose. Where no model scores at most 1, no effect is kept."""
@@ -169,6 +184,7 @@ def _told(found: DataFrame) -> np.ndarray:
 POOLED = "start long, beta array<double>, told array<double>"
 
 
+@_of_tables
 def auto(blocks: DataFrame, effects: DataFrame, h2: float = 0.1, p: float = 0.1, burn_in: int = 200, num_iter: int = 200, seed: int = 1, shared: bool = True, **kw) -> tuple[DataFrame, dict]:
     """One chain that learns h2 and p: (effects, estimates). effects may have columns prior and slab.
 
@@ -202,6 +218,7 @@ def auto(blocks: DataFrame, effects: DataFrame, h2: float = 0.1, p: float = 0.1,
 INFERRED = ("h2_est", "h2_low", "h2_high", "p_est", "p_low", "p_high", "r2_est", "r2_low", "r2_high", "n_chains", "n_kept")
 
 
+@_of_tables
 def infer(blocks: DataFrame, effects: DataFrame, n_chains: int = 10, p_range=(1e-4, 0.2), h2: float = 0.1, burn_in: int = 200, num_iter: int = 200, sample_every: int = 5, seed: int = 1, **kw) -> tuple[DataFrame, DataFrame]:
     """(effects, one row of estimates with intervals) from several chains."""
     if n_chains < 2:
@@ -223,6 +240,7 @@ def infer(blocks: DataFrame, effects: DataFrame, n_chains: int = 10, p_range=(1e
     return _long(found, "beta"), blocks.sparkSession.createDataFrame([row], ", ".join(f"{x} {'long' if x.startswith('n_') else 'double'}" for x in INFERRED))
 
 
+@_of_tables
 def auto_rounds(blocks: DataFrame, effects: DataFrame, h2: float = 0.1, p: float = 0.1, rounds: int = 10, burn_rounds: int = 5, sweeps: int = 20, seed: int = 1) -> tuple[DataFrame, dict]:
     """Pooled h2 and p without a barrier stage, a job for each round: in each, every block makes `sweeps` sweeps at fixed values,
     then the causal share and b' R b of all blocks give the next."""
@@ -256,6 +274,7 @@ def auto_rounds(blocks: DataFrame, effects: DataFrame, h2: float = 0.1, p: float
     return beta, {"h2_est": float(np.mean([x for x, _ in path])), "p_est": float(np.mean([x for _, x in path]))}
 
 
+@_of_tables
 def annot(blocks: DataFrame, effects: DataFrame, names: list[str], seed: int = 1, **kw) -> tuple[DataFrame, dict]:
     """effects also hold the annotation columns. (effects, h2 and the enrichment of each annotation)."""
     _, many = _total(blocks)
@@ -281,6 +300,7 @@ def top_enrichments(enrichment: dict[str, float], many: int = 8) -> list[tuple[s
     return sorted(((k, v) for k, v in enrichment.items() if k != "intercept"), key=lambda x: -abs(x[1]))[:many]
 
 
+@_of_tables
 def bivariate(blocks: DataFrame, effects: DataFrame, seed: int = 1, **kw) -> tuple[DataFrame, dict]:
     """effects: vidx, beta, n and beta2, n2. (vidx, beta1, beta2) and h2_1, h2_2, rg, cov."""
     m, many = _total(blocks)
@@ -293,6 +313,7 @@ def bivariate(blocks: DataFrame, effects: DataFrame, seed: int = 1, **kw) -> tup
     return _long(found, "beta1", "beta2"), dict(zip(("h2_1", "h2_2", "rg", "cov"), _told(found).tolist(), strict=True))
 
 
+@_of_tables
 def impute(blocks: DataFrame, effects: DataFrame, ridge: float = 1e-3, min_r2: float = 0.0) -> DataFrame:
     """effects: vidx, beta, n, typed (1 or 0) for every variant: (vidx, beta, n, r2)."""
 
@@ -303,6 +324,7 @@ def impute(blocks: DataFrame, effects: DataFrame, ridge: float = 1e-3, min_r2: f
     return _by_block(with_effects(blocks, effects, ("typed",)), "vidx long, beta double, n double, r2 double", run)
 
 
+@_of_tables
 def dentist(blocks: DataFrame, effects: DataFrame, cutoff: float = 29.716785, **kw) -> DataFrame:
     """(vidx, keep). cutoff: the chi-square value (1 degree of freedom; 29.72 is p = 5e-8)."""
     return _by_block(with_effects(blocks, effects, ("z",)), "vidx long, keep boolean", lambda x: pd.DataFrame({"vidx": _vidx(x), "keep": kernels.dentist(decode(x).full(), np.array(x.e_z), cutoff, **kw)}))
@@ -311,6 +333,7 @@ def dentist(blocks: DataFrame, effects: DataFrame, cutoff: float = 29.716785, **
 FINEMAPPED = "vidx long, block_id long, pip double, mean double, sd double, signal int, coverage double, purity_min double, purity_mean double"
 
 
+@_of_tables
 def finemap(blocks: DataFrame, effects: DataFrame, only_significant: float | None = None, coverage: float = 0.95, min_abs_corr: float = 0.5, max_signals: int = 10, **kw) -> DataFrame:
     """A row a variant: vidx, block_id, pip, mean, sd, and the credible set's number in its block (signal), coverage and purity, null outside.
 

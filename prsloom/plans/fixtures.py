@@ -6,6 +6,8 @@ panel and perturbed rows follow from them. `part` and `lineitem` give a larger p
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 CELL = {
@@ -63,15 +65,15 @@ def text(name: str, engine: str) -> str:
     return sql.replace(" DIV ", " div " if engine == "spark" else " // ")
 
 
-def needs(sql: str) -> list[str]:
-    """The views that a text uses, and theirs, in order."""
+def needs(sql: str, given: Iterable[str] = ()) -> list[str]:
+    """The views that a text uses, and theirs, in order; those given are not looked into."""
     import re
 
     found: set[str] = set()
 
     def look(s: str) -> None:
         for name in ORDER:
-            if name not in found and re.search(rf"\b(?:from|join)\s+{name}\b", s):
+            if name not in found and name not in given and re.search(rf"\b(?:from|join)\s+{name}\b", s):
                 found.add(name)
                 look(text(name, "duckdb"))
 
@@ -88,9 +90,11 @@ def oracle(select: str, more: str = "") -> str:
     return (f"{start} {', '.join(views)} " if views else "") + select
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """A view as a DataFrame. given: written tables that stand for views which it uses."""
     import re
 
-    sql = f"WITH {', '.join(f'{n} as ({text(n, 'spark')})' for n in [*needs(f'from {name}')])} select * from {name}"
+    sql = f"WITH {', '.join(f'{n} as ({text(n, 'spark')})' for n in [*needs(f'from {name}', given)])} select * from {name}"
+    for n, table in given.items():
+        sql = re.sub(rf"\b(from|join) {n}\b", rf"\1 parquet.`{table._table_path}`", sql)
     return spark.sql(re.sub(r"\b(from|join) (embeddings|part|lineitem)\b", rf"\1 parquet.`{sf_dir}/\2.parquet`", sql))

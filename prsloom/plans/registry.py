@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prsloom.functions import columns as C
 from prsloom.operators import finemap, harmonize, ld, ldsc, models, qc, score
 from prsloom.plans.fixtures import oracle, view
+from prsloom.tables import written
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -267,13 +268,21 @@ def wanted_variants(spark, d):
 # --- linkage disequilibrium ---------------------------------------------------------------------------
 
 
-def blocks(spark, d, **kw) -> DataFrame:
-    return ld.compute_blocks(geno(spark, d), ld.block_bounds(view(spark, d, "variants"), BLOCK), **kw)
+def blocks(spark, d, calls=None, **kw) -> DataFrame:
+    packed = geno(spark, d) if calls is None else score.packed(calls)
+    return ld.compute_blocks(packed, ld.block_bounds(written(view(spark, d, "variants"), "variants"), BLOCK), **kw)
 
 
-def effects(spark, d) -> DataFrame:
-    e = view(spark, d, "effects").join(weights(spark, d), "vidx")
-    return e.select("vidx", F.col("weight").alias("beta"), F.col("n").alias("n"))
+def effects(spark, d, calls=None) -> DataFrame:
+    calls = written(view(spark, d, "geno"), "calls") if calls is None else calls
+    e = written(view(spark, d, "effects", geno=calls), "effects")
+    return e.join(view(spark, d, "weights", effects=e), "vidx").select("vidx", F.col("weight").alias("beta"), F.col("n").alias("n"))
+
+
+def fitted_on(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Blocks and effects from one table of calls."""
+    calls = written(view(spark, d, "geno"), "calls")
+    return blocks(spark, d, calls), effects(spark, d, calls)
 
 
 PAIRS = STD + f", pairs as (select a.v // {BLOCK} * {BLOCK} block_id, a.v % {BLOCK} i, b.v % {BLOCK} j, case when a.v = b.v then 1.0 else sum(a.z * b.z) / count(*) end r from z a join z b on a.s = b.s and a.v // {BLOCK} = b.v // {BLOCK} group by a.v, b.v)"
@@ -321,12 +330,12 @@ def ld_cut_cost(spark, d):
 
 @query("select p.block_id, round(sum(a.weight * p.r * b.weight), 6) + 0.0 h2 from pairs p join weights a on a.vidx = p.block_id + p.i join weights b on b.vidx = p.block_id + p.j group by p.block_id", PAIRS)
 def partition_h2(spark, d):
-    return ld.partition_h2(blocks(spark, d), effects(spark, d)).select("block_id", r6("h2").alias("h2"))
+    return ld.partition_h2(*fitted_on(spark, d)).select("block_id", r6("h2").alias("h2"))
 
 
 @query("select round(sum(a.weight * p.r * b.weight), 6) + 0.0 h2 from pairs p join weights a on a.vidx = p.block_id + p.i join weights b on b.vidx = p.block_id + p.j", PAIRS)
 def genetic_variance(spark, d):
-    return ld.partition_h2(blocks(spark, d), effects(spark, d)).agg(r6(F.sum("h2")).alias("h2"))
+    return ld.partition_h2(*fitted_on(spark, d)).agg(r6(F.sum("h2")).alias("h2"))
 
 
 @query()
@@ -432,7 +441,7 @@ INF = PAIRS + f", ridges as (select v.vidx // {BLOCK} * {BLOCK} block_id, {BLOCK
 
 @query(f"select block_id + i.i - 1 vidx, round(m[i.i][{BLOCK + 1}], 6) + 0.0 beta from solved, (select unnest(generate_series(1, {BLOCK})) i) i", INF)
 def model_inf(spark, d):
-    return models.inf(blocks(spark, d), effects(spark, d), 0.3).select("vidx", r6("beta").alias("beta"))
+    return models.inf(*fitted_on(spark, d), 0.3).select("vidx", r6("beta").alias("beta"))
 
 
 IMPUTE = PAIRS + f", p as (select block_id, i, j, cast(cast(r as float) as double) r, (block_id + i) % 5 != 2 ti, (block_id + j) % 5 != 2 tj from pairs), augmented as (select block_id, list(list_concat(row, rhs) order by i) m from (select block_id, i, list(case when ti and tj then r + case when i = j then 1e-3 else 0.0 end when i = j then 1.0 else 0.0 end order by j) row, list(case when ti and not tj then r else 0.0 end order by j) rhs from p group by block_id, i) t group by block_id)" + ELIMINATION
@@ -452,32 +461,32 @@ def ld_imputation(spark, d):
 
 @query()
 def model_grid(spark, d):
-    return models.grid(blocks(spark, d), effects(spark, d), 0.3, 0.1)
+    return models.grid(*fitted_on(spark, d), 0.3, 0.1)
 
 
 @query()
 def model_auto(spark, d):
-    return models.auto(blocks(spark, d), effects(spark, d))[0]
+    return models.auto(*fitted_on(spark, d))[0]
 
 
 @query()
 def model_auto_rounds(spark, d):
-    return models.auto_rounds(blocks(spark, d), effects(spark, d))[0]
+    return models.auto_rounds(*fitted_on(spark, d))[0]
 
 
 @query()
 def model_infer(spark, d):
-    return models.infer(blocks(spark, d), effects(spark, d))[1]
+    return models.infer(*fitted_on(spark, d))[1]
 
 
 @query()
 def model_lassosum2(spark, d):
-    return models.lassosum(blocks(spark, d), effects(spark, d))[0]
+    return models.lassosum(*fitted_on(spark, d))[0]
 
 
 @query()
 def model_laplace(spark, d):
-    return models.laplace(blocks(spark, d), effects(spark, d), 0.3)
+    return models.laplace(*fitted_on(spark, d), 0.3)
 
 
 @query()
@@ -500,4 +509,4 @@ def dentist_filter(spark, d):
 
 @query()
 def finemap_pip(spark, d):
-    return models.finemap(blocks(spark, d), effects(spark, d)).select("vidx", "block_id", "pip", "mean", "sd", "signal")
+    return models.finemap(*fitted_on(spark, d)).select("vidx", "block_id", "pip", "mean", "sd", "signal")

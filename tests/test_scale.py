@@ -1,10 +1,14 @@
 """Plans that must hold at any size: what grows is neither sorted for a join nor computed again and again."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from prsloom.functions import columns as C
-from prsloom.operators import harmonize, qc
+from prsloom.functions import kernels
+from prsloom.operators import harmonize, ld, models, qc
+from prsloom.tables import once
 
 SS = "row_no long, id string, chrom string, pos long, ea string, oa string, beta double, se double, n_eff double, eaf double, info double"
 
@@ -75,3 +79,20 @@ def test_quality_control_sorts_neither_rows_nor_keys(large):
     for x in rows.collect():
         keys.setdefault(("i", x.id) if x.id not in (None, "", ".") else ("p", x.chrom, x.pos, x.ea, x.oa), []).append(x)
     assert all((x.reason == "duplicate") == (len(v) > 1) for v in keys.values() for x in v if x.row_no != 7)
+
+
+def test_models_compute_their_blocks_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def build(frames):
+        for frame in frames:
+            for b in frame["block_id"]:
+                seen.add(1)
+                yield pd.DataFrame([ld._encode(int(b), int(b), kernels.Dense(np.eye(4)))])
+
+    lazy = spark.range(0, 12, 4).withColumnRenamed("id", "block_id").mapInPandas(build, ld.BLOCK)
+    effects = spark.range(12).select(F.col("id").alias("vidx"), (F.col("id") / 100).alias("beta"), F.lit(1000.0).alias("n"))
+    assert models.lassosum(lazy, effects)[0].count() == 12
+    assert seen.value == 3
+    table = once(lazy, "again")
+    assert once(table, "again") is table
